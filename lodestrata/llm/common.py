@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes; bounds a worker's memory (a longer text is a chunk by itself).
@@ -16,7 +16,8 @@ CHUNK_BYTES = 2 << 20
 BROADCAST_BYTES = 24 << 20
 #: Name of the internal row number.
 RID = "__ls_rid"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While an intermediate table is written: its shuffle files go when the write ends, and Arrow batches are small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,36 +37,45 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def spill(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: later jobs don't repeat it, and it survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # the shuffle files of this write go when it ends
+    before = {k: spark.conf.get(k) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(RID, id, text): one number per row that orders rows by id.
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the column RID: one number per row that orders rows by id.
 
     The number is the id itself where ids are unique and present.  Otherwise rows
     that repeat an id count as documents of their own, ordered by their text, and
     rows without an id come last; every row is kept.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1)
+    if RID in docs.columns:
+        return docs
+    key = F.col(id_col).cast("long")
+    repeated = docs.groupBy(key.alias("k")).count().filter("count > 1 or k is null").limit(1)
     if not repeated.take(1):
-        return docs.select(F.col("doc_id").alias(RID), "doc_id", "text")
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text"))
-    return spill(ordered.select(F.monotonically_increasing_id().alias(RID), "doc_id", "text"), "rows")
+        return docs.withColumn(RID, key)
+    ordered = docs.orderBy(key.asc_nulls_last(), F.xxhash64(text_col), F.col(text_col))
+    return spill(ordered.withColumn(RID, F.monotonically_increasing_id()), "rows")
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(RID, doc_id, text) of numbered() rows."""
+    return numbered(docs, id_col, text_col).select(RID, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
-def buckets_for(total_bytes: int, each: int = 32 << 20, least: int = 12) -> int:
+def buckets_for(total_bytes: int, each: int = 8 << 20, least: int = 12) -> int:
     """Buckets so that one task's share of the input stays bounded."""
     return max(least, -(-total_bytes // each))
 
@@ -177,11 +187,12 @@ def merge_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return doc[first], start[first], reach[last] - lift[last]
 
 
-def attach(docs: DataFrame, side: DataFrame, key: str = RID, how: str = "left") -> DataFrame:
-    """Joins packed per-document data to the texts; side is (key, payload), written before, one row per key.
+def attach(docs: DataFrame, side: DataFrame, key: str = RID, how: str = "left", each: Column | None = None) -> DataFrame:
+    """Joins per-document data to the texts; side is (key, payload, ...), written before, one row per key.
 
     Side data of at most BROADCAST_BYTES are broadcast; beyond that both sides are
-    shuffled by key.  The size is measured, not estimated.
+    shuffled by key.  The size is measured, not estimated; each: bytes of a row.
     """
-    size = side.agg(F.sum(F.octet_length("payload") + F.lit(64))).first()[0] or 0
+    each = F.octet_length("payload") + F.lit(64) if each is None else each
+    size = side.agg(F.sum(each)).first()[0] or 0
     return docs.join(F.broadcast(side) if size <= BROADCAST_BYTES else side.hint("shuffle_hash"), key, how)

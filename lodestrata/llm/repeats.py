@@ -23,7 +23,7 @@ from . import textscan as ts
 from .common import RID, column, delta, low_bytes, merge_spans, pack, payload_batch, payload_table, split_by, text_chunks, unpack
 
 #: Rows that a task gathers before it sends them.
-FLUSH_ROWS = 2_000_000
+FLUSH_ROWS = 500_000
 BLOB = "bucket long, payload binary"
 KINDED = "kind long, bucket long, payload binary"
 
