@@ -16,8 +16,16 @@ CHUNK_BYTES = 2 << 20
 BROADCAST_BYTES = 24 << 20
 #: Name of the internal row number.
 RID = "__ls_rid"
-#: While an intermediate table is written: its shuffle files go when the write ends, and Arrow batches are small.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+#: While an intermediate table is written, its shuffle files go when the write ends.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of at most 8 MB for the session, unless it has smaller ones: documents can be long, and batches count twice."""
+    now = spark.conf.get(_BATCH)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+        spark.conf.set(_BATCH, str(most))
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -56,6 +64,7 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     that repeat an id count as documents of their own, ordered by their text, and
     rows without an id come last; every row is kept.
     """
+    bound_batches(docs.sparkSession)
     if RID in docs.columns:
         return docs
     key = F.col(id_col).cast("long")

@@ -221,8 +221,12 @@ def remove_repeated_words(docs: DataFrame, span: int = 20, gram: int = 6, batche
     """
     docs = identify(docs, id_col, text_col)
     spans = repeated_words(docs, span, gram, batches)
-    kept = attach(docs, spans).select(RID, "doc_id", "text", "payload").mapInArrow(_keep, f"{RID} long, doc_id long, n_words long, n_removed long, kept string")
-    return kept.drop(RID)
+    return kept_texts(attach(docs, spans)).drop(RID)
+
+
+def kept_texts(rows: DataFrame) -> DataFrame:
+    """(RID, doc_id, n_words, n_removed, kept) of texts with the stretches of words to remove (payload, may be null)."""
+    return rows.select(RID, "doc_id", "text", "payload").mapInArrow(_keep, f"{RID} long, doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(kept: DataFrame) -> DataFrame:
