@@ -2,22 +2,22 @@
 
 Documents with one set of word shingles form a class, and classes are joined.  A
 tree starts with all classes; a node chooses some coordinates of the min-wise
-signature (by a hash of its path, so all its members choose the same ones) and
-sends a member to one child per chosen coordinate, named by the token the member
-has there.  Nodes of at most ``leaf`` members are compared exhaustively; larger
-ones branch again.  Trees repeat independently, so that a pair of the wanted
-similarity parts everywhere only with negligible probability: with 5 trees and 2
-coordinates at the root, 0.15**10 at the similarity of 0.85, and less above.
-
+signature (the root by its tree, others by a hash of their path, so all members
+choose the same ones) and sends a member to one child per chosen coordinate, named
+by the token the member has there.  Nodes of at most ``leaf`` members are compared
+exhaustively; larger ones branch again.  Trees repeat independently, so that a pair
+of the wanted similarity parts everywhere only with negligible probability: with 4
+trees and 2 coordinates at each root, 0.15**8 at the similarity of 0.85, less above.
 What still is a large node at the last level is compared in blocks, in as many
 tasks as there are pairs of blocks.
 
 Pairs that a signature sketch can't rule out are confirmed on the full sets of
 64-bit shingle hashes.  This happens in two passes.  The first sends every member
-of a leaf only to the first member it resembles; the links confirmed there join
-most of a group of near copies.  The second sends the pairs whose members are still
-apart, all of them, so no link between different components is lost, and groups of
-copies don't turn into all their pairs.
+of a root's child only to the first member it strongly resembles; the links
+confirmed there join most of a group of near copies.  The second does the whole
+join, but only where members of different components meet: no link between
+different components is lost, groups of copies don't turn into all their pairs,
+and nodes inside one component are not looked at again.
 
 Nulls and texts without words have the empty set and are linked with nothing; texts
 of fewer words than a shingle have the one shingle of all their words; rows that
@@ -35,15 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import RID, attach, column, identify, numbered, spill, text_chunks
+from .common import BROADCAST_BYTES, RID, attach, column, identify, numbered, spill, text_chunks
 from .graph import components
 
-#: Coordinates of a signature; each is one byte of the sketch and four of the tokens.
-WIDTH = 64
-#: A pair's sketches agree in at least so many of 64 bytes, but for 3 in 10 million pairs at a similarity of 0.85.
-AGREE = 39
-#: In the first pass members go to the first of their leaf that agrees in so many.
-ALIKE = 57
+#: Coordinates of a signature; the sketch has four bits of each, the tokens 32 bits of the first TOKENS.
+WIDTH, TOKENS = 128, 32
+#: By how many standard deviations fewer agreements than expected a pair may have and still be confirmed (about 1 pair in 10 million has fewer).
+SLACK = 5.2
+#: In the first pass members go to the first of their node that agrees in so many.
+ALIKE = 114
 _A = np.random.default_rng(41).integers(1, 2**63, WIDTH, dtype=np.uint64) | ts.U(1)
 _X = np.random.default_rng(43).integers(1, 2**63, WIDTH, dtype=np.uint64)
 
@@ -72,61 +72,69 @@ def _signatures(size: int):
             some = n > 0
             first = at[:-1][some]
             one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            tokens = np.zeros((len(n), WIDTH), np.uint32)
+            tokens = np.zeros((len(n), TOKENS), np.uint32)
+            nibbles = np.zeros((len(n), WIDTH), np.uint8)
             if len(first):
                 one[some] = np.add.reduceat(ts.mix(h), first)
                 two[some] = np.add.reduceat(ts.mix(h ^ _X[0]), first)
                 for j in range(WIDTH):
-                    tokens[some, j] = ts.mix(np.minimum.reduceat((h ^ _X[j]) * _A[j], first)) >> ts.U(32)
+                    token = ts.mix(np.minimum.reduceat((h ^ _X[j]) * _A[j], first)) >> ts.U(32)
+                    nibbles[some, j] = token & ts.U(15)
+                    if j < TOKENS:
+                        tokens[some, j] = token
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(RID)), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([x.tobytes() for x in tokens], pa.binary())],
-                names=[RID, "n", "h1", "h2", "tokens"],
+                [batch.column(batch.schema.get_field_index(RID)), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([x.tobytes() for x in tokens], pa.binary()), pa.array([x.tobytes() for x in nibbles[:, ::2] << 4 | nibbles[:, 1::2]], pa.binary())],
+                names=[RID, "n", "h1", "h2", "tokens", "sketch"],
             )
 
     return run
 
 
-NODE = "node long, rep long, n long, label long, depth int, sketch binary"
-
-
-def _branch(trees: int, root: int, deeper: int, root_level: bool):
-    """For mapInArrow over (rep, n, label, tokens) or, below the root, (..., node, depth): members of child nodes."""
+def _branch(trees: int, root: int, deeper: int, root_level: bool, narrow: bool = False):
+    """For mapInArrow over (rep, n, label, tokens, sketch), below the root also node: members of child nodes; narrow: only (node, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            rep, n, label = (column(batch, c) for c in ("rep", "n", "label"))
-            raw = batch.column(batch.schema.get_field_index("tokens")).to_pylist()
-            tokens = np.frombuffer(b"".join(raw), np.uint32).reshape(len(raw), WIDTH)
-            sketch = tokens.astype(np.uint8)
+            rows = np.arange(len(batch))
+            raw = batch.column(batch.schema.get_field_index("tokens"))
+            tokens = np.frombuffer(b"".join(raw.to_pylist()), np.uint32).reshape(len(rows), TOKENS)
+            who, node = [], []
             if root_level:
-                paths = [(np.full(len(rep), t, np.uint64), root) for t in range(trees)]
-                depth = np.zeros(len(rep), np.int32)
+                for c in range(trees * root):
+                    who.append(rows)
+                    path = ts.U((c // root * int(ts.ODD[3]) + c * int(ts.ODD[4])) % 2**64)
+                    node.append(ts.mix(tokens[:, c] * ts.ODD[5] + path))
             else:
-                paths = [(column(batch, "node").view(np.uint64), deeper)]
-                depth = column(batch, "depth").astype(np.int32)
-            who, node = [], []
-            for path, k in paths:
-                # a node's order of coordinates comes from its path alone: an odd step from a hashed first one visits all
+                # the order of the coordinates that no root uses comes from the path alone
+                path, free = column(batch, "node").view(np.uint64), TOKENS - trees * root
                 seed = ts.mix(path * ts.ODD[1] + ts.ODD[2])
-                first, step = seed % ts.U(WIDTH), (seed >> ts.U(32)) | ts.U(1)
-                for c in range(k):
-                    at = ((first + ts.U(c) * step) % ts.U(WIDTH)).astype(np.int64)
-                    token = tokens[np.arange(len(rep)), at].astype(np.uint64)
-                    who.append(np.arange(len(rep)))
-                    node.append(ts.mix(seed * ts.ODD[3] + at.astype(np.uint64) * ts.ODD[4] + token * ts.ODD[5]))
-            who, node = np.concatenate(who), np.concatenate(node)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node.view(np.int64)), pa.array(rep[who]), pa.array(n[who]), pa.array(label[who]), pa.array(depth[who] + 1, pa.int32()), pa.array([x.tobytes() for x in sketch[who]], pa.binary())],
-                names=["node", "rep", "n", "label", "depth", "sketch"],
-            )
+                for c in range(deeper):
+                    at = (trees * root + (seed + ts.U(c) * (ts.U(1) + (seed >> ts.U(40)) % ts.U(free // deeper))) % ts.U(free)).astype(np.int64)
+                    who.append(rows)
+                    node.append(ts.mix(seed * ts.ODD[3] + at.astype(np.uint64) * ts.ODD[4] + tokens[rows, at] * ts.ODD[5]))
+            who, node = np.concatenate(who), pa.array(np.concatenate(node).view(np.int64))
+            names = ["label"] if narrow else ["rep", "n", "label", "sketch", "tokens"]
+            for a in range(0, len(who), 20_000):
+                part = batch.take(pa.array(who[a : a + 20_000]))
+                yield pa.RecordBatch.from_arrays([node.slice(a, 20_000), *(part.column(part.schema.get_field_index(c)) for c in names)], names=["node", *names])
 
     return run
 
 
 def _agreeing(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return (sketch[i] == sketch[j]).sum(axis=1)
+    """Coordinates whose four bits agree, of rows of eight 64-bit words."""
+    x = sketch[i] ^ sketch[j]
+    x |= x >> ts.U(2)
+    x |= x >> ts.U(1)
+    return WIDTH - np.bitwise_count(x & ts.U(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+
+
+def least_agreements(percent: int) -> int:
+    """Agreeing coordinates that a pair of so many percent similarity has, but for chances beyond SLACK deviations."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return int(WIDTH * p - SLACK * np.sqrt(WIDTH * p * (1 - p)))
 
 
 def _candidates(rep: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.ndarray, node: np.ndarray, percent: int, star: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +145,7 @@ def _candidates(rep: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.nd
     rows = np.arange(total)
     behind = np.repeat(begins + sizes, sizes) - rows - 1  # members of the node after this one
     taken = np.zeros(total, bool)
+    wanted = ALIKE if star else least_agreements(percent)
     left, right = [], []
     d, alive = 1, rows[behind >= 1]
     while len(alive):
@@ -147,7 +156,7 @@ def _candidates(rep: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.nd
             m = (lo * 100 >= hi * percent) & (label[i] != label[j]) & (rep[i] != rep[j])
             i, j = i[m], j[m]
             if len(i):
-                m = _agreeing(sketch, i, j) >= (ALIKE if star else AGREE)
+                m = _agreeing(sketch, i, j) >= wanted
                 if star:
                     m &= ~taken[j]
                     taken[j[m]] = True
@@ -162,101 +171,81 @@ def _candidates(rep: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.nd
     return np.minimum(a, b), np.maximum(a, b)
 
 
-COMPARED = "a long, b long, n long, label long, node long, depth int"
-
-
-def _compare(leaf: int, percent: int, star: bool):
-    """For mapInArrow over members sorted by node and rep: pairs of leaves (node null); members of larger nodes as they are (b null)."""
-
-    def batch_of(a: np.ndarray, b: np.ndarray | None, n=None, label=None, node=None, depth=None) -> pa.RecordBatch:
-        none = lambda t: pa.nulls(len(a), t)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a), none(pa.int64()) if b is None else pa.array(b), *(none(pa.int64()) if c is None else pa.array(c) for c in (n, label, node)), none(pa.int32()) if depth is None else pa.array(depth, pa.int32())],
-            names=["a", "b", "n", "label", "node", "depth"],
-        )
+def _compare(percent: int, star: bool):
+    """For mapInArrow over members sorted by node and rep, in nodes of bounded size: candidate pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []  # the members so far of the node that the last batch ended in, at most leaf + a batch
-        large: int | None = None  # a node known to be larger than a leaf
+        held: pa.Table | None = None  # the members so far of the node that the last batch ended in
 
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            """Whole nodes."""
-            nonlocal large
-            if not t.num_rows:
-                return
-            node = t.column("node").to_numpy()
-            cols = {c: t.column(c).to_numpy() for c in ("rep", "n", "label", "depth")}
-            begins = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            sizes = np.diff(np.append(begins, len(node)))
-            over = np.repeat((sizes > leaf) | (node[begins] == (large if large is not None else -1)) & (large is not None), sizes)
-            alone = np.repeat(sizes < 2, sizes)
-            if over.any():
-                yield batch_of(cols["rep"][over], None, cols["n"][over], cols["label"][over], node[over], cols["depth"][over])
-            use = np.flatnonzero(~over & ~alone)
-            if len(use):
-                sketch = np.frombuffer(b"".join(t.column("sketch").take(pa.array(use)).to_pylist()), np.uint8).reshape(len(use), WIDTH)
-                a, b = _candidates(cols["rep"][use], cols["n"][use], cols["label"][use], sketch, node[use], percent, star)
-                yield batch_of(a, b)
+            if t.num_rows > 1:
+                sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, WIDTH // 16)
+                a, b = _candidates(*(t.column(c).to_numpy() for c in ("rep", "n", "label")), sketch, t.column("node").to_numpy(), percent, star)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
         for batch in batches:
             if not len(batch):
                 continue
-            t = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
             node = t.column("node").to_numpy()
             last = int(np.searchsorted(node, node[-1]))
             yield from emit(t.slice(0, last))
-            rest = t.slice(last)
-            if rest.num_rows > leaf or large == int(node[-1]):
-                large = int(node[-1])
-                yield from emit(rest)
-                held = []
-            else:
-                held = [rest]
-        if held:
-            yield from emit(pa.concat_tables(held))
+            held = t.slice(last)
+        if held is not None:
+            yield from emit(held)
 
     return run
 
 
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """Large nodes of the last level as nodes of their own for each pair of blocks of members."""
-    sized = members.groupBy("node").count().select("node", F.ceil(F.col("count") / block).cast("int").alias("k"))
-    placed = members.join(sized, "node").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    pairs = placed.select("*", other.alias("other"))
-    key = F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other"))
-    return pairs.select(key.alias("node"), "rep", "n", "label", "depth", "sketch")
+def _bounded(df: DataFrame, each: int) -> DataFrame:
+    """df, written before, marked for broadcast if its measured size allows."""
+    return F.broadcast(df) if df.count() * each <= BROADCAST_BYTES else df
+
+
+def _in_parts(members: DataFrame, leaf: int) -> DataFrame:
+    """Members of nodes, larger ones split at random into nodes of about leaf members."""
+    part = F.pmod(F.xxhash64("node", "rep"), F.ceil(F.col("size") * 2 / leaf))
+    return members.withColumn("node", F.when(F.col("size") <= leaf, F.col("node")).otherwise(F.xxhash64("node", part)))
+
+
+def _in_blocks(members: DataFrame, leaf: int) -> DataFrame:
+    """Members of large nodes, once for each block that theirs is compared with; each pair of blocks is a node."""
+    k = F.ceil(F.col("size") * 2 / leaf).cast("int")
+    placed = members.withColumn("mine", F.pmod(F.xxhash64("rep"), k).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
+    return placed.withColumn("node", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")))
 
 
 def candidate_pairs(classes: DataFrame, star: bool, percent: int, trees: int, root: int, deeper: int, levels: int, leaf: int) -> DataFrame:
-    """(a, b), a < b, distinct, of classes (rep, n, label, tokens)."""
-    nodes = classes.mapInArrow(_branch(trees, root, deeper, True), NODE)
+    """(a, b), a < b, distinct, of classes (rep, n, label, tokens, sketch) with different labels."""
     found = None
-    for level in range(levels + 2):
-        last = level > levels
-        ordered = nodes.repartition("node").sortWithinPartitions("node", "rep")
-        out = spill(ordered.mapInArrow(_compare(leaf if not last else 1 << 30, percent, star), COMPARED), "nodes")
-        pairs = out.filter("b is not null").select("a", "b")
+    above = classes
+    for level in range(levels + 1):
+        grown = (trees, root, deeper, level == 0)
+        # which nodes have members of different labels, and how many; counted where they are before they travel
+        sizes = above.mapInArrow(_branch(*grown, narrow=True), "node long, label long").groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        sizes = spill(sizes.filter("lo <> hi").select("node", "size"), "node-sizes")
+        members = above.mapInArrow(_branch(*grown), "node long, rep long, n long, label long, sketch binary, tokens binary").join(_bounded(sizes, 48), "node")
+        last = star or level == levels
+        large = sizes.filter(F.col("size") > leaf)
+        some_large = bool(large.take(1))
+        if some_large and not last:
+            members = spill(members, "members")
+        small = members.filter(F.col("size") <= leaf)
+        if some_large and last:
+            small = _in_parts(members, leaf) if star else small.unionByName(_in_blocks(members.filter(F.col("size") > leaf), leaf).select(*small.columns))
+        ordered = small.select("node", "rep", "n", "label", "sketch").repartition("node").sortWithinPartitions("node", "rep")
+        pairs = spill(ordered.mapInArrow(_compare(percent, star), "a long, b long"), "node-pairs")
         found = pairs if found is None else found.unionByName(pairs)
-        large = out.filter("b is null").select(F.col("a").alias("rep"), "node", "depth")
-        if last or not large.take(1):
+        if last or not some_large:
             break
-        members = large.join(classes, "rep")
-        if level < levels:
-            nodes = members.mapInArrow(_branch(trees, root, deeper, False), NODE)
-        else:
-            sketch = members.mapInArrow(_sketch, "node long, rep long, n long, label long, depth int, sketch binary")
-            nodes = _blocks(sketch, leaf)
+        above = members.filter(F.col("size") > leaf).drop("size")
     return found.distinct()
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = [np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in batch.column(batch.schema.get_field_index("tokens")).to_pylist()]
-        cols = [batch.column(batch.schema.get_field_index(c)) for c in ("node", "rep", "n", "label", "depth")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(raw, pa.binary())], names=["node", "rep", "n", "label", "depth", "sketch"])
-
-
 def _sets(size: int):
     """For mapInArrow over (RID, text, payload): the shingle set of each document for each place it is compared at."""
 
@@ -323,21 +312,21 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int, part:
     return ordered.mapInArrow(_confirm(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = 5, root: int = 2, deeper: int = 3, levels: int = 3, leaf: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = 4, root: int = 2, deeper: int = 3, levels: int = 2, leaf: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(RID, doc_id, n_shingles, component, component_id, kept): documents are linked from ``percent`` similarity on.
 
     component_id: the smallest doc_id reachable over links; kept: the one document of
     each component that stays.
     """
     docs = identify(docs, id_col, text_col)
-    signed = spill(docs.select(RID, "text").mapInArrow(_signatures(shingle), f"{RID} long, n long, h1 long, h2 long, tokens binary"), "signatures")
-    grouped = signed.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min(RID).alias("rep"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"))
+    signed = spill(docs.select(RID, "text").mapInArrow(_signatures(shingle), f"{RID} long, n long, h1 long, h2 long, tokens binary, sketch binary"), "signatures")
+    grouped = signed.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min(RID).alias("rep"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     grouped = spill(grouped, "classes")
-    classes = grouped.select("rep", "n", F.col("rep").alias("label"), "tokens")
+    classes = grouped.select("rep", "n", F.col("rep").alias("label"), "tokens", "sketch")
     tree = (percent, trees, root, deeper, levels, leaf)
     first = spill(confirmed(docs, spill(candidate_pairs(classes, True, *tree), "pairs"), shingle, percent), "near-links")
     joined = spill(components(first), "labels")
-    labelled = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "label").alias("label"), "tokens")
+    labelled = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "label").alias("label"), "tokens", "sketch")
     labelled = spill(labelled, "labelled")
     second = spill(confirmed(docs, spill(candidate_pairs(labelled, False, *tree), "pairs"), shingle, percent), "links")
     whole = spill(components(first.unionByName(second)), "components")

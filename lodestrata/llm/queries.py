@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, neardup, packing, substring, suffix, toxicity, urls, warc
+from . import decontam, licenses, media, neardup, packing, substring, suffix, toxicity, urls, warc
 from .common import bound_batches
 
 
@@ -26,6 +26,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: a picture is drawn for each vector; edited copies of every one whose id is divisible by 50 are searched among all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return media.find_copies(media.drawn(vectors.filter(F.col("vec_id") % 50 == 0), edited=True), media.drawn(vectors))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: the canonical URLs of every page whose id is divisible by 50."""
     pages = table(spark, sf_dir, "pages")
@@ -59,7 +65,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_packing, op2_license_scan, op4_url_filter, op5_decontamination, op6_minhash_dedup, op7_toxicity, op8_warc, op9_substring_dedup, op10_suffix_dedup)
+    ops = (op1_packing, op2_license_scan, op3_media_copies, op4_url_filter, op5_decontamination, op6_minhash_dedup, op7_toxicity, op8_warc, op9_substring_dedup, op10_suffix_dedup)
     return {f.__name__: f for f in ops}
 
 
