@@ -59,11 +59,11 @@ def threshold_filter(t):
 @query(
     """WITH RECURSIVE c AS (SELECT e.vec_id AS id, e.embedding::DOUBLE[] AS v, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s
         FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 ORDER BY s DESC, id LIMIT 20),
-    m AS (SELECT 1 AS k, [arg_max(id, (s, -id))] AS ids FROM c
+    m AS (SELECT 1 AS k, [f] AS ids FROM (SELECT arg_max(id, (s, -id)) AS f FROM c)
         UNION ALL
-        SELECT k + 1, list_append(ids, arg_max(id, (val, s, -id))) FROM (
-            SELECT m.k, m.ids, c.id, c.s, 0.5 * c.s - 0.5 * max(list_cosine_similarity(c.v, d.v)) AS val
-            FROM m JOIN c ON NOT list_contains(m.ids, c.id) JOIN c d ON list_contains(m.ids, d.id) WHERE m.k < 5 GROUP BY ALL) GROUP BY k, ids)
+        SELECT g.k + 1, list_append(g.ids, g.best) FROM (SELECT k, ids, arg_max(id, (0.5 * s - 0.5 * alike, s, -id)) AS best FROM (
+            SELECT m.k, m.ids, c.id, c.s, max(list_cosine_similarity(c.v, d.v)) AS alike
+            FROM m JOIN c ON NOT list_contains(m.ids, c.id) JOIN c d ON list_contains(m.ids, d.id) WHERE m.k < 5 GROUP BY m.k, m.ids, c.id, c.s) GROUP BY k, ids) g)
     SELECT u.id, u.rank, round(c.s, 6) AS score FROM (SELECT unnest(ids) AS id, unnest(range(1, 6)) AS rank FROM m WHERE k = 5) u JOIN c ON c.id = u.id"""
 )
 def mmr(t):
