@@ -7,21 +7,50 @@ from pyspark.sql import functions as F
 
 from .common import spill
 
+#: Links up to which one task joins them; beyond, rounds of joins do.
+SMALL = 500_000
+
+
+def _united(batches):
+    """Union-find over the batches of one partition: (node, component)."""
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
+
 
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, small: int = SMALL) -> DataFrame:
     """(node, component) of the nodes of links (a, b): the smallest node reachable.
 
-    Alternates large-star and small-star rounds until nothing changes; each round is
-    two aggregations and joins and is written, so no lineage grows.  Self links,
-    repeated links and nulls are of no effect.
+    Links of a measured number of at most ``small`` are united in one task.  Beyond
+    that, large-star and small-star rounds alternate until nothing changes; each
+    round is two aggregations and joins and is written, so no lineage grows.  Self
+    links, repeated links and nulls are of no effect.
     """
     links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = spill(links, "links")
     before = _state(links)
+    if before[0] <= small:
+        return links.coalesce(1).mapInArrow(_united, "node long, component long")
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

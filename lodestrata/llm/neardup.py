@@ -104,8 +104,7 @@ def _branch(trees: int, root: int, deeper: int, root_level: bool, narrow: bool =
             if root_level:
                 for c in range(trees * root):
                     who.append(rows)
-                    path = ts.U((c // root * int(ts.ODD[3]) + c * int(ts.ODD[4])) % 2**64)
-                    node.append(ts.mix(tokens[:, c] * ts.ODD[5] + path))
+                    node.append(_root_nodes(tokens, c, root))
             else:
                 # the order of the coordinates that no root uses comes from the path alone
                 path, free = column(batch, "node").view(np.uint64), TOKENS - trees * root
@@ -123,6 +122,12 @@ def _branch(trees: int, root: int, deeper: int, root_level: bool, narrow: bool =
     return run
 
 
+def _root_nodes(tokens: np.ndarray, c: int, root: int) -> np.ndarray:
+    """The child that each member goes to from a root's coordinate."""
+    path = ts.U((c // root * int(ts.ODD[3]) + c * int(ts.ODD[4])) % 2**64)
+    return ts.mix(tokens[:, c] * ts.ODD[5] + path)
+
+
 def _agreeing(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Coordinates whose four bits agree, of rows of eight 64-bit words."""
     x = sketch[i] ^ sketch[j]
@@ -137,8 +142,8 @@ def least_agreements(percent: int) -> int:
     return int(WIDTH * p - SLACK * np.sqrt(WIDTH * p * (1 - p)))
 
 
-def _candidates(rep: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.ndarray, node: np.ndarray, percent: int, star: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smaller, larger number) worth confirming, of rows sorted by node and rep."""
+def _candidates(rep: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.ndarray, node: np.ndarray, percent: int, star: bool) -> tuple[np.ndarray, ...]:
+    """Pairs (smaller, larger number) worth confirming, with their nodes, of rows sorted by node and rep."""
     total = len(node)
     begins = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
     sizes = np.diff(np.append(begins, total))
@@ -146,7 +151,7 @@ def _candidates(rep: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.nd
     behind = np.repeat(begins + sizes, sizes) - rows - 1  # members of the node after this one
     taken = np.zeros(total, bool)
     wanted = ALIKE if star else least_agreements(percent)
-    left, right = [], []
+    left, right, where = [], [], []
     d, alive = 1, rows[behind >= 1]
     while len(alive):
         for a in range(0, len(alive), 1 << 16):
@@ -162,17 +167,35 @@ def _candidates(rep: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.nd
                     taken[j[m]] = True
                 left.append(rep[i[m]])
                 right.append(rep[j[m]])
+                where.append(node[i[m]])
         d += 1
         alive = alive[behind[alive] >= d]
     if not left:
         z = np.zeros(0, np.int64)
-        return z, z
+        return z, z, z
     a, b = np.concatenate(left), np.concatenate(right)
-    return np.minimum(a, b), np.maximum(a, b)
+    return np.minimum(a, b), np.maximum(a, b), np.concatenate(where)
+
 
+def _compare(percent: int, star: bool, once=None):
+    """For mapInArrow over members sorted by node and rep, in nodes of bounded size: candidate pairs.
+
+    once: coordinates and branching of the roots and the sorted array of large nodes;
+    a pair is then left to the first of the roots' small nodes that it shares.
+    """
 
-def _compare(percent: int, star: bool):
-    """For mapInArrow over members sorted by node and rep, in nodes of bounded size: candidate pairs."""
+    def elsewhere(t: pa.Table, a: np.ndarray, b: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Whether a pair is found in a small node of an earlier coordinate than this node's."""
+        coordinates, root, large = once
+        reps, at = np.unique(t.column("rep").to_numpy(), return_index=True)
+        tokens = np.frombuffer(b"".join(t.column("tokens").take(pa.array(at)).to_pylist()), np.uint32).reshape(-1, TOKENS)
+        i, j = np.searchsorted(reps, a), np.searchsorted(reps, b)
+        found, earlier = np.zeros(len(a), bool), np.ones(len(a), bool)
+        for c in range(coordinates):
+            here = _root_nodes(tokens, c, root).view(np.int64)[i]
+            earlier &= here != node
+            found |= earlier & (tokens[i, c] == tokens[j, c]) & ~np.isin(here, large.value)
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the members so far of the node that the last batch ended in
@@ -180,7 +203,10 @@ def _compare(percent: int, star: bool):
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
             if t.num_rows > 1:
                 sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, WIDTH // 16)
-                a, b = _candidates(*(t.column(c).to_numpy() for c in ("rep", "n", "label")), sketch, t.column("node").to_numpy(), percent, star)
+                a, b, node = _candidates(*(t.column(c).to_numpy() for c in ("rep", "n", "label")), sketch, t.column("node").to_numpy(), percent, star)
+                if once is not None and len(a):
+                    m = ~elsewhere(t, a, b, node)
+                    a, b = a[m], b[m]
                 order = np.lexsort((b, a))
                 a, b = a[order], b[order]
                 new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
@@ -237,8 +263,13 @@ def candidate_pairs(classes: DataFrame, star: bool, percent: int, trees: int, ro
         small = members.filter(F.col("size") <= leaf)
         if some_large and last:
             small = _in_parts(members, leaf) if star else small.unionByName(_in_blocks(members.filter(F.col("size") > leaf), leaf).select(*small.columns))
-        ordered = small.select("node", "rep", "n", "label", "sketch").repartition("node").sortWithinPartitions("node", "rep")
-        pairs = spill(ordered.mapInArrow(_compare(percent, star), "a long, b long"), "node-pairs")
+        once = None
+        if level == 0 and not star and large.count() * 8 <= BROADCAST_BYTES:
+            names = np.sort(np.array([r[0] for r in large.select("node").toLocalIterator()], np.int64))
+            once = (trees * root, root, classes.sparkSession.sparkContext.broadcast(names))
+        columns = ["node", "rep", "n", "label", "sketch"] + ["tokens"] * (once is not None)
+        ordered = small.select(*columns).repartition("node").sortWithinPartitions("node", "rep")
+        pairs = spill(ordered.mapInArrow(_compare(percent, star, once), "a long, b long"), "node-pairs")
         found = pairs if found is None else found.unionByName(pairs)
         if last or not some_large:
             break

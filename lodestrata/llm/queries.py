@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, licenses, media, neardup, packing, substring, suffix, toxicity, urls, warc
 from .common import bound_batches
+from .sql import SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
