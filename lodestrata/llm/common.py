@@ -130,6 +130,8 @@ def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of equal length as byte planes (equal high bytes then compress to nothing in shuffles and files)."""
     n = len(columns[0])
+    if not n:
+        return bytes(4)
     return b"".join([np.uint32(n).tobytes(), *(np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() for c in columns)])
 
 
@@ -196,12 +198,16 @@ def merge_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return doc[first], start[first], reach[last] - lift[last]
 
 
-def attach(docs: DataFrame, side: DataFrame, key: str = RID, how: str = "left", each: Column | None = None) -> DataFrame:
+def attach(docs: DataFrame, side: DataFrame, key: str = RID, how: str = "left", each: Column | None = None, broadcast: bool = True) -> DataFrame:
     """Joins per-document data to the texts; side is (key, payload, ...), written before, one row per key.
 
     Side data of at most BROADCAST_BYTES are broadcast; beyond that both sides are
     shuffled by key.  The size is measured, not estimated; each: bytes of a row.
+    broadcast=False: for side data that are a fixed share of the text, both sides are
+    shuffled at any size.
     """
+    if not broadcast:
+        return docs.join(side.hint("shuffle_hash"), key, how)
     each = F.octet_length("payload") + F.lit(64) if each is None else each
     size = side.agg(F.sum(each)).first()[0] or 0
     return docs.join(F.broadcast(side) if size <= BROADCAST_BYTES else side.hint("shuffle_hash"), key, how)

@@ -13,7 +13,7 @@ tasks as there are pairs of blocks.
 
 Pairs that a signature sketch can't rule out are confirmed on the full sets of
 64-bit shingle hashes.  This happens in two passes.  The first sends every member
-of a root's child only to the first member it strongly resembles; the links
+of a root's child only to the one before it that it resembles most; the links
 confirmed there join most of a group of near copies.  The second does the whole
 join, but only where members of different components meet: no link between
 different components is lost, groups of copies don't turn into all their pairs,
@@ -42,8 +42,6 @@ from .graph import components
 WIDTH, TOKENS = 128, 32
 #: By how many standard deviations fewer agreements than expected a pair may have and still be confirmed (about 1 pair in 10 million has fewer).
 SLACK = 5.2
-#: In the first pass members go to the first of their node that agrees in so many.
-ALIKE = 114
 _A = np.random.default_rng(41).integers(1, 2**63, WIDTH, dtype=np.uint64) | ts.U(1)
 _X = np.random.default_rng(43).integers(1, 2**63, WIDTH, dtype=np.uint64)
 
@@ -149,8 +147,8 @@ def _candidates(rep: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.nd
     sizes = np.diff(np.append(begins, total))
     rows = np.arange(total)
     behind = np.repeat(begins + sizes, sizes) - rows - 1  # members of the node after this one
-    taken = np.zeros(total, bool)
-    wanted = ALIKE if star else least_agreements(percent)
+    wanted = least_agreements(percent)
+    best, nearest = np.full(total, wanted - 1), np.full(total, -1)
     left, right, where = [], [], []
     d, alive = 1, rows[behind >= 1]
     while len(alive):
@@ -161,15 +159,20 @@ def _candidates(rep: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.nd
             m = (lo * 100 >= hi * percent) & (label[i] != label[j]) & (rep[i] != rep[j])
             i, j = i[m], j[m]
             if len(i):
-                m = _agreeing(sketch, i, j) >= wanted
+                alike = _agreeing(sketch, i, j)
+                m = alike >= wanted
                 if star:
-                    m &= ~taken[j]
-                    taken[j[m]] = True
+                    m = alike > best[j]
+                    best[j[m]], nearest[j[m]] = alike[m], i[m]
+                    continue
                 left.append(rep[i[m]])
                 right.append(rep[j[m]])
                 where.append(node[i[m]])
         d += 1
         alive = alive[behind[alive] >= d]
+    if star:
+        j = np.flatnonzero(nearest >= 0)
+        left, right, where = [rep[nearest[j]]], [rep[j]], [node[j]]
     if not left:
         z = np.zeros(0, np.int64)
         return z, z, z

@@ -284,7 +284,7 @@ def repeated_spans(docs: DataFrame, span: int = 50, gram: int = 25) -> DataFrame
     blobs = docs.select(RID, "text").mapInArrow(superwindow_blobs(spec, n), BLOB)
     first = spill(blobs.groupBy("bucket").applyInArrow(_match(spec, n), KINDED), "suffix-first")
     reps = spill(reps_per_document(only(first, 1), "u4", "u1", "u4", "u4"), "suffix-open")
-    segments = attach(docs.select(RID, "text"), reps, how="inner").mapInArrow(_segments(spec), BLOB)
+    segments = attach(docs.select(RID, "text"), reps, how="inner", broadcast=False).mapInArrow(_segments(spec), BLOB)
     second = spill(segments.groupBy("bucket").applyInArrow(_transform(spec, n), KINDED), "suffix-second")
     return spill(per_document(only(first, 0).unionByName(second)), "suffix-spans")
 

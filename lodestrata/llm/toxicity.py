@@ -101,7 +101,7 @@ class Model:
         doc, h = _distinct(doc[m], h[m])
         at = np.minimum(np.searchsorted(self.features, h), len(self.features) - 1)
         hit = self.features[at] == h
-        return np.bincount(doc[hit], weights=self.weights[at[hit]], minlength=len(off) - 1)
+        return np.bincount(doc[hit], weights=self.weights[at[hit]], minlength=len(off) - 1).astype(np.float64)
 
     def above(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k), a column for each border k."""
