@@ -9,7 +9,7 @@ vote for a displacement and a scale; an image is a copy if enough different corn
 of the query agree on one (cropping moves all by the same step; edits of brightness
 and contrast leave the tests alone).
 
-Images are binary graymaps (P5).  Equal images (by SHA-256) form one class; classes
+Images are binary graymaps (P5).  Equal images (by 60 bits of SHA-256) form one class; classes
 are searched, and a match names its smallest id and how many there are, so copies
 are not expanded into pairs.  Keys of the queries filter the index where they are
 computed while their measured size allows; beyond that both sides are shuffled.
@@ -27,18 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, spill
 
 #: Corners per scale, patch radius, bits, and how many bits may differ.
-CORNERS, RADIUS, BITS, FAR = (32, 16), 8, 256, 48
+CORNERS, RADIUS, BITS, FAR = (32, 16), 8, 256, 28
 _RNG = np.random.default_rng(1234)
 _PAIRS = np.clip(np.round(_RNG.normal(0, RADIUS / 2.2, (BITS, 4))), -RADIUS + 2, RADIUS - 2)
 _ANGLES = 32
 
-POINTS = "cls string, corner int, x int, y int, scale int, descriptor binary, key long"
+POINTS = "cls long, corner int, x int, y int, scale int, descriptor binary, key long"
 
 
 def graymap(pixels: np.ndarray) -> bytes:
@@ -140,7 +140,7 @@ def _points(wanted=None):
                         row, key = row[m], key[m]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([names[part[i][0]] for i in image[row].tolist()], pa.string()), *(pa.array(c[row].astype(np.int32)) for c in (corner, px, py, scale)),
+                            pa.array([names[part[i][0]] for i in image[row].tolist()], pa.int64()), *(pa.array(c[row].astype(np.int32)) for c in (corner, px, py, scale)),
                             pa.array([bits[i].tobytes() for i in row.tolist()], pa.binary()), pa.array(key),
                         ],
                         names=["cls", "corner", "x", "y", "scale", "descriptor", "key"],
@@ -158,9 +158,14 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(m)).select(list(range(2, batch.num_columns)))
 
 
+def _class(image: Column) -> Column:
+    """60 bits of the image's SHA-256."""
+    return F.conv(F.substring(F.sha2(image, 256), 1, 15), 16, 10).cast("long")
+
+
 def classes(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
     """(cls, match_id, n_copies, image): equal images once."""
-    seen = images.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).cast("binary").alias("image")).withColumn("cls", F.sha2("image", 256)).filter("image is not null")
+    seen = images.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).cast("binary").alias("image")).withColumn("cls", _class(F.col("image"))).filter("image is not null")
     return seen.groupBy("cls").agg(F.min("id").alias("match_id"), F.count("*").alias("n_copies"), F.first("image").alias("image"))
 
 
@@ -171,7 +176,7 @@ def find_copies(queries: DataFrame, index: DataFrame, least: int = 5, step: int
     (two grids, half a step apart, so that none falls between).
     """
     spark = queries.sparkSession
-    asked = spill(queries.select(F.col(id_col).cast("long").alias("query_id"), F.sha2(F.col(image_col).cast("binary"), 256).alias("cls")).filter("cls is not null"), "asked")
+    asked = spill(queries.select(F.col(id_col).cast("long").alias("query_id"), _class(F.col(image_col).cast("binary")).alias("cls")).filter("cls is not null"), "asked")
     own = spill(classes(queries, id_col, image_col).select("cls", "image").mapInArrow(_points(), POINTS), "query-points")
     known = spill(classes(index, id_col, image_col), "image-classes")
     keys = own.select("key").distinct()
@@ -182,7 +187,7 @@ def find_copies(queries: DataFrame, index: DataFrame, least: int = 5, step: int
     stored = known.select("cls", "image").mapInArrow(_points(wanted), POINTS)
     q = own.select("key", F.col("cls").alias("q_cls"), F.col("corner").alias("q_corner"), F.col("x").alias("q_x"), F.col("y").alias("q_y"), F.col("scale").alias("q_scale"), F.col("descriptor").alias("q_descriptor"))
     met = stored.join(q, "key").select("descriptor", "q_descriptor", "cls", "q_cls", "q_corner", (F.col("x") - F.col("q_x")).alias("dx"), (F.col("y") - F.col("q_y")).alias("dy"), (F.col("scale") - F.col("q_scale")).alias("ds"))
-    near = met.mapInArrow(_near, "cls string, q_cls string, q_corner int, dx int, dy int, ds int")
+    near = met.mapInArrow(_near, "cls long, q_cls long, q_corner int, dx int, dy int, ds int")
     shift = F.explode(F.array(F.lit(0), F.lit(step // 2))).alias("g")
     voted = near.select("*", shift).withColumn("bx", F.floor((F.col("dx") + F.col("g")) / step)).withColumn("by", F.floor((F.col("dy") + F.col("g")) / step))
     bins = voted.groupBy("q_cls", "cls", "ds", "g", "bx", "by").agg(F.count_distinct("q_corner").alias("votes"), F.round(F.avg("dx"), 3).alias("dx"), F.round(F.avg("dy"), 3).alias("dy")).filter(F.col("votes") >= least)
