@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 64
 
@@ -22,7 +23,7 @@ def hash_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     return (out / np.where(length == 0, 1, length)).astype(np.float32)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def hash_embedding(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series(list(hash_vectors([x or "" for x in texts])))

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import drop_boilerplate
 
@@ -65,7 +66,7 @@ def read_html(page: str | None) -> str | None:
     return "\n".join(reader.nodes)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_nodes(page: pd.Series) -> pd.Series:
     return page.map(read_html)
 

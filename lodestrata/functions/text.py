@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def trigrams(text: Column) -> Column:
@@ -60,7 +61,7 @@ def extract_metrics(text: Column) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition, which has no builtin."""
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))

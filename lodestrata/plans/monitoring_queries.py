@@ -8,7 +8,10 @@ from ..operators import monitoring as M
 from ..operators import store as S
 from .registry import query
 
-ERROR = F.col("event_type") == "error"
+
+
+def error():
+    return F.col("event_type") == "error"
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY event_type")
@@ -24,7 +27,7 @@ def latency_stats(t):
 
 @query("SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(coalesce(count(*) FILTER (event_type = 'error') / nullif(count(*), 0)::DOUBLE, 0), 6) AS error_rate FROM events")
 def error_rate(t):
-    return M.error_rate(t.events, ERROR).withColumn("error_rate", F.round("error_rate", 6))
+    return M.error_rate(t.events, error()).withColumn("error_rate", F.round("error_rate", 6))
 
 
 @query("SELECT event_type, user_id % 10 AS shard, count(*) AS n FROM events GROUP BY ALL")
@@ -64,7 +67,7 @@ def counter_rate(t):
 
 @query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(1 - count(*) FILTER (event_type = 'error') / count(*)::DOUBLE, 6) AS success_ratio FROM events GROUP BY ALL")
 def slo_success_5m(t):
-    return M.success_per_window(t.events, "ts", ERROR, "5 minutes").withColumn("success_ratio", F.round("success_ratio", 6))
+    return M.success_per_window(t.events, "ts", error(), "5 minutes").withColumn("success_ratio", F.round("success_ratio", 6))
 
 
 def _trailing(hours) -> str:
@@ -77,7 +80,7 @@ _ROUNDED = ", ".join(f"round(err_{h}h, 6) AS err_{h}h" for h in _HOURS)
 
 
 def _rates(t):
-    return M.trailing_error_rates(t.events, "ts", ERROR, _HOURS)
+    return M.trailing_error_rates(t.events, "ts", error(), _HOURS)
 
 
 def _round(df):
@@ -110,7 +113,7 @@ def latency_slo(t):
 
 @query("SELECT round(coalesce(count(*) FILTER (event_type <> 'error') / nullif(count(*), 0)::DOUBLE, 0), 6) AS success_rate, coalesce(count(*) FILTER (event_type <> 'error') / nullif(count(*), 0)::DOUBLE, 0) < 0.99 AS alert FROM events")
 def ingestion_success(t):
-    rate = M.share(F.count_if(~ERROR), F.count("*"))
+    rate = M.share(F.count_if(~error()), F.count("*"))
     return t.events.agg(rate.alias("r")).select(F.round("r", 6).alias("success_rate"), (F.col("r") < 0.99).alias("alert"))
 
 
@@ -120,13 +123,13 @@ def ingestion_success(t):
     SELECT min(s) AS alert_start, max(s) AS alert_end, count(*) AS n_windows FROM hot GROUP BY run HAVING count(*) >= 2"""
 )
 def alert_for_duration(t):
-    windows = M.success_per_window(t.events, "ts", ERROR, "1 hour")
+    windows = M.success_per_window(t.events, "ts", error(), "1 hour")
     return M.sustained(windows, "window_start", M.share(F.col("errors"), F.col("n")) > 0.2, 2, 3600)
 
 
 @query("SELECT event_id, event_type, value FROM events WHERE event_type = 'error' OR value >= 200 OR (('0x' || substr(md5(event_id::VARCHAR), 1, 4))::BIGINT % 100) < 1")
 def tail_sample(t):
-    return M.sampled_tail(t.events, ERROR | (F.col("value") >= 200), F.col("event_id")).select("event_id", "event_type", "value")
+    return M.sampled_tail(t.events, error() | (F.col("value") >= 200), F.col("event_id")).select("event_id", "event_type", "value")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 2")
@@ -136,7 +139,7 @@ def rate_limit_violations(t):
 
 @query("SELECT event_type, ts, event_id, value FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 20")
 def recent_errors(t):
-    return S.page(t.events.filter(ERROR).select("event_type", "ts", "event_id", "value"), (F.desc("ts"), "event_id"), 20)
+    return S.page(t.events.filter(error()).select("event_type", "ts", "event_id", "value"), (F.desc("ts"), "event_id"), 20)
 
 
 @query("SELECT event_id, user_id, ts, event_type FROM events WHERE user_id = 1 ORDER BY ts DESC, event_id LIMIT 10 OFFSET 2")

@@ -6,21 +6,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-FILINGS = T.StructType.fromDDL(
+FILINGS = (
     "id string not null, ticker string not null, filing_type string not null, fiscal_year smallint, fiscal_quarter smallint, filed_at date, source_url string, "
     "file_hash string, pages int, ingested_at timestamp, ingested_by string, is_active boolean not null"
 )
-CHUNKS = T.StructType.fromDDL(
+CHUNKS = (
     "id string not null, filing_id string not null, ticker string not null, filing_type string not null, fiscal_year smallint, section string, chunk_index int not null, "
     "chunk_text string not null, token_count int, embedding array<float> not null, metrics map<string,double>, entities string, sentiment_score float, created_at timestamp, model_version string"
 )
-HISTORY = T.StructType.fromDDL(
+HISTORY = (
     "id string not null, question string not null, answer string, agent_type string, analysis_style string, search_type string, ticker string, source_chunk_ids array<string>, "
     "latency_ms int, error string, session_id string, created_at timestamp"
 )
-MIGRATIONS = T.StructType.fromDDL("version string not null, description string, applied_at timestamp")
+MIGRATIONS = "version string not null, description string, applied_at timestamp"
 
 #: What columns of a closed set may hold.
 FILING_TYPES = ("10-K", "10-Q", "8-K", "20-F", "DEF 14A", "S-1")
