@@ -38,8 +38,8 @@ from . import textscan as ts
 from .common import BROADCAST_BYTES, RID, attach, column, identify, numbered, spill, text_chunks
 from .graph import components
 
-#: Coordinates of a signature; the sketch has four bits of each, the tokens 32 bits of the first TOKENS.
-WIDTH, TOKENS = 128, 32
+#: Coordinates of a signature; the sketch has two bits of each, the tokens 32 bits of the first TOKENS.
+WIDTH, TOKENS = 512, 32
 #: By how many standard deviations fewer agreements than expected a pair may have and still be confirmed (about 1 pair in 10 million has fewer).
 SLACK = 5.2
 _A = np.random.default_rng(41).integers(1, 2**63, WIDTH, dtype=np.uint64) | ts.U(1)
@@ -71,17 +71,17 @@ def _signatures(size: int):
             first = at[:-1][some]
             one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             tokens = np.zeros((len(n), TOKENS), np.uint32)
-            nibbles = np.zeros((len(n), WIDTH), np.uint8)
+            pairs = np.zeros((len(n), WIDTH), np.uint8)
             if len(first):
                 one[some] = np.add.reduceat(ts.mix(h), first)
                 two[some] = np.add.reduceat(ts.mix(h ^ _X[0]), first)
                 for j in range(WIDTH):
                     token = ts.mix(np.minimum.reduceat((h ^ _X[j]) * _A[j], first)) >> ts.U(32)
-                    nibbles[some, j] = token & ts.U(15)
+                    pairs[some, j] = token & ts.U(3)
                     if j < TOKENS:
                         tokens[some, j] = token
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(RID)), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([x.tobytes() for x in tokens], pa.binary()), pa.array([x.tobytes() for x in nibbles[:, ::2] << 4 | nibbles[:, 1::2]], pa.binary())],
+                [batch.column(batch.schema.get_field_index(RID)), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([x.tobytes() for x in tokens], pa.binary()), pa.array([x.tobytes() for x in pairs[:, ::4] << 6 | pairs[:, 1::4] << 4 | pairs[:, 2::4] << 2 | pairs[:, 3::4]], pa.binary())],
                 names=[RID, "n", "h1", "h2", "tokens", "sketch"],
             )
 
@@ -127,16 +127,15 @@ def _root_nodes(tokens: np.ndarray, c: int, root: int) -> np.ndarray:
 
 
 def _agreeing(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Coordinates whose four bits agree, of rows of eight 64-bit words."""
+    """Coordinates whose two bits agree, of rows of 64-bit words."""
     x = sketch[i] ^ sketch[j]
-    x |= x >> ts.U(2)
     x |= x >> ts.U(1)
-    return WIDTH - np.bitwise_count(x & ts.U(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+    return WIDTH - np.bitwise_count(x & ts.U(0x5555555555555555)).sum(axis=1, dtype=np.int64)
 
 
 def least_agreements(percent: int) -> int:
     """Agreeing coordinates that a pair of so many percent similarity has, but for chances beyond SLACK deviations."""
-    p = percent / 100 + (1 - percent / 100) / 16
+    p = percent / 100 + (1 - percent / 100) / 4
     return int(WIDTH * p - SLACK * np.sqrt(WIDTH * p * (1 - p)))
 
 
@@ -205,7 +204,7 @@ def _compare(percent: int, star: bool, once=None):
 
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
             if t.num_rows > 1:
-                sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, WIDTH // 16)
+                sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, WIDTH // 32)
                 a, b, node = _candidates(*(t.column(c).to_numpy() for c in ("rep", "n", "label")), sketch, t.column("node").to_numpy(), percent, star)
                 if once is not None and len(a):
                     m = ~elsewhere(t, a, b, node)
