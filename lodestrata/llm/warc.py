@@ -132,6 +132,7 @@ def _hex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
+_HEADER_END = re.compile(rb"\r\n\r\n")
 _MAGIC = b"\x1f\x8b\x08"
 
 
@@ -141,15 +142,14 @@ class Gap(Exception):
 
 def _parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the plain record at a position."""
-    window = bytes(data[at : at + 65536])
-    m = _VERSION.match(window)
+    m = _VERSION.match(data, at)
     if not m:
         raise Gap("no version line")
-    stop = window.find(b"\r\n\r\n")
-    if stop < 0:
+    stop = _HEADER_END.search(data, m.end())  # a header can be of any length
+    if not stop:
         raise Gap("no end of header")
     headers = {}
-    for line in window[m.end() : stop].split(b"\r\n"):
+    for line in bytes(data[m.end() : stop.start()]).split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             raise Gap("a header line without a colon")
@@ -157,7 +157,7 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, in
     length = headers.get("content-length", "")
     if not length.isdigit():
         raise Gap("no length")
-    begin = at + stop + 4
+    begin = stop.end()
     end = begin + int(length)
     if bytes(data[end : end + 4]) != b"\r\n\r\n":
         raise Gap("the block doesn't end where it should")
@@ -255,8 +255,12 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 
 def round_trip(pages: DataFrame, smallest: int = 0) -> DataFrame:
-    """Writes pages into archives and returns what the reader finds there: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes pages into archives and returns what the reader finds there: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Fails when read if the reader quarantines anything that was written.
+    """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_archives(pages, path, smallest)
-    return read_archives(spark, path).filter("fault is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    fault = F.concat_ws(" ", F.lit("quarantined:"), "path", "begin", "end", "fault")
+    return read_archives(spark, path).filter(F.when(F.col("fault").isNull(), True).otherwise(F.raise_error(fault).cast("boolean"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -341,6 +342,29 @@ def test_archives(spark, tmp_path):
     assert data.count(b"WARC/1.1\r\n") == len(rows)
 
 
+def test_archives_keep_pages_with_long_urls(spark, tmp_path):
+    long = "data:text/html," + "x" * 200_000
+    pages = spark.createDataFrame([(1, long, "same"), (2, "http://a/", "same"), (3, long, "own")], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert got == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None)}
+    warc.write_archives(pages, str(tmp_path / "w"))
+    assert {r.page_id: r.target for r in warc.read_archives(spark, str(tmp_path / "w")).collect()} == {1: long, 2: "http://a/", 3: long}
+    plain = b"".join(warc.record(i, long, b"p", None, "2024-01-01T00:00:00Z", False) for i in range(3))
+    assert [x[0] for x in warc.salvage(plain)] == ["record"] * 3
+
+
+def test_round_trip_fails_on_what_it_can_not_read(spark, monkeypatch):
+    def damaged(pages, path, smallest=0):
+        os.makedirs(path)
+        good = warc.member(warc.record(1, "u", b"p", None, "2024-01-01T00:00:00Z", False))
+        with open(f"{path}/part-0.txt", "wb") as f:
+            f.write(good + good[:-20])
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with pytest.raises(Exception, match="quarantined"):
+        warc.round_trip(spark.createDataFrame([(1, "u", "p")], "page_id long, url string, html string")).collect()
+
+
 def test_salvage():
     records = [warc.record(i, "http://x", f"<p>{i}</p>".encode() * 50, None, "2024-01-01T00:00:00Z", False) for i in range(5)]
     for whole in (b"".join(records), b"".join(map(warc.member, records)), records[0] + warc.member(records[1]) + b"".join(records[2:])):
