@@ -2,13 +2,12 @@
 
 Templates are short passages of licences with key phrases that must stand in them.
 A first pass counts in how many documents each template word occurs (over all
-documents); that gives the words' IDF.  The scan looks up each document's
-``rarest`` highest-IDF template words, and always the rarest word of every key
-phrase, so that no key phrase can be missed.  Their occurrences meet the templates'
-postings by relative position: an occurrence at p of a word that a template has at
-q votes for the template at p - q.  A template is found where the votes' share of
-its IDF weight reaches ``least`` (positions may shift by a few words) and one of its
-key phrases stands word for word at the place.
+documents); that gives the words' IDF.  The scan looks up the rarest word of every
+key phrase, in every document, so that no key phrase can be missed.  Where a key
+phrase stands word for word, all of its template's words vote: an occurrence at p of
+a word that the template has at q votes for the template at p - q.  The template is
+found if the votes' share of its IDF weight reaches ``least`` (positions may shift by
+a few words).  Other templates in the same document take nothing away from it.
 
 The base labels are templates of one key phrase each; all their places count.
 
@@ -115,24 +114,11 @@ def _document_frequencies(index: Index):
     return run
 
 
-def _rank_in_document(doc: np.ndarray, v: np.ndarray, idf: np.ndarray, rarest: int) -> np.ndarray:
-    """For each occurrence whether its word is among the document's rarest template words."""
-    width = len(idf)
-    pair, back = np.unique(doc * width + v, return_inverse=True)
-    d, w = pair // width, pair % width
-    order = np.lexsort((w, -idf[w], d))
-    first = np.r_[True, d[order][1:] != d[order][:-1]]
-    begin = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order)) - begin
-    return rank[back] < rarest
-
-
-def _scan(index: Index, idf: np.ndarray, rarest: int, least: float, shift: int):
+def _scan(index: Index, idf: np.ndarray, least: float, shift: int):
     anchor = [k[np.argmax(idf[k])] for k in index.keys]  # the rarest word of each key phrase
     weight = [idf[t].sum() for t in index.texts]
 
-    def places(wh, at, v, doc, used, items, t):
+    def places(wh, at, v, doc, items, t):
         """(place of the key phrase, document, share of weight) wherever template t is verified."""
         key = index.keys[t]
         mine = v == anchor[t]
@@ -142,25 +128,16 @@ def _scan(index: Index, idf: np.ndarray, rarest: int, least: float, shift: int):
         start, d = start[ok], doc[mine][ok]
         if index.templates[t].base or not len(start):
             return start, d, np.ones(len(start))
-        # votes of the used words' occurrences, by relative position
-        text = index.texts[t]
-        pos, where, docs = [], [], []
-        for q, w in enumerate(text):
-            m = used & (v == w)
-            pos.append(np.full(m.sum(), q))
-            where.append(at[m] - q)
-            docs.append(doc[m])
-        pos, where, docs = np.concatenate(pos), np.concatenate(where), np.concatenate(docs)
-        begin = start - index.key_at[t]
+        # votes of all the template's words around the key phrase, by relative position
+        begin, low, high = start - index.key_at[t], items[d], items[d + 1]
         best = np.zeros(len(start))
-        order = np.lexsort((where, docs))
-        pos, where, docs = pos[order], where[order], docs[order]
-        lift = int(max(where.max(initial=0), begin.max(initial=0))) + 2 * shift + 2
-        line = docs * lift + where
-        lo = np.searchsorted(line, d * lift + begin - shift)
-        hi = np.searchsorted(line, d * lift + begin + shift, side="right")
-        for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
-            best[i] = idf[text[np.unique(pos[a:b])]].sum() / weight[t]
+        for q, w in enumerate(index.texts[t]):
+            found = np.zeros(len(start), bool)
+            for p in range(q - shift, q + shift + 1):
+                inside = np.flatnonzero((begin + p >= low) & (begin + p < high))
+                found[inside] |= wh[begin[inside] + p] == index.hashes[w]
+            best += found * idf[w]
+        best /= weight[t]
         good = best >= least
         return start[good], d[good], best[good]
 
@@ -171,13 +148,12 @@ def _scan(index: Index, idf: np.ndarray, rarest: int, least: float, shift: int):
             wh = ts.word_hashes(low, ws, we)
             at, v = index.find(wh)
             doc = np.searchsorted(items, at, side="right") - 1
-            used = _rank_in_document(doc, v, idf, rarest) if len(at) else np.zeros(0, bool)
             n = len(batch)
             n_base, first, last, score = np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1), np.zeros(n)
             base: list[set[str]] = [set() for _ in range(n)]
             labels: list[set[str]] = [set() for _ in range(n)]
             for t, template in enumerate(index.templates):
-                start, d, share = places(wh, at, v, doc, used, items, t)
+                start, d, share = places(wh, at, v, doc, items, t)
                 np.maximum.at(score, d, share * (0.5 if template.base else 1.0))
                 for i in np.unique(d).tolist():
                     labels[i].add(template.label)
@@ -203,7 +179,7 @@ def _scan(index: Index, idf: np.ndarray, rarest: int, least: float, shift: int):
     return run
 
 
-def scan(docs: DataFrame, templates: Sequence[Template] = BASE + PASSAGES, rarest: int = 24, least: float = 0.5, shift: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: Sequence[Template] = BASE + PASSAGES, least: float = 0.5, shift: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row.
 
     score: the best share of a template's IDF weight found with its key phrase; 0.5
@@ -214,4 +190,4 @@ def scan(docs: DataFrame, templates: Sequence[Template] = BASE + PASSAGES, rares
     counts = dict(texts.mapInArrow(_document_frequencies(index), "word long, n long").groupBy("word").agg(F.sum("n")).collect())  # a row per template word
     n = counts.get(-1, 0) or 0
     idf = np.array([np.log((n + 1) / ((counts.get(i) or 0) + 1)) + 1 for i in range(len(index.words))])
-    return texts.mapInArrow(_scan(index, idf, rarest, least, shift), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return texts.mapInArrow(_scan(index, idf, least, shift), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

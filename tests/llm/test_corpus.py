@@ -246,6 +246,14 @@ def test_license_scan(spark, odd, empty):
     assert licenses.scan(odd).count() == len(odd_rows()) and licenses.scan(empty).count() == 0
 
 
+def test_license_scan_of_several_passages(spark):
+    some = [t for t in licenses.PASSAGES if t.label in ("mit", "apache", "gpl", "bsd")]
+    texts = [" lorem ipsum ".join(t.text for t in group) for group in (some, licenses.PASSAGES, some * 3)] + [t.text for t in licenses.PASSAGES]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, group in zip(rows, [some, licenses.PASSAGES, some] + [[t] for t in licenses.PASSAGES], strict=True):
+        assert {t.label for t in group} <= set(r.labels.split(",")) and r.score == 1.0
+
+
 def test_urls(spark):
     rows = ["https://A.Example.net/en/x?utm_source=f#t", "http://example.net", "x.net/no-scheme", None, "", "https://www.a.org/p/?b=2&a=1&ref=z", "http://a.org/p?a=1&b=2", "ftp://q.com/de/1", "http://m.example.com/de/", "http://fr.org/fr/1", "a://b://c/d"]
     pages = spark.createDataFrame([(i, u, 0) for i, u in enumerate(rows)], "page_id long, url string, canonical int")
