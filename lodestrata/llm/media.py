@@ -1,18 +1,20 @@
 """Image copies by local descriptors.
 
-Corners of two scales (Harris response, non-maximum suppression, the strongest of
-each) get a 256-bit descriptor: binary tests between points of a smoothed patch,
-turned by the patch's orientation (its intensity centroid).  The bits are cut into
-eight table keys of 32 bits; corners that share a key in any table meet in an
-equi-join and are kept if their whole descriptors differ in few bits.  Kept pairs
-vote for a displacement and a scale; an image is a copy if enough different corners
-of the query agree on one (cropping moves all by the same step; edits of brightness
-and contrast leave the tests alone).
+Corners of four scales (Harris response, non-maximum suppression, the strongest of
+each, more for larger images) get a 256-bit descriptor: binary tests between points
+of a smoothed patch, turned by the patch's orientation (its intensity centroid).
+The bits are cut into sixteen table keys of 16 bits; corners that share a key in any
+table and differ in at most FAR bits are a pair.  Each pair predicts how the whole
+query lies in the other image (turn and scale from the two corners, place from
+both), and the prediction that most corners follow is fitted again to them: an image
+is a copy if enough different corners of both agree on one turn, scale and place.
+Edits of brightness and contrast leave the tests alone.
 
 Images are binary graymaps (P5).  Equal images (by 60 bits of SHA-256) form one class; classes
 are searched, and a match names its smallest id and how many there are, so copies
-are not expanded into pairs.  Keys of the queries filter the index where they are
-computed while their measured size allows; beyond that both sides are shuffled.
+are not expanded into pairs.  The queries' corners are broadcast in blocks of bounded
+size, and every block meets the index where its images are read: nothing but found
+copies travels, whatever the sizes.
 
 Null, unreadable and too small images have no corners and match nothing; rows that
 repeat an id or have none take part like others (a null id is never a match's
@@ -30,15 +32,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, spill
+from .common import cuts, spill
 
-#: Corners per scale, patch radius, bits, and how many bits may differ.
-CORNERS, RADIUS, BITS, FAR = (32, 16), 8, 256, 28
+#: Corners per scale in each AREA pixels of the full image, the scales' ratio, patch radius, bits, and how many bits may differ.
+CORNERS, AREA, RATIO, RADIUS, BITS, FAR = (64, 40, 24, 16), 4096, 0.8, 8, 256, 36
 _RNG = np.random.default_rng(1234)
 _PAIRS = np.clip(np.round(_RNG.normal(0, RADIUS / 2.2, (BITS, 4))), -RADIUS + 2, RADIUS - 2)
-_ANGLES = 32
+_ANGLES = 128
 
-POINTS = "cls long, corner int, x int, y int, scale int, descriptor binary, key long"
+#: Bytes of query corners in a block; a worker holds their descriptors once per table.
+BLOCK_BYTES = 8 << 20
+TABLES = BITS // 16
+#: A pair's prediction counts corners within so many pixels, radians and scales of it; the fit, within the pixels that find_copies is given.
+LOOSE = (8.0, 0.5, 1)
+SPOT = 4
+
+POINTS = "cls long, x double, y double, angle double, scale int, descriptor binary"
+FOUND = "q_cls long, cls long, votes long, dx double, dy double"
 
 
 def graymap(pixels: np.ndarray) -> bytes:
@@ -63,17 +73,29 @@ def _box(x: np.ndarray, r: int) -> np.ndarray:
     return (c[:, k:, k:] - c[:, :-k, k:] - c[:, k:, :-k] + c[:, :-k, :-k]) / (k * k)
 
 
+def _shrunk(x: np.ndarray) -> np.ndarray:
+    """A stack of images at RATIO of their size."""
+    at = [np.clip((np.arange(int(n * RATIO)) + 0.5) / RATIO - 0.5, 0, n - 1) for n in x.shape[1:]]
+    (i, a), (j, b) = ((np.minimum(p.astype(np.int64), n - 2), p) for p, n in zip(at, x.shape[1:], strict=True))
+    a, b = (a - i)[None, :, None], (b - j)[None, None, :]
+    rows = x[:, i] * (1 - a) + x[:, i + 1] * a
+    return rows[:, :, j] * (1 - b) + rows[:, :, j + 1] * b
+
+
 def describe(stack: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Image number, corner number, x, y (in pixels of the full image), scale and 32 descriptor bytes of the corners of equal-sized images."""
+    """Image number, x, y (in pixels of the full image), angle, scale and 32 descriptor bytes of the corners of equal-sized images."""
     out: list[tuple[np.ndarray, ...]] = []
     x = stack.astype(np.float64)
-    for scale, wanted in enumerate(CORNERS):
-        if scale:
-            h, w = x.shape[1] // 2 * 2, x.shape[2] // 2 * 2
-            x = (x[:, 0:h:2, 0:w:2] + x[:, 1:h:2, 0:w:2] + x[:, 0:h:2, 1:w:2] + x[:, 1:h:2, 1:w:2]) / 4
+    share = max(1.0, x.shape[1] * x.shape[2] / AREA)
+    for scale, each in enumerate(CORNERS):
+        wanted = int(np.ceil(each * share))
         margin = RADIUS + 3
         if min(x.shape[1:]) <= 2 * margin + 2:
             break
+        if scale:
+            x = _shrunk(x)
+            if min(x.shape[1:]) <= 2 * margin + 2:
+                break
         gy, gx = np.gradient(x, axis=(1, 2))
         a, b, c = _box(gx * gx, 1), _box(gy * gy, 1), _box(gx * gy, 1)
         r = a * b - c * c - 0.05 * (a + b) ** 2
@@ -96,6 +118,7 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, ...]:
         patch = patch - patch.mean(axis=(1, 2), keepdims=True)
         angle = np.arctan2((patch * g[None, :, None]).sum(axis=(1, 2)), (patch * g[None, None, :]).sum(axis=(1, 2)))
         angle = np.round(angle / (2 * np.pi) * _ANGLES) * (2 * np.pi / _ANGLES)
+        fx, fy = ((p + 0.5) / RATIO**scale - 0.5 for p in (px, py))
         cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
         smooth = _box(x, 2)
 
@@ -105,59 +128,148 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, ...]:
             return smooth[image[:, None], ys, xs]
 
         bits = value(_PAIRS[:, 0], _PAIRS[:, 1]) < value(_PAIRS[:, 2], _PAIRS[:, 3])
-        out.append((image, rank + 1000 * scale, px << scale, py << scale, np.full(len(px), scale), np.packbits(bits, axis=1)))
+        out.append((image, fx, fy, angle, np.full(len(px), scale), np.packbits(bits, axis=1)))
     if not out:
-        z = np.zeros(0, np.int64)
-        return z, z, z, z, z, np.zeros((0, BITS // 8), np.uint8)
+        z, f = np.zeros(0, np.int64), np.zeros(0)
+        return z, f, f, f, z, np.zeros((0, BITS // 8), np.uint8)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _points(wanted=None):
-    """For mapInArrow over (cls, image): corners, once per table key; wanted: a broadcast sorted array of keys that count."""
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
+    """Classes and corners of (cls, image) batches; a batch's equal images once."""
+    for batch in batches:
+        images = dict(zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        groups: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        for cls, data in images.items():
+            pixels = read_graymap(data.as_py())
+            if pixels is not None:
+                groups.setdefault(pixels.shape, []).append((cls, pixels))
+        for shape, members in groups.items():
+            step = max(1, (1 << 18) // (shape[0] * shape[1]))
+            for a in range(0, len(members), step):
+                part = members[a : a + step]
+                image, *corners = describe(np.stack([p for _, p in part]))
+                if len(image):
+                    yield np.array([c for c, _ in part], np.int64)[image], tuple(corners)
+
+
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (cls, image): corners."""
+    for cls, (x, y, angle, scale, bits) in _described(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(x), pa.array(y), pa.array(angle), pa.array(scale.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary())], names=["cls", "x", "y", "angle", "scale", "descriptor"])
+
+
+class Corners:
+    """Corners of queries, by class, with their tables."""
+
+    def __init__(self, cls: np.ndarray, x: np.ndarray, y: np.ndarray, angle: np.ndarray, scale: np.ndarray, bits: np.ndarray) -> None:
+        self.cls, self.x, self.y, self.angle, self.scale = cls, x, y, angle, scale
+        keys = bits.view(np.uint16)
+        self.tables = []
+        for t in range(TABLES):
+            order = np.argsort(keys[:, t], kind="stable")
+            self.tables.append((order, np.searchsorted(keys[order, t], np.arange((1 << 16) + 1)), bits[order].view(np.uint64)))
+
+    def near(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (corner of a query, row of bits) that share a key and differ in few bits, each once."""
+        keys, wide = bits.view(np.uint16), bits.view(np.uint64)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for t, (order, border, descriptors) in enumerate(self.tables):
+            lo = border[keys[:, t]]
+            n = border[keys[:, t].astype(np.int64) + 1] - lo
+            for a, b in cuts(np.r_[0, np.cumsum(n)], 1 << 17):
+                row = np.repeat(np.arange(a, b), n[a:b])
+                at = np.arange(len(row)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b]) + lo[row]
+                x = descriptors[at] ^ wide[row]
+                m = np.flatnonzero(np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= FAR)
+                # only in the first table where both have one key
+                m = m[(x[m].view(np.uint16)[:, :t] != 0).all(axis=1)]
+                left.append(order[at[m]])
+                right.append(row[m])
+        return np.concatenate(left), np.concatenate(right)
+
+
+def _turn(a: np.ndarray) -> np.ndarray:
+    """Angles from -pi to pi."""
+    return (a + np.pi) % (2 * np.pi) - np.pi
+
+
+def consensus(q: np.ndarray, p: np.ndarray, turn: np.ndarray, scale: np.ndarray, least: int, within: float) -> tuple[int, complex]:
+    """Votes, and where the query's corner (0, 0) lies, of the turn, scale and place that most pairs agree on.
+
+    q, p: places (x + iy) of pairs of corners in the query and the other image; turn,
+    scale: by how much the other's corner is turned and of how many scales more.  Votes are the
+    different spots (squares of SPOT pixels: a spot can be a corner at every scale) of the query
+    or of the other image, whichever are fewer.  Predictions that fewer than ``least`` pairs
+    follow are left out.
+    """
+    pixels, radians, scales = LOOSE
+    best, place = 0, 0j
+    predicted = RATIO ** -scale.astype(np.float64) * np.exp(1j * turn)
+    step = max(1, (1 << 20) // len(q))
+    followers = []
+    for a in range(0, len(q), step):
+        h = slice(a, a + step)
+        off = np.abs(predicted[h, None] * (q[None] - q[h, None]) - (p[None] - p[h, None]))
+        followers.append(((off <= pixels) & (np.abs(_turn(turn[None] - turn[h, None])) <= radians) & (np.abs(scale[None] - scale[h, None]) <= scales)).sum(axis=1))
+    followers = np.concatenate(followers)
+    if followers.max() < least:
+        return best, place
+    spots = [np.unique(np.floor(c.real / SPOT) + 1j * np.floor(c.imag / SPOT), return_inverse=True)[1] for c in (q, p)]
+
+    def votes(m: np.ndarray) -> int:
+        return min(len(np.unique(c[m])) for c in spots)
+
+    for i in np.argsort(-followers, kind="stable"):
+        if followers[i] < least:
+            break
+        f = predicted[i]
+        alike = (np.abs(_turn(turn - turn[i])) <= radians) & (np.abs(scale - scale[i]) <= scales)
+        m = alike & (np.abs(f * (q - q[i]) - (p - p[i])) <= pixels)
+        if votes(m) <= best:
+            continue
+        for _ in range(4):
+            dq, dp = q[m] - q[m].mean(), p[m] - p[m].mean()
+            if not (np.abs(dq) > 0).any():
+                break
+            f = (np.conj(dq) * dp).sum() / (np.abs(dq) ** 2).sum()
+            if not f or abs(np.angle(f / predicted[i])) > radians or abs(np.log(abs(f / predicted[i]))) > -scales * np.log(RATIO):
+                break
+            shift = p[m].mean() - f * q[m].mean()
+            m = alike & (np.abs(f * q + shift - p) <= within * max(1.0, abs(f)))
+            if (n := votes(m)) > best:
+                best, place = n, shift
+            if n < 2:
+                break
+    return best, place
+
+
+def _search(corners, least: int, within: float):
+    """For mapInArrow over (cls, image): which queries of a broadcast block have a copy there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            groups: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-            for i, data in enumerate(batch.column(1).to_pylist()):
-                pixels = read_graymap(data)
-                if pixels is not None:
-                    groups.setdefault(pixels.shape, []).append((i, pixels))
-            for shape, members in groups.items():
-                step = max(1, (1 << 20) // (shape[0] * shape[1]))
-                for a in range(0, len(members), step):
-                    part = members[a : a + step]
-                    image, corner, px, py, scale, bits = describe(np.stack([p for _, p in part]))
-                    if not len(image):
-                        continue
-                    keys = bits.view(np.uint32).astype(np.int64) | np.arange(8, dtype=np.int64)[None, :] << 32
-                    row, table = np.indices(keys.shape)
-                    row, key = row.reshape(-1), keys.reshape(-1)
-                    if wanted is not None:
-                        known = wanted.value
-                        at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-                        m = known[at] == key if len(known) else np.zeros(len(key), bool)
-                        row, key = row[m], key[m]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([names[part[i][0]] for i in image[row].tolist()], pa.int64()), *(pa.array(c[row].astype(np.int32)) for c in (corner, px, py, scale)),
-                            pa.array([bits[i].tobytes() for i in row.tolist()], pa.binary()), pa.array(key),
-                        ],
-                        names=["cls", "corner", "x", "y", "scale", "descriptor", "key"],
-                    )
+        queries = Corners(*corners.value)
+        for cls, (x, y, angle, scale, bits) in _described(batches):
+            i, j = queries.near(bits)
+            order = np.lexsort((queries.cls[i], cls[j]))
+            i, j = i[order], j[order]
+            a, b = queries.cls[i], cls[j]
+            borders = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]), True]) if len(a) else np.zeros(1, np.int64)
+            out = []
+            for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+                if hi - lo < least:
+                    continue
+                s, t = i[lo:hi], j[lo:hi]
+                votes, place = consensus(queries.x[s] + 1j * queries.y[s], x[t] + 1j * y[t], _turn(angle[t] - queries.angle[s]), scale[t] - queries.scale[s], least, within)
+                if votes >= least:
+                    out.append((a[lo], b[lo], votes, place.real, place.imag))
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.float64()) for c in cols[3:])], names=["q_cls", "cls", "votes", "dx", "dy"])
 
     return run
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of corners whose descriptors differ in few bits."""
-    for batch in batches:
-        if len(batch):
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (0, 1))
-            m = np.bitwise_count(a ^ b).sum(axis=1) <= FAR
-            yield batch.filter(pa.array(m)).select(list(range(2, batch.num_columns)))
-
-
 def _class(image: Column) -> Column:
     """60 bits of the image's SHA-256."""
     return F.conv(F.substring(F.sha2(image, 256), 1, 15), 16, 10).cast("long")
@@ -169,31 +281,28 @@ def classes(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
     return seen.groupBy("cls").agg(F.min("id").alias("match_id"), F.count("*").alias("n_copies"), F.first("image").alias("image"))
 
 
-def find_copies(queries: DataFrame, index: DataFrame, least: int = 5, step: int = 4, id_col: str = "id", image_col: str = "image") -> DataFrame:
-    """(query_id, match_id, n_copies, votes, dx, dy): which images of the index a query image is cut or edited from.
+def find_copies(queries: DataFrame, index: DataFrame, least: int = 5, within: float = 3.0, id_col: str = "id", image_col: str = "image") -> DataFrame:
+    """(query_id, match_id, n_copies, votes, dx, dy): which images of the index a query image is cut, turned, resized or edited from.
 
-    least: corners that must agree on a displacement, told in steps of ``step`` pixels
-    (two grids, half a step apart, so that none falls between).
+    least: corners that must agree on a turn, scale and place, each ``within`` so many
+    pixels; dx, dy: where the query's corner (0, 0) lies in the match.
     """
     spark = queries.sparkSession
     asked = spill(queries.select(F.col(id_col).cast("long").alias("query_id"), _class(F.col(image_col).cast("binary")).alias("cls")).filter("cls is not null"), "asked")
-    own = spill(classes(queries, id_col, image_col).select("cls", "image").mapInArrow(_points(), POINTS), "query-points")
-    known = spill(classes(index, id_col, image_col), "image-classes")
-    keys = own.select("key").distinct()
-    n = keys.count()
-    wanted = None
-    if n * 8 <= BROADCAST_BYTES:
-        wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in keys.toLocalIterator()], np.int64)))
-    stored = known.select("cls", "image").mapInArrow(_points(wanted), POINTS)
-    q = own.select("key", F.col("cls").alias("q_cls"), F.col("corner").alias("q_corner"), F.col("x").alias("q_x"), F.col("y").alias("q_y"), F.col("scale").alias("q_scale"), F.col("descriptor").alias("q_descriptor"))
-    met = stored.join(q, "key").select("descriptor", "q_descriptor", "cls", "q_cls", "q_corner", (F.col("x") - F.col("q_x")).alias("dx"), (F.col("y") - F.col("q_y")).alias("dy"), (F.col("scale") - F.col("q_scale")).alias("ds"))
-    near = met.mapInArrow(_near, "cls long, q_cls long, q_corner int, dx int, dy int, ds int")
-    shift = F.explode(F.array(F.lit(0), F.lit(step // 2))).alias("g")
-    voted = near.select("*", shift).withColumn("bx", F.floor((F.col("dx") + F.col("g")) / step)).withColumn("by", F.floor((F.col("dy") + F.col("g")) / step))
-    bins = voted.groupBy("q_cls", "cls", "ds", "g", "bx", "by").agg(F.count_distinct("q_corner").alias("votes"), F.round(F.avg("dx"), 3).alias("dx"), F.round(F.avg("dy"), 3).alias("dy")).filter(F.col("votes") >= least)
-    best = bins.groupBy("q_cls", "cls").agg(F.max(F.struct("votes", -F.abs("ds"), "dx", "dy")).alias("b"))
-    named = best.join(known.select("cls", "match_id", "n_copies"), "cls")
-    return asked.join(named, asked["cls"] == named["q_cls"]).select("query_id", "match_id", "n_copies", F.col("b.votes").alias("votes"), F.col("b.dx").alias("dx"), F.col("b.dy").alias("dy"))
+    own = spill(classes(queries, id_col, image_col).select("cls", "image").mapInArrow(_points, POINTS), "query-points")
+    blocks = -(-own.count() * 72 // BLOCK_BYTES)
+    seen = index.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).cast("binary").alias("image")).filter("image is not null").withColumn("cls", _class(F.col("image")))
+    found = spark.createDataFrame([], FOUND)
+    for k in range(blocks):
+        t = own.filter(F.pmod(F.xxhash64("cls"), F.lit(blocks)) == k).toArrow()
+        if len(t):
+            columns = [t.column(c).to_numpy() for c in ("cls", "x", "y", "angle", "scale")]
+            bits = np.frombuffer(b"".join(t.column("descriptor").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            corners = spark.sparkContext.broadcast((*columns, bits))
+            found = found.unionByName(seen.select("cls", "image").mapInArrow(_search(corners, least, within), FOUND))
+    best = spill(found.groupBy("q_cls", "cls").agg(F.max(F.struct("votes", "dx", "dy")).alias("b")), "found-images")
+    named = best.join(seen.groupBy("cls").agg(F.min("id").alias("match_id"), F.count("*").alias("n_copies")), "cls")
+    return asked.join(named, asked["cls"] == named["q_cls"]).select("query_id", "match_id", "n_copies", F.col("b.votes").alias("votes"), F.round("b.dx", 3).alias("dx"), F.round("b.dy", 3).alias("dy"))
 
 
 # --- images for the query: the tables hold none, so vectors are drawn ---

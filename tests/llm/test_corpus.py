@@ -292,6 +292,17 @@ def test_media_search(spark):
     assert media.find_copies(asked.limit(0), index).count() == 0 and media.find_copies(asked, index.limit(0)).count() == 0
 
 
+def test_near_corners_are_those_of_brute_force():
+    x = media.describe(media.draw(np.random.default_rng(4).normal(size=(12, 64)) / 8))[-1]
+    flip = np.packbits(np.random.default_rng(5).random((len(x), media.BITS)) < 0.05, axis=1)
+    y = x ^ flip
+    got = media.Corners(*np.zeros((5, len(x))), x).near(y)
+    differ = np.bitwise_count(x[:, None] ^ y[None]).sum(axis=2)
+    share = (x.view(np.uint16)[:, None] == y.view(np.uint16)[None]).any(axis=2)
+    assert Counter(zip(*(c.tolist() for c in got), strict=True)) == Counter(zip(*(c.tolist() for c in np.nonzero((differ <= media.FAR) & share)), strict=True))
+    assert share[differ <= 15].all() and share[differ <= media.FAR].mean() > 0.8
+
+
 def test_ordinal_fit_is_ordered_and_right():
     rng = np.random.default_rng(2)
     n, f = 1500, 12
