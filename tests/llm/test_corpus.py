@@ -292,6 +292,44 @@ def test_media_search(spark):
     assert media.find_copies(asked.limit(0), index).count() == 0 and media.find_copies(asked, index.limit(0)).count() == 0
 
 
+def warped(pixels, turn, size):
+    """Turned about its middle and resized."""
+    h, w = pixels.shape
+    y, x = np.mgrid[: round(h * size), : round(w * size)].astype(float)
+    x, y = (x - (x.shape[1] - 1) / 2) / size, (y - (y.shape[0] - 1) / 2) / size
+    u = np.clip(x * np.cos(turn) + y * np.sin(turn) + (w - 1) / 2, 0, w - 1.001)
+    v = np.clip(y * np.cos(turn) - x * np.sin(turn) + (h - 1) / 2, 0, h - 1.001)
+    i, j = v.astype(int), u.astype(int)
+    a, b, p = v - i, u - j, pixels.astype(float)
+    return np.round((1 - a) * (1 - b) * p[i, j] + (1 - a) * b * p[i, j + 1] + a * (1 - b) * p[i + 1, j] + a * b * p[i + 1, j + 1]).astype(np.uint8)
+
+
+EDITS = {
+    "noise": lambda p: np.clip(p + np.random.default_rng(0).integers(-20, 21, p.shape), 0, 255).astype(np.uint8),
+    "blur": lambda p: media._box(p[None].astype(float), 1)[0].astype(np.uint8),
+    "contrast": lambda p: (p * 0.5 + 60).astype(np.uint8),
+    "quarter turn": lambda p: np.rot90(p).copy(),
+    "turn": lambda p: warped(p, 0.35, 1),
+    "smaller": lambda p: warped(p, 0, 0.8),
+    "larger": lambda p: warped(p, 0, 1.25),
+    "tight crop": lambda p: p[12:52, 10:50],
+}
+
+
+def test_media_search_of_stronger_edits(spark):
+    pictures = media.draw(np.random.default_rng(3).normal(size=(30, 64)) / 8)
+    index = spark.createDataFrame([(i, media.graymap(p)) for i, p in enumerate(pictures)], "id long, image binary")
+    asked = [(100 * k + i, media.graymap(f(p))) for k, f in enumerate(EDITS.values()) for i, p in enumerate(pictures)]
+    rows = media.find_copies(spark.createDataFrame(asked, "id long, image binary"), index).collect()
+    found = Counter(r.query_id // 100 for r in rows if r.query_id % 100 == r.match_id)
+    assert {e: found[k] for k, e in enumerate(EDITS) if found[k] < 0.9 * len(pictures)} == {}
+    assert sum(r.query_id % 100 != r.match_id for r in rows) <= 0.01 * len(rows)
+    large = pictures[:16].reshape(4, 4, 64, 64).transpose(0, 2, 1, 3).reshape(256, 256)
+    small = spark.createDataFrame([(1, media.graymap(large[100:164, 90:154]))], "id long, image binary")
+    got = media.find_copies(small, spark.createDataFrame([(9, media.graymap(large))], "id long, image binary")).first()
+    assert got.match_id == 9 and abs(got.dx - 90) < 1 and abs(got.dy - 100) < 1
+
+
 def test_near_corners_are_those_of_brute_force():
     x = media.describe(media.draw(np.random.default_rng(4).normal(size=(12, 64)) / 8))[-1]
     flip = np.packbits(np.random.default_rng(5).random((len(x), media.BITS)) < 0.05, axis=1)
