@@ -467,3 +467,59 @@ def test_pipeline(spark):
     assert all(g == k for k, g in enumerate(near_groups([t for _, t in texts], 95)))
     pieces = corpus_pipeline.run(spark, SMALL).collect()
     assert {r.doc_id for r in pieces} == set(left)
+
+
+def contaminated(text, items, span=13, one_in=20):
+    w, hit = alnum(text), set()
+    windows = set()
+    for item in map(alnum, items):
+        n = min(span, len(item))
+        windows |= {tuple(item[k : k + n]) for k in range(len(item) - n + 1 if n else 0)}
+    for n in {len(k) for k in windows}:
+        for i in range(len(w) - n + 1):
+            if tuple(w[i : i + n]) in windows:
+                hit.update(range(i, i + n))
+    return bool(hit) and one_in * len(hit) >= len(w)
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stages, names = dict(corpus_pipeline.STAGES), docs.columns
+    at_id, at_text, at_size = (names.index(c) for c in ("doc_id", "text", "n_chars"))
+    inputs = sorted(map(tuple, docs.collect()))
+    table = lambda rows: spark.createDataFrame(rows, docs.schema)
+    run = lambda name, rows: sorted(map(tuple, stages[name](spark, table(rows), SMALL).select(*names).collect()))
+    with_text = lambda r, t: tuple(t if k == at_text else len(t) if k == at_size else x for k, x in enumerate(r))
+
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    verdict = {r.doc_id: r.rejected for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    clean = run("toxicity", inputs)
+    assert any(verdict.values()) and clean == [r for r in inputs if not verdict[r[at_id]]]
+
+    # links between 80 and 95 percent, a shared passage and a passage of the benchmark, whatever the table has
+    items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    w, shared = prose(50, 100).split(), prose(60, 30)
+    near = [" ".join(w), " ".join(w[:50] + ["edit"] + w[51:]), " ".join(w[:30] + ["edit"] + w[31:60] + ["edit"] + w[61:])]
+    more = [*near, prose(51, 200) + " " + shared, shared + " " + prose(52, 200), shared, items[0] + " " + prose(53, 20), prose(54, 20_000) + " " + items[1]]
+    rows = clean + [with_text((10**6 + k, *clean[0][1:]) if at_id == 0 else clean[0], t) for k, t in enumerate(more)]
+
+    groups = near_groups([r[at_text] for r in rows], 80)
+    single = run("near_dedup", rows)
+    assert single == [r for k, r in enumerate(rows) if groups[k] == k]
+    assert len(single) < sum(g == k for k, g in enumerate(near_groups([r[at_text] for r in rows], 95)))
+
+    cut = run("substring_dedup", single)
+    left = {i: (removed, sha) for i, _, removed, sha in words_left([(r[at_id], r[at_text]) for r in single])}
+    gone = hashlib.sha256(b"").hexdigest()
+    assert {r[at_id] for r in cut} == {i for i, (removed, sha) in left.items() if not removed or sha != gone}
+    before = {r[at_id]: r for r in single}
+    for r in cut:
+        removed, sha = left[r[at_id]]
+        assert r == with_text(before[r[at_id]], r[at_text]) if removed else r == before[r[at_id]]
+        assert not removed or hashlib.sha256(r[at_text].encode()).hexdigest() == sha
+    assert any(removed for removed, _ in left.values()) and len(cut) < len(single)
+
+    kept = run("decontamination", cut)
+    assert kept == [r for r in cut if not contaminated(r[at_text], items)] and len(kept) < len(cut)
