@@ -281,7 +281,7 @@ def classes(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
     return seen.groupBy("cls").agg(F.min("id").alias("match_id"), F.count("*").alias("n_copies"), F.first("image").alias("image"))
 
 
-def find_copies(queries: DataFrame, index: DataFrame, least: int = 5, within: float = 3.0, id_col: str = "id", image_col: str = "image") -> DataFrame:
+def find_copies(queries: DataFrame, index: DataFrame, least: int = 5, within: float = 2.0, id_col: str = "id", image_col: str = "image") -> DataFrame:
     """(query_id, match_id, n_copies, votes, dx, dy): which images of the index a query image is cut, turned, resized or edited from.
 
     least: corners that must agree on a turn, scale and place, each ``within`` so many
