@@ -1,6 +1,6 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-Documents with one set of word shingles form a class, and classes are joined.  A
+Documents with one set of word shingles (A-Z lower-cased) form a class, and classes are joined.  A
 tree starts with all classes; a node chooses some coordinates of the min-wise
 signature (the root by its tree, others by a hash of their path, so all members
 choose the same ones) and sends a member to one child per chosen coordinate, named
@@ -47,9 +47,10 @@ _X = np.random.default_rng(43).integers(1, 2**63, WIDTH, dtype=np.uint64)
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each document of a chunk, end to end, and their borders."""
-    ws, we, items = ts.words(buf, off, ts.SPACED)
-    wh = ts.word_hashes(buf, ws, we)
+    """Sorted distinct shingle hashes of each document of a chunk (A-Z lower-cased), end to end, and their borders."""
+    low = ts.LOWER[buf]
+    ws, we, items = ts.words(low, off, ts.SPACED)
+    wh = ts.word_hashes(low, ws, we)
     h = ts.grams(wh, size)
     sets = []
     for a, b in zip(items[:-1].tolist(), items[1:].tolist(), strict=True):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED_LOWER = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
 _SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 URLS = f"""
@@ -33,7 +34,7 @@ FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
 NEAR = f"""
-WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS ws FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED_LOWER} AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, hash(k) AS h, k FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [ws] ELSE list_transform(range(0, len(ws) - 4), lambda i: list_slice(ws, i + 1, i + 5)) END) AS k FROM d)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),

@@ -54,7 +54,7 @@ def spaced(text):
 
 
 def alnum(text):
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
 
 
 def words_left(rows, span=20):
@@ -121,8 +121,12 @@ def test_transform_of_a_collection(tmp_path):
         assert lcp.tolist() == [0] + [common(a, b) for a, b in zip(tails, tails[1:], strict=False)]
 
 
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
 def shingles(text, size=5):
-    w = spaced(text)
+    w = spaced(lower(text))
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
