@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +44,35 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def spill(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
+
+
+class _Tables(threading.local):
+    """For each open temporary() of a thread: the tables written in it."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_TABLES = _Tables()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that spill() writes meanwhile, but for those that it is told to keep (they are the next outer one's)."""
+    _TABLES.open.append([])
+    try:
+        yield
+    finally:
+        for path in _TABLES.open.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spill(df: DataFrame, tag: str, *partition_by: str, keep: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again: later jobs don't repeat it, and it survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
+    if len(_TABLES.open) > keep:
+        _TABLES.open[-1 - keep].append(path)
     before = {k: spark.conf.get(k) for k in _WRITING}
     for k, v in _WRITING.items():
         spark.conf.set(k, v)

@@ -152,7 +152,7 @@ def test_near_duplicates(spark, odd, empty):
             texts.append(" ".join(v))
     texts += [t for _, t, *_ in odd_rows()]
     docs = spark.createDataFrame([(i, t, "", 0, "") for i, t in enumerate(texts)], SCHEMA)
-    for leaf in (1024, 4):  # small leaves: deeper levels and blocks
+    for leaf in (4096, 4):  # small leaves: deeper levels and blocks
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, percent=85, leaf=leaf).collect()}
         assert got == {i: (len(shingles(t)), g) for i, (t, g) in enumerate(zip(texts, near_groups(texts, 85), strict=True))}
     rows = neardup.near_duplicates(odd).collect()
@@ -161,6 +161,27 @@ def test_near_duplicates(spark, odd, empty):
     assert neardup.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_near_copies_do_not_multiply(spark, monkeypatch):
+    rng, base, rows = np.random.default_rng(9), prose(200, 200).split(), []
+    for i in range(300):  # near copies of one text, every third too far from the rest to be linked, under a common line
+        w = list(base)
+        for at in rng.choice(200, 1 + 9 * (i % 3 == 0), replace=False):
+            w[at] = f"{i}x{at}"
+        rows.append((i, " ".join(w), "", 0, ""))
+    rows += [(300 + i, "a line that very many documents share " + prose(300 + i, 40), "", 0, "") for i in range(100)]
+    sent, write = {}, neardup.spill
+
+    def counted(df, tag, *by, **keep):
+        out = write(df, tag, *by, **keep)
+        sent[tag] = max(sent.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "spill", counted)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=85, leaf=64).collect()}
+    assert got == dict(enumerate(near_groups([r[1] for r in rows], 85)))
+    assert max(sent.values()) <= 24 * len(rows)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (4, 6), (7, 7), (3, 1), (None, 9), (10, 11), (11, 12), (12, 13), (13, 14)]
     want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 10: 10, 11: 10, 12: 10, 13: 10, 14: 10}
