@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass takes; bounds a worker's memory (a longer text is a chunk by itself).
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that one numpy pass takes; bounds a worker's memory, about a hundred times that (a longer text is a chunk by itself).
+CHUNK_BYTES = 1 << 19
 #: Bytes of packed side data up to which it is broadcast; beyond, both sides are shuffled.
 BROADCAST_BYTES = 24 << 20
 #: Name of the internal row number.
@@ -23,8 +23,8 @@ _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Arrow batches of at most 8 MB for the session, unless it has smaller ones: documents can be long, and batches count twice."""
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of at most 4 MB for the session, unless it has smaller ones: documents can be long, and batches count twice."""
     now = spark.conf.get(_BATCH)
     if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
         spark.conf.set(_BATCH, str(most))
