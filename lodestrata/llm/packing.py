@@ -7,6 +7,9 @@ bins' free space, in randomised groups of bounded size: pieces are dealt to
 partitions by a hash, ordered by it there, and taken ``group`` at a time, so a
 task's memory does not depend on how many documents there are or share a key.
 
+Ids are those of the file's own library with its defaults, so a string of an added
+token in a text becomes that token; ordinary text takes a quicker way to the same ids.
+
 Nulls count as empty text (a document of one closing id); rows that repeat an id
 or have none are packed like any others, each for itself; an empty table gives an
 empty result; extra columns are ignored.
@@ -49,7 +52,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings of added tokens in a text are those tokens, so such texts go to the file's own library
+        added = [re.escape(t.content) for t in self.full.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, symbols = model["vocab"], _byte_symbols()
@@ -62,7 +67,7 @@ class Encoder:
             self.quick = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.quick is not None and not _PLAIN.search(text):
+        if self.quick is not None and not _PLAIN.search(text) and not (self.added and self.added.search(text)):
             return self.quick.encode_ordinary(text)
         return self.full.encode(text, add_special_tokens=False).ids
 
