@@ -6,10 +6,15 @@ lost tasks are done again.  The sink ends each row with a separator of one byte;
 that byte is 0x00, the last byte of a member of under 16 MB; a larger record is
 followed by an empty member, which ends in 0x00 too.
 
-The reader takes whole files.  Plain and gzip archives are told apart record by
-record.  Where a member's checksum or a version line, header or length fails, it
-searches for the next valid member or version line, goes on there, and reports the
-bytes between as quarantined.
+The reader takes whole files, so the writer bounds them by bytes.  Plain and gzip
+archives are told apart record by record.  Where a member's checksum or a version
+line, header, length or digest fails, it searches for the next valid member or
+version line, goes on there, and reports the bytes between as quarantined.  A member
+may hold many records: a bad one doesn't take the others with it, and of a member
+that can't be read to its end those records are kept whose digest proves them and
+after which more was read.
+Payload digests are those of the body where the block is an HTTP message, else of
+the block.
 
 Nulls in payloads count as empty; rows that repeat an id write records of their own,
 rows without one too (they can be a response only if no row of their payload has an
@@ -83,30 +88,37 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: Bytes of members from which on they make a row of the text sink.
+ROW_BYTES = 4 << 20
+
+
 def _records(date: str, smallest: int):
+    """For mapInArrow over (page_id, url, payload, first): rows of many members each, without the last one's last byte."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for batch in batches:
             ids, urls, firsts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "first"))
-            out, held = [], 0
             for i, payload in enumerate(batch.column(batch.schema.get_field_index("payload"))):
                 data = (payload.as_py() if payload.is_valid else None) or b""
                 revisit = firsts[i] is not None and firsts[i] != ids[i] and len(data) >= smallest
-                out.append(member(record(ids[i], urls[i], data, firsts[i] if revisit else None, date, revisit))[:-1])
+                out.append(member(record(ids[i], urls[i], data, firsts[i] if revisit else None, date, revisit)))
                 held += len(out[-1])
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                if held >= ROW_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], names=["value"])
                     out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], names=["value"])
 
     return run
 
 
-def write_archives(pages: DataFrame, path: str, smallest: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: datetime = datetime(2024, 1, 1, tzinfo=timezone.utc), records_per_file: int = 20_000) -> None:
-    """Writes a folder of .warc.gz files.
+def write_archives(pages: DataFrame, path: str, smallest: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: datetime = datetime(2024, 1, 1, tzinfo=timezone.utc), bytes_per_file: int = 128 << 20) -> None:
+    """Writes a folder of files of gzip members.
 
     Of rows with equal payloads of at least ``smallest`` bytes the one with the
-    smallest id is a response, the others revisit it.
+    smallest id is a response, the others revisit it.  A file has at most about
+    ``bytes_per_file`` bytes, unless a single record has more.
     """
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("binary").alias("payload"))
     seen = spill(pages.select("page_id", "payload").mapInArrow(_digests, "page_id long, payload_bytes long, payload_digest string"), "digests")
@@ -122,7 +134,7 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0, id_col: str =
     joined = keyed.join(F.broadcast(by_hex) if size <= BROADCAST_BYTES else by_hex, F.col("page_id").eqNullSafe(F.col("id")) & (keyed["sha"] == by_hex["sha"]), "left")
     records = joined.select("page_id", "url", "payload", "first").mapInArrow(_records(date.strftime("%Y-%m-%dT%H:%M:%SZ"), smallest), "value binary")
     # the sink writes a string's bytes as they are
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", records_per_file).text(path)
+    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", max(1, bytes_per_file // ROW_BYTES)).text(path)
 
 
 def _hex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +152,22 @@ class Gap(Exception):
     """What stands here isn't a whole valid record."""
 
 
-def _parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and end of the plain record at a position."""
+def _differs(said: str, data: bytes) -> bool:
+    """Whether a SHA-1 digest, in base32 or hex, isn't that of data; other digests aren't tested."""
+    kind, _, value = said.partition(":")
+    return kind.lower() == "sha1" and value.upper() not in (digest(data), hashlib.sha1(data).hexdigest().upper())
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes, bool]:
+    """The payload in a record's block, and whether its digest is that of these bytes."""
+    if not headers.get("content-type", "").lower().startswith("application/http"):
+        return block, True
+    head, _, body = block.partition(b"\r\n\r\n")
+    return body, b"transfer-encoding:" not in head.lower()
+
+
+def _parse(data: bytes | memoryview, at: int, proven: bool = False) -> tuple[dict[str, str], bytes, int]:
+    """Headers, payload and end of the plain record at a position; proven: only if a digest could be tested."""
     m = _VERSION.match(data, at)
     if not m:
         raise Gap("no version line")
@@ -150,6 +176,10 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, in
         raise Gap("no end of header")
     headers = {}
     for line in bytes(data[m.end() : stop.start()]).split(b"\r\n"):
+        if line[:1] in (b" ", b"\t") and headers:  # a folded line goes on with the last value
+            last = next(reversed(headers))
+            headers[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise Gap("a header line without a colon")
@@ -162,55 +192,89 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, in
     if bytes(data[end : end + 4]) != b"\r\n\r\n":
         raise Gap("the block doesn't end where it should")
     block = bytes(data[begin:end])
-    said = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") == "response" and said.startswith("sha1:") and said[5:] != digest(block):
+    of_block, of_payload = headers.get("warc-block-digest", ""), headers.get("warc-payload-digest", "")
+    if _differs(of_block, block):
+        raise Gap("the block's digest differs")
+    payload, testable = payload_of(headers, block)
+    testable &= headers.get("warc-type") != "revisit"  # a revisit's digest is that of what it refers to
+    if testable and _differs(of_payload, payload):
         raise Gap("the payload's digest differs")
-    return headers, block, end + 4
+    if proven and not of_block.startswith("sha1:") and not (testable and of_payload.startswith("sha1:")):
+        raise Gap("no digest proves it")
+    return headers, payload, end + 4
+
+
+def _split(content: bytes, proven: bool) -> Iterator[tuple[str, int, int, object]]:
+    """Records and gaps of the content of a gzip member, as salvage() has them."""
+    at, bad, why = 0, None, ""
+    while at < len(content):
+        try:
+            headers, payload, end = _parse(content, at, proven)
+        except Gap as e:
+            if bad is None:
+                bad, why = at, str(e)
+            m = _VERSION.search(content, at + 1)
+            at = m.start() if m else len(content)
+            continue
+        if bad is not None:
+            yield "gap", bad, at, why
+            bad = None
+        yield "record", at, end, (headers, payload)
+        at = end
+    if bad is not None:
+        yield "gap", bad, len(content), why
 
 
-def _member_end(data: memoryview, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at a position; its checksum and length are tested."""
+def _member(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """Content and end of the gzip member at a position, and what is wrong with it (its checksum and length are tested)."""
     step = 1 << 16
     z = zlib.decompressobj(31)
-    parts, pos = [], at
+    parts, pos, why = [], at, ""
     try:
         while not z.eof and pos < len(data):
             piece = data[pos : pos + step]
             parts.append(z.decompress(piece))
             pos += len(piece)
     except zlib.error as e:
-        raise Gap(str(e)) from None
-    if not z.eof:
-        raise Gap("the member has no end")
-    return b"".join(parts), pos - len(z.unused_data)
+        why = str(e)
+    if not z.eof and not why:
+        why = "the member has no end"
+    return b"".join(parts), pos - len(z.unused_data), why
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", begin, end, (headers, block)) and ("gap", begin, end, reason) of an archive, in order and without holes."""
+    """("record", begin, end, (headers, payload)) and ("gap", begin, end, reason) of an archive, in order and without holes.
+
+    begin and end are the file's bytes; records of one member have the member's, and
+    the reason of a gap inside a member says which bytes of its content are lost.
+    """
     view, at, bad, why = memoryview(data), 0, None, ""
     while at < len(data):
-        try:
-            if data[at : at + 3] == _MAGIC:
-                content, end = _member_end(view, at)
-                found, pos = [], 0
-                while pos < len(content):
-                    headers, block, pos = _parse(content, pos)
-                    found.append((headers, block))
-            else:
-                headers, block, end = _parse(view, at)
-                found = [(headers, block)]
-        except Gap as e:
-            if bad is None:
-                bad, why = at, str(e)
-            m = _VERSION.search(data, at + 1)
-            nexts = [data.find(_MAGIC, at + 1), m.start() if m else -1]
-            at = min((p for p in nexts if p >= 0), default=len(data))
-            continue
-        if bad is not None:
+        found: list[tuple] = []
+        fault, end = "", at
+        if data[at : at + 3] == _MAGIC:
+            content, end, fault = _member(view, at)
+            found = list(_split(content, proven=bool(fault)))
+            if fault:  # what stands last is where the member breaks off
+                found = [x for x in found if x[0] == "record" and x[2] < len(content)]
+        else:
+            try:
+                headers, payload, end = _parse(view, at)
+                found = [("record", at, end, (headers, payload))]
+            except Gap as e:
+                fault = str(e)
+        if bad is not None and (found or not fault):
             yield "gap", bad, at, why
             bad = None
-        for r in found:
-            yield "record", at, end, r
+        if fault:
+            m = _VERSION.search(data, at + 1)
+            end = min((p for p in (data.find(_MAGIC, at + 1), m.start() if m else -1) if p >= 0), default=len(data))
+        for kind, a, b, what in found:
+            yield kind, at, end, what if kind == "record" else f"{what} (bytes {a} to {b} of the member)"
+        if fault and found:
+            yield "gap", at, end, f"{fault}; {len(found)} records before it are kept"
+        elif fault and bad is None:
+            bad, why = at, fault
         at = end
     if bad is not None:
         yield "gap", bad, len(data), why
@@ -230,10 +294,10 @@ def _read(with_payload: bool):
                     if kind == "gap":
                         rows.append((path, begin, end, what, None, None, None, None, None, None) + (None,) * with_payload)
                     else:
-                        h, block = what
-                        row = (path, begin, end, None, number(h.get("x-page-id")), h.get("warc-target-uri"), number(h.get("x-payload-length")) if h.get("warc-type") == "revisit" else len(block))
+                        h, payload = what
+                        row = (path, begin, end, None, number(h.get("x-page-id")), h.get("warc-target-uri"), number(h.get("x-payload-length")) if h.get("warc-type") == "revisit" else len(payload))
                         row += (h.get("warc-payload-digest", "").removeprefix("sha1:"), h.get("warc-type"), number(h.get("x-refers-to-page")))
-                        rows.append(row + (block,) * with_payload)
+                        rows.append(row + (payload,) * with_payload)
                     if len(rows) >= (500 if with_payload else 20_000):
                         yield _batch(rows, names)
                         rows = []
@@ -249,7 +313,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Records (fault null) and quarantined byte gaps (fault set) of all files in a folder; a file is one task's memory, so the writer bounds files."""
+    """Records (fault null) and quarantined byte gaps (fault set) of all files in a folder; a file of at most 2 GB is one task's memory."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("path", "content")
     return files.mapInArrow(_read(with_payload), READ + ", payload binary" * with_payload)
 
