@@ -1,13 +1,18 @@
 """License scan with a positional index of rare words.
 
-Templates are short passages of licences with key phrases that must stand in them.
-A first pass counts in how many documents each template word occurs (over all
-documents); that gives the words' IDF.  The scan looks up the rarest word of every
-key phrase, in every document, so that no key phrase can be missed.  Where a key
-phrase stands word for word, all of its template's words vote: an occurrence at p of
-a word that the template has at q votes for the template at p - q.  The template is
-found if the votes' share of its IDF weight reaches ``least`` (positions may shift by
-a few words).  Other templates in the same document take nothing away from it.
+Templates are passages and whole texts of licences, each with a key phrase that must
+stand in it.  A first pass counts in how many documents each template word occurs
+(over all documents); that gives the words' IDF.  The index then has postings
+(template, position) of each template's highest-IDF words: so many that a text with
+the share ``least`` of the template's IDF weight must have two of them.
+
+The scan looks up these words in every document.  An occurrence at p of a word that
+a template has at q proposes that the template begins at p - q; the proposals are
+intersected by that relative position, and only where two words of a template agree
+(within ``shift`` words) is it looked at further: its key phrase must stand there word
+for word, and then all its words vote.  The template is found if their share of its
+IDF weight reaches ``least``.  Nothing is cut off per document: other templates in
+the same document take nothing away from one.
 
 The base labels are templates of one key phrase each; all their places count.
 
@@ -60,6 +65,50 @@ PASSAGES = (
     Template("cc", "licensed under cc by", "licensed under cc by"),
     Template("proprietary", "all rights reserved unauthorized copying of this file via any medium is strictly prohibited", "all rights reserved"),
 )
+_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_DISCLAIMER = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+#: Whole public licence texts and notices, as words.
+TEXTS = (
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        + _WARRANTY
+        + " in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "shall be included in all copies or substantial portions of the software",
+    ),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        + _DISCLAIMER
+        + " in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+        "redistributions in binary form must reproduce the above copyright notice",
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "this permission notice appear in all copies",
+    ),
+    Template(
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "governing permissions and limitations under the license",
+    ),
+    Template(
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program",
+        "you should have received a copy of the gnu general public license",
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution",
+        "altered source versions must be plainly marked as such",
+    ),
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain",
+        "any and all copyright interest in the software to the public domain",
+    ),
+)
 
 
 def _hashes(words: Sequence[str]) -> np.ndarray:
@@ -69,7 +118,7 @@ def _hashes(words: Sequence[str]) -> np.ndarray:
 
 
 class Index:
-    """Word numbers, postings (template, position) by word, and key phrases with their rarest word."""
+    """Word numbers, templates and key phrases as word numbers, and postings of rare words once the words' IDF is known."""
 
     def __init__(self, templates: Sequence[Template]) -> None:
         self.templates = tuple(templates)
@@ -84,6 +133,26 @@ class Index:
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.hashes & ts.U(0xFFFF)).astype(np.int64)] = True
 
+    def postings(self, idf: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Border of each word's postings, their templates and positions, and how many positions of a template must agree.
+
+        Of each template the positions with the highest IDF, as few as leave no text
+        with the share ``least`` of its weight without two of them (one, where the
+        template is too short for that).
+        """
+        rows, agree = [], []
+        for t, (text, template) in enumerate(zip(self.texts, self.templates, strict=True)):
+            order = np.argsort(-idf[text], kind="stable")
+            weight = idf[text][order]
+            spare = np.cumsum(weight) - weight[0]  # what the first positions weigh without the heaviest one
+            enough = np.flatnonzero(spare > (1 - least) * weight.sum() + 1e-9)
+            two = len(enough) > 0 and not template.base
+            n = 1 if template.base else int(enough[0]) + 1 if two else len(text)
+            agree.append(2 if two else 1)
+            rows += [(int(text[q]), t, q) for q in order[:n].tolist()]
+        word, t, q = (np.array(c) for c in zip(*sorted(rows), strict=True))
+        return np.searchsorted(word, np.arange(len(self.words) + 1)), t, q, np.array(agree)
+
     def find(self, wh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of template words among word hashes, and their numbers."""
         at = np.flatnonzero(self.maybe[(wh & ts.U(0xFFFF)).astype(np.int64)])
@@ -115,21 +184,44 @@ def _document_frequencies(index: Index):
 
 
 def _scan(index: Index, idf: np.ndarray, least: float, shift: int):
-    anchor = [k[np.argmax(idf[k])] for k in index.keys]  # the rarest word of each key phrase
+    border, of_template, position, agree = index.postings(idf, least)
     weight = [idf[t].sum() for t in index.texts]
+    slack = np.array([0 if t.base else shift for t in index.templates])
+
+    def proposed(at: np.ndarray, v: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(template, document, begin) that enough rare words of a template agree on, sorted and distinct."""
+        n = border[v + 1] - border[v]
+        row = np.repeat(np.arange(len(v)), n)
+        which = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + border[v][row]
+        t, q, d = of_template[which], position[which], doc[row]
+        begin = at[row] - q
+        order = np.lexsort((q, begin, d, t))
+        t, q, d, begin = t[order], q[order], d[order], begin[order]
+        good = agree[t] == 1
+        near, k = np.arange(len(t)), 1
+        while len(near := near[near + k < len(t)]):
+            near = near[(t[near] == t[near + k]) & (d[near] == d[near + k]) & (begin[near + k] - begin[near] <= 2 * slack[t[near]])]
+            two = near[q[near] != q[near + k]]
+            good[two] = good[two + k] = True
+            k += 1
+        t, d, begin = t[good], d[good], begin[good]
+        moves = np.arange(-shift, shift + 1)
+        t, d, begin, move = np.repeat(t, len(moves)), np.repeat(d, len(moves)), np.repeat(begin, len(moves)), np.tile(moves, len(t))
+        m = np.abs(move) <= slack[t]
+        t, d, begin = t[m], d[m], (begin + move)[m]
+        order = np.lexsort((begin, d, t))
+        t, d, begin = t[order], d[order], begin[order]
+        new = np.r_[True, (t[1:] != t[:-1]) | (d[1:] != d[:-1]) | (begin[1:] != begin[:-1])] if len(t) else np.zeros(0, bool)
+        return t[new], d[new], begin[new]
 
-    def places(wh, at, v, doc, items, t):
-        """(place of the key phrase, document, share of weight) wherever template t is verified."""
-        key = index.keys[t]
-        mine = v == anchor[t]
-        ahead = int(np.flatnonzero(key == anchor[t])[0])
-        start = at[mine] - ahead
-        ok = index.phrase_at(wh, start, key, items[doc[mine]], items[doc[mine] + 1])
-        start, d = start[ok], doc[mine][ok]
+    def places(wh, items, t, d, begin):
+        """(place of the key phrase, document, share of weight) of the proposals of template t whose key phrase stands there and whose share is enough."""
+        start = begin + index.key_at[t]
+        ok = index.phrase_at(wh, start, index.keys[t], items[d], items[d + 1])
+        start, d, begin = start[ok], d[ok], begin[ok]
         if index.templates[t].base or not len(start):
             return start, d, np.ones(len(start))
-        # votes of all the template's words around the key phrase, by relative position
-        begin, low, high = start - index.key_at[t], items[d], items[d + 1]
+        low, high = items[d], items[d + 1]
         best = np.zeros(len(start))
         for q, w in enumerate(index.texts[t]):
             found = np.zeros(len(start), bool)
@@ -152,8 +244,11 @@ def _scan(index: Index, idf: np.ndarray, least: float, shift: int):
             n_base, first, last, score = np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1), np.zeros(n)
             base: list[set[str]] = [set() for _ in range(n)]
             labels: list[set[str]] = [set() for _ in range(n)]
+            of, who, begin = proposed(at, v, doc)
+            cut = np.searchsorted(of, np.arange(len(index.templates) + 1))
             for t, template in enumerate(index.templates):
-                start, d, share = places(wh, at, v, doc, items, t)
+                mine = slice(cut[t], cut[t + 1])
+                start, d, share = places(wh, items, t, who[mine], begin[mine])
                 np.maximum.at(score, d, share * (0.5 if template.base else 1.0))
                 for i in np.unique(d).tolist():
                     labels[i].add(template.label)
@@ -179,7 +274,7 @@ def _scan(index: Index, idf: np.ndarray, least: float, shift: int):
     return run
 
 
-def scan(docs: DataFrame, templates: Sequence[Template] = BASE + PASSAGES, least: float = 0.5, shift: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: Sequence[Template] = BASE + PASSAGES + TEXTS, least: float = 0.5, shift: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row.
 
     score: the best share of a template's IDF weight found with its key phrase; 0.5

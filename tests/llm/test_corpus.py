@@ -288,6 +288,43 @@ def test_license_scan_of_several_passages(spark):
         assert {t.label for t in group} <= set(r.labels.split(",")) and r.score == 1.0
 
 
+def labels_and_scores(texts, least=0.5, shift=3):
+    """By every place of every key phrase, without an index."""
+    templates = licenses.BASE + licenses.PASSAGES + licenses.TEXTS
+    docs = [alnum(t) for t in texts]
+    idf = lambda w: np.log((len(docs) + 1) / (sum(w in d for d in docs) + 1)) + 1
+    known = {w: idf(w) for t in templates for w in t.text.split()}
+    out = []
+    for d in docs:
+        labels, score = set(), 0.0
+        for t in templates:
+            text, key = t.text.split(), t.key.split()
+            ahead = next(i for i in range(len(text)) if text[i : i + len(key)] == key)
+            for at in range(len(d) - len(key) + 1):
+                if d[at : at + len(key)] == key:
+                    begin = at - ahead
+                    votes = sum(known[w] for q, w in enumerate(text) if w in d[max(0, begin + q - shift) : max(0, begin + q + shift + 1)])
+                    share = 1.0 if t.base else votes / sum(known[w] for w in text)
+                    if share >= least:
+                        labels.add(t.label)
+                        score = max(score, share * (0.5 if t.base else 1.0))
+        out.append((",".join(sorted(labels)), round(min(score, 1.0), 6)))
+    return out
+
+
+def test_license_labels_against_brute_force(spark):
+    rng, texts = np.random.default_rng(11), []
+    for t in licenses.PASSAGES + licenses.TEXTS:
+        words = t.text.split()
+        for lost in (0.0, 0.2, 0.4, 0.6):  # words replaced, dropped and put in
+            kept = [w if x > lost else rng.choice(["edit", "", w + " more"]) for w, x in zip(words, rng.random(len(words)), strict=True)]
+            texts.append(prose(len(texts), 20) + " " + " ".join(kept) + " " + prose(len(texts) + 500, 5))
+    texts += [" ".join(texts[i] for i in rng.choice(len(texts), 3)) for _ in range(20)] + [None, "", "permission " * 50, "license license"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    got, want = [(r.labels, r.score) for r in rows], labels_and_scores(texts)
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=2e-6)
+
+
 def test_urls(spark):
     rows = ["https://A.Example.net/en/x?utm_source=f#t", "http://example.net", "x.net/no-scheme", None, "", "https://www.a.org/p/?b=2&a=1&ref=z", "http://a.org/p?a=1&b=2", "ftp://q.com/de/1", "http://m.example.com/de/", "http://fr.org/fr/1", "a://b://c/d"]
     pages = spark.createDataFrame([(i, u, 0) for i, u in enumerate(rows)], "page_id long, url string, canonical int")
@@ -478,6 +515,50 @@ def test_salvage():
     assert [x[0] for x in cut] == ["record"] * 4 + ["gap"]
 
 
+def test_salvage_inside_a_member():
+    records = [warc.record(i, "http://x", f"<p>{i}</p>".encode() * 50, None, "2024-01-01T00:00:00Z", False) for i in range(5)]
+    ids = lambda out: [int(x[3][0]["x-page-id"]) for x in out if x[0] == "record"]
+    bad = records[2].replace(b"Content-Length", b"Broken-Length")
+    data = warc.member(b"".join([*records[:2], bad, *records[3:]])) + warc.member(records[0])
+    out = list(warc.salvage(data))
+    assert ids(out) == [0, 1, 3, 4, 0] and [x[0] for x in out].index("gap") == 2 and "of the member" in out[2][3]
+    # a member without an end: what its digests prove stays, the rest is a gap
+    noise = np.random.default_rng(8).integers(0, 256, 300_000).astype(np.uint8).tobytes()
+    large = [warc.record(i, "u", noise[i * 50_000 : (i + 1) * 50_000], None, "2024-01-01T00:00:00Z", False) for i in range(6)]
+    whole = warc.member(b"".join(large))
+    out = list(warc.salvage(whole[: len(whole) * 3 // 4] + warc.member(records[1])))
+    assert ids(out) == [0, 1, 2, 3, 1] and [x[0] for x in out].count("gap") == 1
+    damaged = bytearray(whole)
+    damaged[len(whole) // 2] ^= 255  # the checksum fails at the end; one record's digest does
+    assert set(ids(warc.salvage(bytes(damaged)))) >= {0, 1, 4}
+
+
+def test_archives_of_other_writers():
+    body = b"<p>body</p>" * 9
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+
+    def foreign(block, *lines):
+        return "\r\n".join(["WARC/1.0", "WARC-Type: response", "Content-Type: application/http; msgtype=response", *lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+    good = foreign(http, f"WARC-Payload-Digest: sha1:{warc.digest(body)}", f"WARC-Block-Digest: sha1:{hashlib.sha1(http).hexdigest()}", "X-Folded: a", " b")
+    out = list(warc.salvage(good + warc.member(good)))
+    assert [(x[0], x[3][1]) for x in out] == [("record", body)] * 2 and out[0][3][0]["x-folded"] == "a b"
+    for line in (f"WARC-Payload-Digest: sha1:{warc.digest(http)}", f"WARC-Block-Digest: sha1:{warc.digest(body)}"):
+        assert [x[0] for x in warc.salvage(foreign(http, line))] == ["gap"]
+    assert [x[0] for x in warc.salvage(foreign(http, "WARC-Payload-Digest: md5:00"))] == ["record"]
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ROW_BYTES", 1 << 16)
+    rng = np.random.default_rng(7)
+    rows = [(i, "u", "".join(map(chr, rng.integers(33, 127, 20_000)))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"), bytes_per_file=1 << 18)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 2 and max(sizes) <= (1 << 18) + 4 * 20_000
+    assert warc.read_archives(spark, str(tmp_path / "w")).filter("fault is null").count() == len(rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     from ..oracle import by_spark, by_sql
