@@ -12,15 +12,18 @@ The model is fitted on a bounded sample of labelled rows: of graded-0 rows and o
 the others the ``per_class`` with the smallest hashes of their ids.  Scoring covers
 every word of every document.
 
-Labels that only say toxic or not are refined into grades 0, 1 and 2: a toxic text
-is of grade 2 if it has more features that the sample knows from toxic texts alone
-than the median toxic text.
+Labels that only say toxic or not are refined into grades 0, 1 and 2 by what other
+texts teach: the sample is halved by a hash of ids, and toxic texts are ordered by how
+many of the features they have that only toxic texts of the *other* half have; the
+upper part, about half, is of grade 2.  No text's grade rests on features that were taken from it, so a
+word that stands in one toxic text alone raises no grade.
 
 Nulls and empty texts have no features and get the severity of the thresholds;
 repeated rows are scored each for itself; labels that are null, or of unknown or
-null ids, are not used, and of several labels of an id the highest counts; without
-labels of both kinds fitting fails with a clear message; an empty table of documents
-gives an empty result; extra columns are ignored.
+null ids, are not used, and of several labels of an id the highest counts; where no
+labelled documents of both kinds are left (empty tables, labels of one kind), or no
+feature tells them apart, the model has no features and gives every text grade 0; an
+empty table of documents gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import RID, attach, column, numbered, spill, text_chunks
+from .common import RID, attach, column, numbered, spill, temporary, text_chunks
 
 _HEADS = (4, 5, 6)
 
@@ -66,20 +69,21 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         d, u = _distinct(doc, h)
         border = np.searchsorted(d, np.arange(len(n) + 1))
         data = [u[a:b].tobytes() for a, b in zip(border[:-1], border[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("grade")), pa.array(data, pa.binary())], names=["grade", "features"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("grade", "half")), pa.array(data, pa.binary())], names=["grade", "half", "features"])
+
+
+#: For each half of the sample: texts of upper grades and others that have a feature.
+_COUNTS = ("high0", "low0", "high1", "low1")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        grade = column(batch, "grade")
         raw = [np.frombuffer(x, np.int64) for x in batch.column(batch.schema.get_field_index("features")).to_pylist()]
         if not len(raw):
             continue
-        h = np.concatenate(raw)
-        bad = np.repeat(grade > 0, [len(x) for x in raw])
-        u, inv = np.unique(h, return_inverse=True)
-        high = np.bincount(inv, weights=bad, minlength=len(u)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(high), pa.array(np.bincount(inv, minlength=len(u)) - high)], names=["feature", "high", "low"])
+        kind = np.repeat(2 * column(batch, "half") + (column(batch, "grade") == 0), [len(x) for x in raw])
+        u, inv = np.unique(np.concatenate(raw), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u), *(pa.array(np.bincount(inv[kind == k], minlength=len(u))) for k in range(4))], names=["feature", *_COUNTS])
 
 
 @dataclass
@@ -96,6 +100,8 @@ class Model:
 
     def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Sum of the weights of the features that each document of a chunk has."""
+        if not len(self.features):
+            return np.zeros(len(off) - 1)
         h, doc, _ = features_of(buf, off)
         m = self.maybe[(h & ts.U((1 << 18) - 1)).astype(np.int64)]
         doc, h = _distinct(doc[m], h[m])
@@ -135,38 +141,51 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, n_features:
     return w, first + np.r_[0.0, np.cumsum(np.exp(gaps))]
 
 
+#: A model that knows nothing: grade 0 for every text.
+UNKNOWN = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([np.inf]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, features: int = 4096, least: int = 5, least_chi: float = 15.0, lift: float = 20.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", graded: bool = False) -> Model:
     """A model from at most 2 * per_class labelled rows; graded: label_col already has ordered grades from 0 on."""
     rows = numbered(docs, id_col, text_col)
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("grade")).filter("id is not null and grade is not null")
-    known = known.groupBy("id").agg(F.max("grade").alias("grade")).withColumn("order", F.xxhash64("id"))
-    sample = known.filter("grade = 0").orderBy("order", "id").limit(per_class).unionByName(known.filter("grade > 0").orderBy("order", "id").limit(per_class))
-    sample = spill(sample.select("id", "grade"), "label-sample")  # at most 2 * per_class rows of two numbers: broadcast
-    texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("grade", "text")
-    found = spill(texts.mapInArrow(_sample_features, "grade int, features binary"), "sample-features")
+    with temporary(docs.sparkSession):
+        known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("grade")).filter("id is not null and grade is not null")
+        known = known.groupBy("id").agg(F.max("grade").alias("grade")).withColumn("order", F.xxhash64("id"))
+        sample = known.filter("grade = 0").orderBy("order", "id").limit(per_class).unionByName(known.filter("grade > 0").orderBy("order", "id").limit(per_class))
+        sample = spill(sample.select("id", "grade", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int").alias("half")), "label-sample")  # at most 2 * per_class rows of three numbers: broadcast
+        texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("grade", "half", "text")
+        found = spill(texts.mapInArrow(_sample_features, "grade int, half int, features binary"), "sample-features")
+        return _fitted(found, features, least, least_chi, lift, graded)
+
+
+def _fitted(found: DataFrame, features: int, least: int, least_chi: float, lift: float, graded: bool) -> Model:
+    """The model of a sample (grade, half, features)."""
     counts = {bool(r[0]): r[1] for r in found.groupBy(F.col("grade") > 0).count().collect()}
     if len(counts) < 2:
-        raise ValueError("fitting needs documents with label 0 and with labels above 0")
+        return UNKNOWN
     n_high, n_low = counts[True], counts[False]
-    frequent = found.mapInArrow(_frequencies, "feature long, high long, low long").groupBy("feature").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).filter(F.col("high") + F.col("low") >= least)
+    frequent = found.mapInArrow(_frequencies, "feature long, " + ", ".join(f"{c} long" for c in _COUNTS)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+    frequent = frequent.withColumn("high", F.expr("high0 + high1")).withColumn("low", F.expr("low0 + low1")).filter(F.col("high") + F.col("low") >= least)
     # chi-square of presence against grade > 0
     a, b = F.col("high").cast("double"), F.col("low").cast("double")
     chi = F.pow(a * (n_low - b) - b * (n_high - a), F.lit(2)) / ((a + b) * (F.lit(float(n_high + n_low)) - a - b + 1))
     risen = a * n_low >= lift * b * n_high  # so many times as frequent in the upper grades
     best = frequent.withColumn("chi", chi).filter((F.col("chi") >= least_chi) & risen).orderBy(F.desc("chi"), "feature").limit(features).collect()
     if not best:
-        raise ValueError("no word is clearly more frequent in the upper grades")
-    chosen = np.array(sorted(np.int64(r.feature).view(np.uint64) for r in best), np.uint64)
-    alone = np.array(sorted(np.int64(r.feature).view(np.uint64) for r in best if r.low == 0), np.uint64)
+        return UNKNOWN
+    as_hashes = lambda rows: np.array(sorted(np.int64(r.feature).view(np.uint64) for r in rows), np.uint64)
+    chosen = as_hashes(best)
+    # what only toxic texts of the other half have, for each half
+    alone = [as_hashes(r for r in best if r.high1 and not r.low1), as_hashes(r for r in best if r.high0 and not r.low0)]
 
     def restricted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, count = [], []
-            for x in batch.column(batch.schema.get_field_index("features")).to_pylist():
+            for half, x in zip(column(batch, "half").tolist(), batch.column(batch.schema.get_field_index("features")).to_pylist(), strict=True):
                 h = np.frombuffer(x, np.uint64)
                 at = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
                 data.append(at[chosen[at] == h].astype(np.int32).tobytes())
-                count.append(int(np.isin(h, alone).sum()))
+                count.append(int(np.isin(h, alone[half]).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("grade")), pa.array(count, pa.int64()), pa.array(data, pa.binary())], names=["grade", "alone", "at"])
 
     taken = found.mapInArrow(restricted, "grade int, alone long, at binary").collect()  # at most 2 * per_class rows
@@ -174,9 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, features: int
     if not graded:
         strength = np.array([r.alone for r in taken])
         bad = grade > 0
-        grade = np.where(bad, np.where(strength > np.median(strength[bad]), 2, 1), 0)
-        if not (grade == 1).any():
-            grade = np.minimum(grade, 1)
+        # the border that parts the toxic texts most evenly; none if all are alike
+        borders = np.unique(strength[bad])[:-1]
+        uneven = [abs(float((strength[bad] > x).mean()) - 0.5) for x in borders]
+        grade = np.minimum(grade, 1) + (bad & (strength > borders[int(np.argmin(uneven))]) if len(borders) else 0)
     cols = [np.frombuffer(r.at, np.int32) for r in taken]
     order = np.lexsort(([len(c) for c in cols], [int(c.sum()) for c in cols], grade))  # the same sums on every run
     row = np.repeat(np.arange(len(cols)), [len(cols[i]) for i in order])

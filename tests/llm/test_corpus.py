@@ -449,8 +449,32 @@ def test_toxicity(spark, empty):
     kept = toxicity.drop_toxic(docs, known)
     assert kept.columns == docs.columns and kept.count() == sum(not r.rejected for r in got)
     assert toxicity.score(empty, model).count() == 0
-    with pytest.raises(ValueError):
-        toxicity.fit(docs, known.filter("toxic = 0"))
+    for one_sided in (known.filter("toxic = 0"), known.filter("toxic = 1"), known.limit(0)):
+        unknown = toxicity.fit(docs, one_sided)
+        rows = toxicity.score(docs, unknown).collect()
+        assert len(rows) == len(got) and all((r.grade, r.expected_severity, r.rejected) == (0, 0.0, False) for r in rows)
+        assert toxicity.drop_toxic(docs, one_sided).count() == docs.count()
+    assert toxicity.drop_toxic(empty, known).count() == 0 and toxicity.drop_toxic(empty, known.limit(0)).columns == empty.columns
+
+
+def test_severity_of_held_out_texts_follows_their_grades(spark):
+    """Texts with more insults are of higher grades in truth; the refined grades are learned from toxic-or-not alone."""
+    rng, bad = np.random.default_rng(14), [f"insult{i}" for i in range(12)]
+    rows, labels = [], []
+    for i in range(1200):
+        n = int(rng.choice([0, 0, 1, 5]))
+        w = list(rng.choice(WORDS, 40))
+        for at, b in zip(rng.choice(40, n, replace=False), rng.choice(bad, n, replace=False), strict=True):
+            w[at] = b
+        rows.append((i, " ".join(w), str(n), 0, ""))
+        if i < 800:
+            labels.append((i, int(n > 0)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [(int(rows[r.doc_id][2]), r.expected_severity, r.grade) for r in toxicity.score(docs, model).collect() if r.doc_id >= 800]
+    mean = {n: np.mean([s for m, s, _ in held if m == n]) for n in (0, 1, 5)}
+    assert len(model.thresholds) == 2 and mean[0] < 0.1 and mean[0] + 0.5 < mean[1] and mean[1] + 0.3 < mean[5]
+    assert np.mean([g == {0: 0, 1: 1, 5: 2}[n] for n, _, g in held]) > 0.9
 
 
 def test_archives(spark, tmp_path):
