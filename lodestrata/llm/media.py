@@ -43,6 +43,8 @@ _ANGLES = 128
 #: Bytes of query corners in a block; a worker holds their descriptors once per table.
 BLOCK_BYTES = 8 << 20
 TABLES = BITS // 16
+#: Pairs under one key from which on they are compared as a matrix; corners of the index that are looked up together.
+DENSE, TOGETHER = 4096, 1 << 17
 #: A pair's prediction counts corners within so many pixels, radians and scales of it; the fit, within the pixels that find_copies is given.
 LOOSE = (8.0, 0.5, 1)
 SPOT = 4
@@ -153,6 +155,21 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
                     yield np.array([c for c, _ in part], np.int64)[image], tuple(corners)
 
 
+def _together(described: Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
+    """The same in larger portions."""
+    have, rows = [], 0
+    for cls, corners in described:
+        have.append((cls, *corners))
+        rows += len(cls)
+        if rows >= TOGETHER:
+            cls, *corners = (np.concatenate(c) for c in zip(*have, strict=True))
+            yield cls, tuple(corners)
+            have, rows = [], 0
+    if have:
+        cls, *corners = (np.concatenate(c) for c in zip(*have, strict=True))
+        yield cls, tuple(corners)
+
+
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over (cls, image): corners."""
     for cls, (x, y, angle, scale, bits) in _described(batches):
@@ -164,28 +181,55 @@ class Corners:
 
     def __init__(self, cls: np.ndarray, x: np.ndarray, y: np.ndarray, angle: np.ndarray, scale: np.ndarray, bits: np.ndarray) -> None:
         self.cls, self.x, self.y, self.angle, self.scale = cls, x, y, angle, scale
+        self.words = [np.ascontiguousarray(w) for w in bits.view(np.uint64).T]
         keys = bits.view(np.uint16)
         self.tables = []
         for t in range(TABLES):
-            order = np.argsort(keys[:, t], kind="stable")
-            self.tables.append((order, np.searchsorted(keys[order, t], np.arange((1 << 16) + 1)), bits[order].view(np.uint64)))
+            order = np.argsort(keys[:, t], kind="stable").astype(np.int32)
+            self.tables.append((order, np.searchsorted(keys[order, t], np.arange((1 << 16) + 1))))
 
     def near(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (corner of a query, row of bits) that share a key and differ in few bits, each once."""
-        keys, wide = bits.view(np.uint16), bits.view(np.uint64)
+        keys = bits.view(np.uint16)
+        words = [np.ascontiguousarray(w) for w in bits.view(np.uint64).T]
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for t, (order, border, descriptors) in enumerate(self.tables):
-            lo = border[keys[:, t]]
-            n = border[keys[:, t].astype(np.int64) + 1] - lo
-            for a, b in cuts(np.r_[0, np.cumsum(n)], 1 << 17):
-                row = np.repeat(np.arange(a, b), n[a:b])
-                at = np.arange(len(row)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b]) + lo[row]
-                x = descriptors[at] ^ wide[row]
-                m = np.flatnonzero(np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= FAR)
-                # only in the first table where both have one key
-                m = m[(x[m].view(np.uint16)[:, :t] != 0).all(axis=1)]
-                left.append(order[at[m]])
-                right.append(row[m])
+
+        def take(t: int, at: np.ndarray, row: np.ndarray) -> None:
+            """Keeps pairs of table t unless both have one key in an earlier table."""
+            m = np.ones(len(at), bool)
+            for e in range(t):
+                k, by = divmod(e, TABLES // len(words))
+                m &= ((self.words[k][at] ^ words[k][row]) >> np.uint64(16 * by)) & np.uint64(0xFFFF) != 0
+            left.append(at[m].astype(np.int64))
+            right.append(row[m].astype(np.int64))
+
+        for t, (order, border) in enumerate(self.tables):
+            own = np.argsort(keys[:, t], kind="stable").astype(np.int32)
+            begin = np.searchsorted(keys[own, t], np.arange((1 << 16) + 1))
+            n, m = np.diff(border), np.diff(begin)
+            # keys that many have on both sides: all their pairs at once
+            dense = (n * m >= DENSE) & (n > 0)
+            for k in np.flatnonzero(dense).tolist():
+                at, rows = order[border[k] : border[k + 1]], own[begin[k] : begin[k + 1]]
+                step = max(1, (1 << 17) // len(at))
+                for a in range(0, len(rows), step):
+                    part = rows[a : a + step]
+                    far = np.zeros((len(part), len(at)), np.uint16)
+                    for mine, other in zip(self.words, words, strict=True):
+                        far += np.bitwise_count(other[part][:, None] ^ mine[at][None])
+                    x, y = np.nonzero(far <= FAR)
+                    take(t, at[y], part[x])
+            lo = np.where(dense, 0, border[:-1])[keys[:, t]]
+            each = np.where(dense, 0, n)[keys[:, t]]
+            for a, b in cuts(np.r_[0, np.cumsum(each)], 1 << 16):
+                row = np.repeat(np.arange(a, b, dtype=np.int32), each[a:b])
+                skip = (lo[a:b] - (np.cumsum(each[a:b]) - each[a:b])).astype(np.int32)
+                at = order[np.arange(len(row), dtype=np.int32) + np.repeat(skip, each[a:b])]
+                far = np.zeros(len(row), np.uint16)
+                for mine, other in zip(self.words, words, strict=True):
+                    far += np.bitwise_count(mine[at] ^ other[row])
+                near = far <= FAR
+                take(t, at[near], row[near])
         return np.concatenate(left), np.concatenate(right)
 
 
@@ -206,19 +250,13 @@ def consensus(q: np.ndarray, p: np.ndarray, turn: np.ndarray, scale: np.ndarray,
     pixels, radians, scales = LOOSE
     best, place = 0, 0j
     predicted = RATIO ** -scale.astype(np.float64) * np.exp(1j * turn)
-    step = max(1, (1 << 20) // len(q))
-    followers = []
-    for a in range(0, len(q), step):
-        h = slice(a, a + step)
-        off = np.abs(predicted[h, None] * (q[None] - q[h, None]) - (p[None] - p[h, None]))
-        followers.append(((off <= pixels) & (np.abs(_turn(turn[None] - turn[h, None])) <= radians) & (np.abs(scale[None] - scale[h, None]) <= scales)).sum(axis=1))
-    followers = np.concatenate(followers)
+    followers = _followers(q[None], p[None], turn[None], scale[None])[0] if len(q) <= 1024 else np.concatenate([_one_by_one(q, p, turn, scale, a) for a in range(0, len(q), 256)])
     if followers.max() < least:
         return best, place
     spots = [np.unique(np.floor(c.real / SPOT) + 1j * np.floor(c.imag / SPOT), return_inverse=True)[1] for c in (q, p)]
 
     def votes(m: np.ndarray) -> int:
-        return min(len(np.unique(c[m])) for c in spots)
+        return min(np.count_nonzero(np.bincount(c[m])) for c in spots)
 
     for i in np.argsort(-followers, kind="stable"):
         if followers[i] < least:
@@ -226,7 +264,7 @@ def consensus(q: np.ndarray, p: np.ndarray, turn: np.ndarray, scale: np.ndarray,
         f = predicted[i]
         alike = (np.abs(_turn(turn - turn[i])) <= radians) & (np.abs(scale - scale[i]) <= scales)
         m = alike & (np.abs(f * (q - q[i]) - (p - p[i])) <= pixels)
-        if votes(m) <= best:
+        if followers[i] <= best or votes(m) <= best:
             continue
         for _ in range(4):
             dq, dp = q[m] - q[m].mean(), p[m] - p[m].mean()
@@ -244,23 +282,57 @@ def consensus(q: np.ndarray, p: np.ndarray, turn: np.ndarray, scale: np.ndarray,
     return best, place
 
 
+def _followers(q: np.ndarray, p: np.ndarray, turn: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """For rows of pairs of corners (a row per candidate): how many pairs follow each one's prediction."""
+    pixels, radians, scales = LOOSE
+    predicted = RATIO ** -scale.astype(np.float64) * np.exp(1j * turn)
+    move = predicted[:, :, None] * (q[:, None, :] - q[:, :, None]) - (p[:, None, :] - p[:, :, None])
+    near = move.real**2 + move.imag**2 <= pixels**2
+    near &= np.abs(_turn(turn[:, None, :] - turn[:, :, None])) <= radians
+    near &= np.abs(scale[:, None, :] - scale[:, :, None]) <= scales
+    return near.sum(axis=2)
+
+
+def _one_by_one(q: np.ndarray, p: np.ndarray, turn: np.ndarray, scale: np.ndarray, a: int, step: int = 256) -> np.ndarray:
+    """_followers() of ``step`` predictions of one large candidate."""
+    pixels, radians, scales = LOOSE
+    h = slice(a, a + step)
+    predicted = RATIO ** -scale[h].astype(np.float64) * np.exp(1j * turn[h])
+    off = np.abs(predicted[:, None] * (q[None] - q[h, None]) - (p[None] - p[h, None]))
+    return ((off <= pixels) & (np.abs(_turn(turn[None] - turn[h, None])) <= radians) & (np.abs(scale[None] - scale[h, None]) <= scales)).sum(axis=1)
+
+
+def promising(lo: np.ndarray, size: np.ndarray, q: np.ndarray, p: np.ndarray, turn: np.ndarray, scale: np.ndarray, least: int) -> np.ndarray:
+    """Which candidates (stretches lo, lo + size of the pairs) have a prediction that at least so many of their pairs follow."""
+    out = np.zeros(len(lo), bool)
+    for c in np.unique(size[size >= least]).tolist():
+        mine = np.flatnonzero(size == c)
+        step = max(1, (1 << 16) // (c * c))
+        for a in range(0, len(mine), step):
+            some = mine[a : a + step]
+            at = lo[some][:, None] + np.arange(c)
+            out[some] = _followers(q[at], p[at], turn[at], scale[at]).max(axis=1) >= least
+    return out
+
+
 def _search(corners, least: int, within: float):
     """For mapInArrow over (cls, image): which queries of a broadcast block have a copy there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = Corners(*corners.value)
-        for cls, (x, y, angle, scale, bits) in _described(batches):
+        for cls, (x, y, angle, scale, bits) in _together(_described(batches)):
             i, j = queries.near(bits)
             order = np.lexsort((queries.cls[i], cls[j]))
             i, j = i[order], j[order]
             a, b = queries.cls[i], cls[j]
             borders = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]), True]) if len(a) else np.zeros(1, np.int64)
+            q, p = queries.x[i] + 1j * queries.y[i], x[j] + 1j * y[j]
+            turn, steps = _turn(angle[j] - queries.angle[i]), scale[j] - queries.scale[i]
+            good = promising(borders[:-1], np.diff(borders), q, p, turn, steps, least)
             out = []
-            for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-                if hi - lo < least:
-                    continue
-                s, t = i[lo:hi], j[lo:hi]
-                votes, place = consensus(queries.x[s] + 1j * queries.y[s], x[t] + 1j * y[t], _turn(angle[t] - queries.angle[s]), scale[t] - queries.scale[s], least, within)
+            for lo, hi in zip(borders[:-1][good].tolist(), borders[1:][good].tolist(), strict=True):
+                s = slice(lo, hi)
+                votes, place = consensus(q[s], p[s], turn[s], steps[s], least, within)
                 if votes >= least:
                     out.append((a[lo], b[lo], votes, place.real, place.imag))
             if out:
@@ -305,6 +377,21 @@ def find_copies(queries: DataFrame, index: DataFrame, least: int = 5, within: fl
     return asked.join(named, asked["cls"] == named["q_cls"]).select("query_id", "match_id", "n_copies", F.col("b.votes").alias("votes"), F.round("b.dx", 3).alias("dx"), F.round("b.dy", 3).alias("dy"))
 
 
+def per_query(found: DataFrame, queries: DataFrame, most: int = 1024, id_col: str = "id") -> DataFrame:
+    """(query_id, part, n_matches, matches) of find_copies(): the matches of a query as lists of about ``most`` at most, in as many parts as that takes.
+
+    A query without matches has an empty list; parts are numbered from 0, matches are sorted by id.
+    """
+    totals = found.groupBy("query_id").agg(F.count("*").alias("n_matches"))
+    asked = queries.select(F.col(id_col).cast("long").alias("query_id")).distinct().join(totals.withColumnRenamed("query_id", "q"), F.col("query_id").eqNullSafe(F.col("q")), "left").drop("q")
+    asked = asked.withColumn("n_matches", F.coalesce("n_matches", F.lit(0).cast("long"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_matches") * 2 / most).cast("int") - 1, F.lit(0)))))
+    parts = F.greatest(F.ceil(F.col("n_matches") * 2 / most), F.lit(1))
+    dealt = found.join(totals.withColumnRenamed("query_id", "q"), F.col("query_id").eqNullSafe(F.col("q"))).withColumn("p", F.pmod(F.xxhash64("match_id", "votes", "dx", "dy"), parts).cast("int"))
+    lists = dealt.groupBy(F.col("query_id").alias("q"), "p").agg(F.sort_array(F.collect_list(F.struct("match_id", "n_copies", "votes", "dx", "dy"))).alias("matches"))
+    joined = asked.join(lists, F.col("query_id").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p")), "left")
+    return joined.select("query_id", "part", "n_matches", F.coalesce("matches", F.array().cast("array<struct<match_id:bigint,n_copies:bigint,votes:bigint,dx:double,dy:double>>")).alias("matches"))
+
+
 # --- images for the query: the tables hold none, so vectors are drawn ---
 
 SIDE = 64

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, licenses, media, neardup, packing, substring, suffix, toxicity, urls, warc
-from .common import bound_batches
+from .common import bound_batches, spill
 from .sql import SQL
 
 
@@ -28,9 +28,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no images: a picture is drawn for each vector; edited copies of every one whose id is divisible by 50 are searched among all."""
+    """The tables hold no images: a picture is drawn for each vector; edited copies of every one whose id is divisible by 50 are searched among all.  A query's matches are lists."""
     vectors = table(spark, sf_dir, "embeddings")
-    return media.find_copies(media.drawn(vectors.filter(F.col("vec_id") % 50 == 0), edited=True), media.drawn(vectors))
+    queries = media.drawn(vectors.filter(F.col("vec_id") % 50 == 0), edited=True)
+    return media.per_query(spill(media.find_copies(queries, media.drawn(vectors)), "copies"), queries)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,6 +360,11 @@ def test_media_search(spark):
     got = {(r.query_id, r.match_id): r for r in media.find_copies(asked, index).collect()}
     assert len([k for k in got if k[0] == k[1]]) >= 0.9 * len(pictures) and all(a == b for a, b in got)
     assert got[3, 3].n_copies == 2 and abs(got[3, 3].dx - 6) < 1 and abs(got[3, 3].dy - 5) < 1
+    listed = {}
+    for r in media.per_query(media.find_copies(asked, index), asked, most=1).collect():
+        listed.setdefault(r.query_id, []).extend((m.match_id, m.votes) for m in r.matches)
+        assert r.n_matches == sum(k[0] == r.query_id for k in got)
+    assert {k: sorted(v) for k, v in listed.items()} == {q.id: sorted((m, r.votes) for (a, m), r in got.items() if a == q.id) for q in asked.collect()}
     assert media.find_copies(asked.limit(0), index).count() == 0 and media.find_copies(asked, index.limit(0)).count() == 0
 
 
