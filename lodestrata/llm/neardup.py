@@ -310,7 +310,7 @@ def candidates(classes: DataFrame, star: bool, percent: int, trees: int, root: i
             stuck = (F.col("size") > leaf) & (F.lit(level == levels) | (F.col("size") > F.col("above") * STUCK))
             small = members.filter(F.col("size") <= leaf).unionByName(_in_blocks(members.filter(stuck), leaf).select(*members.columns))
             again = members.filter((F.col("size") > leaf) & ~stuck).drop("above")
-        if level == 0 and not star and large.count() * 8 <= BROADCAST_BYTES:
+        if level == 0 and large.count() * 8 <= BROADCAST_BYTES:
             names = np.sort(np.array([r[0] for r in large.select("node").toLocalIterator()], np.int64))
             once = (trees * root, root, classes.sparkSession.sparkContext.broadcast(names))
         columns = ["node", "rep", "n", "label", "sketch"] + ["tokens"] * (once is not None)
