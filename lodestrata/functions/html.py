@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import drop_boilerplate
+from .text import LINE_ENDS, drop_boilerplate
 
 #: Elements without readable text, dropped with all they hold.
 DISCARD = ("script", "style", "meta", "link", "head", "noscript", "svg", "img", "figure", "ix:nonfraction", "ix:nonnumeric", "xbrl", "xbrli")
@@ -32,8 +32,13 @@ SECTIONS = (
 )
 
 
+#: Elements that a head can't hold, so that they end one that was never closed.
+BODY = ("body", "frameset")
+BLOCKS = ("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul")
+
+
 class _Reader(HTMLParser):
-    """Text nodes outside of discarded elements."""
+    """Text nodes outside of discarded elements; a head that was never closed ends where the body begins."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -41,6 +46,10 @@ class _Reader(HTMLParser):
         self.hidden: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in BODY:
+            self.hidden.clear()
+        elif tag in BLOCKS and self.hidden == ["head"]:
+            self.hidden.clear()
         if tag in DISCARD and tag not in VOID:
             self.hidden.append(tag)
 
@@ -78,7 +87,7 @@ def strip_header(page: Column) -> Column:
 
 def html_text(page: Column) -> Column:
     """Readable text: stripped lines with single blanks, at most two blank lines in a row, without boilerplate."""
-    out = F.regexp_replace(html_nodes(strip_header(page)), "\r\n|[\r\x85  ]", "\n")
+    out = F.regexp_replace(html_nodes(strip_header(page)), LINE_ENDS, "\n")
     out = F.regexp_replace(out, r"[ \t]+", " ")
     out = F.regexp_replace(out, r"(?U)[^\S\n]*\n[^\S\n]*", "\n")
     out = F.regexp_replace(out, r"\n{4,}", "\n\n\n")
@@ -92,13 +101,12 @@ def heading(line: Column) -> Column:
     return F.when((F.length(line) > 0) & (F.length(line) <= 500), name)
 
 
-def sections(docs: DataFrame, id_col: str, text_col: str, least: int = 50) -> DataFrame:
-    """(id, pos, name, section_text): from heading to heading; the first of a name with ``least`` characters counts; one General section if there is none.
+def section_arrays(docs: DataFrame, text_col: str, least: int = 50) -> DataFrame:
+    """docs with ``sections``, an array of (name, text): from heading to heading; the first of a name with ``least`` characters counts; one General section if there is none.
 
     Everything happens inside a row, so no document is taken apart and shuffled.
     """
-    lines = F.split(F.col(text_col), "\n")
-    marked = docs.select(F.col(id_col), F.col(text_col).alias("__text"), lines.alias("__lines"))
+    marked = docs.withColumn("__lines", F.split(F.col(text_col), "\n"))
     marked = marked.withColumn("__heads", F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("at"), heading(x).alias("name"))), lambda h: h["name"].isNotNull()))
     count = F.size("__heads")
     last = F.size("__lines")
@@ -111,9 +119,14 @@ def sections(docs: DataFrame, id_col: str, text_col: str, least: int = 50) -> Da
     found = F.filter(F.transform("__heads", section), lambda s: F.length(s["text"]) >= least)
     marked = marked.withColumn("__found", found)
     first = F.filter("__found", lambda s, i: F.array_position(F.transform("__found", lambda x: x["name"]), s["name"]) == i + 1)
-    whole = F.array(F.struct(F.lit("General").alias("name"), F.col("__text").alias("text")))
-    chosen = F.when(F.size("__found") > 0, first).otherwise(whole)
-    return marked.select(id_col, F.posexplode(chosen).alias("pos", "s")).select(id_col, F.col("pos").cast("long").alias("pos"), F.col("s.name").alias("name"), F.col("s.text").alias("section_text"))
+    whole = F.array(F.struct(F.lit("General").alias("name"), F.col(text_col).alias("text")))
+    return marked.withColumn("sections", F.when(F.size("__found") > 0, first).otherwise(whole)).drop("__lines", "__heads", "__found")
+
+
+def sections(docs: DataFrame, id_col: str, text_col: str, least: int = 50) -> DataFrame:
+    """(id, pos, name, section_text) of section_arrays()."""
+    rows = section_arrays(docs.select(id_col, text_col), text_col, least)
+    return rows.select(id_col, F.posexplode("sections").alias("pos", "s")).select(id_col, F.col("pos").cast("long").alias("pos"), F.col("s.name").alias("name"), F.col("s.text").alias("section_text"))
 
 
 def section_text(sections_col: Column, name: str) -> Column:
@@ -121,4 +134,4 @@ def section_text(sections_col: Column, name: str) -> Column:
     return F.get(F.filter(sections_col, lambda s: s["name"] == name), F.lit(0))["text"]
 
 
-__all__ = ["DISCARD", "SECTIONS", "heading", "html_text", "read_html", "section_text", "sections", "strip_header"]
+__all__ = ["DISCARD", "SECTIONS", "heading", "html_text", "read_html", "section_arrays", "section_text", "sections", "strip_header"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -67,6 +69,8 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+#: Fixed value: all that ends a line of text.
+LINE_ENDS = "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: What is noise in a text, in order of removal; each becomes one blank.
 NOISE = (
     r"(?i)\b(https?|ftp)://\S+",
@@ -81,7 +85,7 @@ def clean(text: Column, normal: bool = True) -> Column:
     out = nfkc(text) if normal else text
     for pattern in NOISE:
         out = F.regexp_replace(out, pattern, " ")
-    out = F.regexp_replace(out, "\r\n|[\r\x85\u2028\u2029]", "\n")
+    out = F.regexp_replace(out, LINE_ENDS, "\n")
     out = F.regexp_replace(out, r"[ \t]+", " ")
     out = F.regexp_replace(out, r"(?U)[^\S\n]*\n[^\S\n]*", "\n")
     out = F.regexp_replace(out, r"\n{4,}", "\n\n\n")
@@ -109,6 +113,45 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+@dataclass(frozen=True)
+class Tokenizer:
+    """split: text to an array of tokens; join: such an array to text."""
+
+    split: Callable[[Column], Column]
+    join: Callable[[Column], Column]
+
+
+WHITE_SPACE = Tokenizer(tokens, lambda words: F.array_join(words, " "))
+
+
+def vocabulary_tokenizer(path: str) -> Tokenizer:
+    """Tokens of a byte-level vocabulary file, the same path on all executors: texts of pieces, which joined give the text again.
+
+    The library works on whole Arrow batches; where several tokens make one character, the first has it and the others are empty.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer as File
+
+        file = File.from_file(path)
+        for texts in batches:
+            known = texts.fillna("").tolist()
+            coded = file.encode_batch(known, add_special_tokens=False)
+            yield pd.Series([_pieces(text, c.offsets) for text, c in zip(known, coded, strict=True)])
+
+    return Tokenizer(split, lambda words: F.array_join(words, ""))
+
+
+def _pieces(text: str, offsets: list[tuple[int, int]]) -> list[str]:
+    """A string per token: its characters, or nothing where a token only goes on with a character that another began."""
+    out, done = [], 0
+    for begin, end in offsets:
+        out.append(text[max(begin, done) : end])
+        done = max(done, end)
+    return out
+
+
 def token_windows(words: Column, size: int = 512, overlap: int = 50) -> Column:
     """Arrays of ``size`` words, each beginning ``overlap`` words before the last one ended; one window for shorter arrays, none for empty ones."""
     n, step = F.size(words), size - overlap

@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Upper bounds of latency buckets in seconds.
+#: Upper bounds of latency buckets in seconds.
 QUERY_BUCKETS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0)
-#: A service level of 99.5 % leaves this share of errors.
-ALLOWED = 0.005
+#: The share of errors that a service level of 99.5 % leaves, that of slow answers, and how many times as much is a fast or slow burn.
+ALLOWED, ALLOWED_SLOW = 0.005, 0.05
 FAST, SLOW = 14.4, 6.0
+#: Limits of alerts (seconds, share, tokens, errors a second, drops a second, clients, restarts in 15 minutes).
+SLOW_SECONDS, HIT_RATIO, TOKENS, ERRORS, DROPS, CLIENTS, RESTARTS = 120.0, 0.75, 4500, 0.1, 10, 180, 3
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -85,6 +87,74 @@ def budget(rates: DataFrame, allowed: float = ALLOWED) -> DataFrame:
     return rates.withColumn("budget_left", left).withColumn("budget_low", left < 0.1).withColumn("budget_gone", left <= 0)
 
 
+def trailing_shares(events: DataFrame, time: str, good: Column, minutes: Sequence[int], name: str = "within", counted: Column | None = None) -> DataFrame:
+    """One row: the share of good events among those counted (by default all) in the last minutes before the latest event, a column ``<name>_<m>m`` per length, null where there is none."""
+    anchor = F.broadcast(events.agg(F.max(time).alias("__end")))
+    recent = events.crossJoin(anchor).filter(F.col(time) > F.col("__end") - F.make_interval(mins=F.lit(max(minutes))))
+    counted = F.lit(True) if counted is None else counted
+    aggs = []
+    for m in minutes:
+        inside = (F.col(time) > F.col("__end") - F.make_interval(mins=F.lit(m))) & counted
+        aggs.append(F.try_divide(F.count_if(inside & good).cast("double"), F.count_if(inside).cast("double")).alias(f"{name}_{m}m"))
+    return recent.agg(*aggs)
+
+
+def latency_burn(shares: DataFrame, allowed: float = ALLOWED_SLOW) -> DataFrame:
+    """shares (within_60m, within_360m) with the shares of slow answers, ``fast_burn`` (both lengths) and ``slow_burn`` (the longer, below the fast limit)."""
+    slow = shares.withColumn("slow_60m", 1 - F.col("within_60m")).withColumn("slow_360m", 1 - F.col("within_360m"))
+    fast, least = FAST * allowed, SLOW * allowed
+    hold = lambda c: F.coalesce(c, F.lit(False))  # noqa: E731  where nothing was asked, nothing burns
+    return slow.withColumn("fast_burn", hold((F.col("slow_60m") > fast) & (F.col("slow_360m") > fast))).withColumn("slow_burn", hold((F.col("slow_360m") > least) & (F.col("slow_360m") < fast)))
+
+
+def cost_per_query(costs: DataFrame, llm: str, infra: str, queries: str) -> DataFrame:
+    """costs with ``cost_cents``: both costs over the number of queries in hundredths; null where nothing was asked."""
+    return costs.withColumn("cost_cents", F.try_divide((F.col(llm) + F.col(infra)).cast("double"), F.col(queries).cast("double")) * 100)
+
+
+def budget_consumed(rates: DataFrame, allowed: float = ALLOWED, days: int = 30) -> DataFrame:
+    """rates with ``consumed_percent``: the error share of three days, carried on, against what is allowed."""
+    return rates.withColumn("consumed_percent", F.col("err_72h") * days / allowed * 100)
+
+
+def rate_alerts(events: DataFrame, time: str, width: str, seconds: int, limit: float, *by: str) -> DataFrame:
+    """(window_start, by..., n, per_second) of the windows with more events a second than the limit."""
+    return rate_per_window(events, time, width, seconds, *by).filter(F.col("per_second") > limit)
+
+
+def increase_alerts(counters: DataFrame, time: str, value: str, width: str, limit: float, *by: str) -> DataFrame:
+    """(window_start, by..., increase) of the windows in which a counter rose by more than the limit; a fall is a restart from 0."""
+    before = F.lag(value).over(Window.partitionBy(*by).orderBy(time))
+    step = F.when(F.col(value) >= before, F.col(value) - before).when(before.isNotNull(), F.col(value)).otherwise(0)
+    out = counters.withColumn("__step", step).groupBy(F.window(time, width).alias("w"), *by).agg(F.sum("__step").alias("increase"))
+    return out.filter(F.col("increase") > limit).select(F.col("w.start").alias("window_start"), *by, "increase")
+
+
+def at_most(current: DataFrame, limits: DataFrame, key: str, value: str, limit: str) -> DataFrame:
+    """current whose value has reached its limit (key, limit): an equi-join of two vectors; keys of one side only never match."""
+    return current.join(limits, key).filter(F.col(value) >= F.col(limit))
+
+
+def average_alert(events: DataFrame, value: str, limit: float) -> DataFrame:
+    """One row: average and ``alert``, whether it exceeds the limit (never, where there is nothing)."""
+    out = events.agg(F.avg(value).alias("average"))
+    return out.withColumn("alert", F.coalesce(F.col("average") > limit, F.lit(False)))
+
+
+def gauge_alerts(gauges: DataFrame, value: str, time: str, tie: str, limit: float, *by: str) -> DataFrame:
+    """(by..., last_value) of gauges whose last value exceeds the limit."""
+    return last_value(gauges, value, time, tie, *by).filter(F.col("last_value") > limit)
+
+
+def exposition(samples: DataFrame, name: str, kind: str, about: str, value: str, *labels: str) -> DataFrame:
+    """(line) in the text format of metrics: help and type, then a sample per row with its labels in the order given; null labels are empty."""
+    quote = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    pairs = F.concat_ws(",", *(F.concat(F.lit(f'{c}="'), quote(c), F.lit('"')) for c in labels))
+    sample = F.concat(F.lit(name), F.concat(F.lit("{"), pairs, F.lit("}")) if labels else F.lit(""), F.lit(" "), F.col(value).cast("double").cast("string"))
+    head = samples.sparkSession.createDataFrame([(f"# HELP {name} {about}",), (f"# TYPE {name} {kind}",)], "line string")
+    return head.unionByName(samples.select(sample.alias("line")))
+
+
 def sustained(windows: DataFrame, time: str, above: Column, least: int, width_seconds: int) -> DataFrame:
     """(alert_start, alert_end, n_windows): runs of at least ``least`` adjoining windows that are above."""
     hot = windows.filter(above).withColumn("slot", (F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000 / width_seconds).cast("long"))

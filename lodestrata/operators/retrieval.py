@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import trigram_similarity, trigrams
 from ..functions.vectors import cosine
 
-#: Default parameters.
+#: Default parameters.
 TOP_K, FETCH_K, LAMBDA, RRF_K, ALPHA, OVER_FETCH, THRESHOLD, BUDGET = 5, 20, 0.5, 60, 0.7, 3, 0.7, 6000
 
 
@@ -52,6 +52,35 @@ def trigram_topk(docs: DataFrame, query: str, k: int, id_col: str = "id", text_c
     return top_k(scored, k)
 
 
+def trigram_postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(gram, id, n): a row per text and trigram; n: how many trigrams the text has."""
+    cut = docs.select(F.col(id_col).alias("id"), trigrams(F.col(text_col)).alias("__grams"))
+    return cut.select("id", F.size("__grams").alias("n"), F.explode("__grams").alias("gram")).select("gram", "id", "n")
+
+
+def write_trigram_index(postings: DataFrame, path: str, files: int | None = None) -> None:
+    """Postings sorted by trigram, so that a question reads the row groups of its own trigrams only."""
+    spread = postings.repartition(files, "gram") if files else postings.repartition("gram")
+    spread.sortWithinPartitions("gram", "id").write.option("parquet.block.size", 4 << 20).parquet(path)
+
+
+def indexed_trigram_topk(index: DataFrame, docs: DataFrame, query: str, k: int, id_col: str = "id", among: DataFrame | None = None) -> DataFrame:
+    """trigram_topk() from postings: the same rows.  docs: the indexed texts (only ids are read, and only if fewer than k share a trigram); among: (id) of those that may be found."""
+    spark = index.sparkSession
+    wanted = spark.range(1).select(trigrams(F.lit(query)).alias("g")).first()[0]
+    shared = index.filter(F.col("gram").isin(wanted)) if wanted else index.limit(0)
+    shared = shared.groupBy("id").agg(F.count("*").alias("both"), F.first("n").alias("n"))
+    scored = shared.select("id", (F.col("both") / (F.col("n") + F.lit(len(wanted)) - F.col("both")).cast("double")).alias("score"))
+    pool = docs.select(F.col(id_col).alias("id")) if among is None else among.select("id")
+    if among is not None:
+        scored = scored.join(among.select("id"), "id", "left_semi")
+    best = top_k(scored, k)
+    if len(scored.take(k)) < k:  # the rest shares nothing and follows by id
+        rest = pool.join(scored.select("id"), "id", "left_anti").orderBy("id").limit(k).withColumn("score", F.lit(0.0))
+        best = top_k(scored.unionByName(rest), k)
+    return best
+
+
 def mmr(chunks: DataFrame, query: Sequence[float], k: int = TOP_K, fetch_k: int = FETCH_K, weight: float = LAMBDA, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(id, rank, score): the best match, then each time the candidate with the greatest weight * score - (1 - weight) * likeness to those chosen.
 
@@ -86,9 +115,14 @@ def fuse(vector: DataFrame, text: DataFrame, k: int, alpha: float = ALPHA, const
     return top_k(both.withColumn("score", part(alpha, "vector_rank") + part(1 - alpha, "text_rank")), k)
 
 
-def hybrid(chunks: DataFrame, docs: DataFrame, query: Sequence[float], words: str, k: int = TOP_K, chunk_id: str = "id", vector_col: str = "embedding", doc_id: str = "id", text_col: str = "text") -> DataFrame:
-    """Fusion of the vector and the trigram list, each fetched several times as long; the two sides are independent stages."""
-    return fuse(cosine_topk(chunks, query, OVER_FETCH * k, chunk_id, vector_col), trigram_topk(docs, words, OVER_FETCH * k, doc_id, text_col), k)
+def hybrid(chunks: DataFrame, docs: DataFrame, query: Sequence[float], words: str, k: int = TOP_K, chunk_id: str = "id", vector_col: str = "embedding", doc_id: str = "id", text_col: str = "text", index: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
+    """Fusion of the vector and the trigram list, each fetched several times as long; the two sides are independent stages.
+
+    index: postings of docs' trigrams, if there are any; among: (id) of the indexed texts that may be found.
+    """
+    n = OVER_FETCH * k
+    text = trigram_topk(docs, words, n, doc_id, text_col) if index is None else indexed_trigram_topk(index, docs, words, n, doc_id, among)
+    return fuse(cosine_topk(chunks, query, n, chunk_id, vector_col), text, k)
 
 
 def late(ranked: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame:
@@ -96,13 +130,16 @@ def late(ranked: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame:
     return rows.join(F.broadcast(ranked.withColumnRenamed("id", id_col)), id_col)
 
 
-def upgraded(similar: DataFrame, hybrid_list: DataFrame, threshold: float) -> DataFrame:
-    """The similarity list, or the hybrid one if the best unfiltered similarity is below the threshold (or there is none)."""
-    best = F.broadcast(similar.agg(F.max("score").alias("__best")))
-    weak = F.coalesce(F.col("__best"), F.lit(float("-inf"))) < threshold
-    left = similar.crossJoin(best).filter(~weak).select("id", "rank", "score", F.lit("similarity").alias("search_type"))
-    right = hybrid_list.crossJoin(best).filter(weak).select("id", "rank", "score", F.lit("hybrid").alias("search_type"))
-    return left.unionByName(right)
+def upgraded(similar: DataFrame, hybrid_list: DataFrame | Callable[[], DataFrame], threshold: float) -> DataFrame:
+    """(id, rank, score, search_type): the similarity list, or the hybrid one if the best unfiltered similarity is below the threshold (or there is none).
+
+    The best score, one row, decides before either list is made, so only one of them runs.
+    """
+    best = similar.agg(F.max("score")).first()[0]
+    if best is not None and best >= threshold:
+        return similar.select("id", "rank", "score", F.lit("similarity").alias("search_type"))
+    mixed = hybrid_list() if callable(hybrid_list) else hybrid_list
+    return mixed.select("id", "rank", "score", F.lit("hybrid").alias("search_type"))
 
 
 def per_group_topk(scored: DataFrame, group: str, k: int) -> DataFrame:
@@ -123,6 +160,20 @@ def within_budget(ranked: DataFrame, tokens_col: str, budget: int = BUDGET, by:
     return ranked.withColumn("used_tokens", F.sum(tokens_col).over(window)).filter(F.col("used_tokens") <= budget)
 
 
+def year_context(blocks: DataFrame, block_col: str, year_col: str = "fiscal_year", shown: int = 2) -> DataFrame:
+    """One row ``context``: under a header per year its ``shown`` best blocks, years in the order of ``nth``."""
+    ordered = F.array_sort(F.collect_list(F.struct("rank", F.col(block_col).alias("block"))))
+    by_year = blocks.filter(F.col("rank") <= shown).groupBy("nth", year_col).agg(F.array_join(F.transform(ordered, lambda b: b["block"]), "\n").alias("text"))
+    part = F.concat(F.lit("=== FY"), F.col(year_col).cast("string"), F.lit(" ===\n"), F.col("text"))
+    years = F.array_sort(F.collect_list(F.struct("nth", part.alias("part"))))
+    return by_year.agg(F.array_join(F.transform(years, lambda y: y["part"]), "\n\n").alias("context"))
+
+
+def shortened(text: Column, most: int = 500) -> Column:
+    """The first characters of a tool's result."""
+    return F.substring(text, 1, most)
+
+
 def joined_context(blocks: DataFrame, block_col: str) -> DataFrame:
     """One row ``context``: the blocks in the order of rank."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.col(block_col).alias("block"))))

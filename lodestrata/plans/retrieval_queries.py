@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..session import prepared
 from .registry import query
 
 TEXT = "the ending of the nation and other errors"
@@ -33,8 +34,18 @@ def _vector(t, k: int):
     return R.cosine_topk(_candidates(t), _query(t), k, "vec_id")
 
 
+def _postings(t):
+    """The documents' trigram index, made once, as at ingest."""
+    docs = t.documents.select("doc_id", "text")
+    return prepared("trigrams", docs, lambda df, path: R.write_trigram_index(R.trigram_postings(df, "doc_id"), path))
+
+
 def _text(t, k: int):
-    return R.trigram_topk(t.documents, TEXT, k, "doc_id")
+    return R.indexed_trigram_topk(_postings(t), t.documents, TEXT, k, "doc_id")
+
+
+def _mixed(t, k: int):
+    return R.hybrid(_candidates(t), t.documents, _query(t), TEXT, k, "vec_id", "embedding", "doc_id", index=_postings(t))
 
 
 def _rounded(df):
@@ -75,6 +86,12 @@ def trigram_topk(t):
     return _rounded(_text(t, 15))
 
 
+@query(f"SELECT id, rank, round(score, 6) AS score FROM ({TEXT_TOP})")
+def trigram_topk_scan(t):
+    """Without an index: every text is cut into trigrams."""
+    return _rounded(R.trigram_topk(t.documents, TEXT, 15, "doc_id"))
+
+
 def _fused(k: int) -> str:
     scores = f"SELECT coalesce(v.id, t.id) AS id, v.rank AS vector_rank, t.rank AS text_rank, coalesce(0.7 / (60 + v.rank), 0) + coalesce((1 - 0.7) / (60 + t.rank), 0) AS score FROM ({VECTOR_TOP}) v FULL JOIN ({TEXT_TOP}) t ON v.id = t.id"
     return f"SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({scores}) ORDER BY score DESC, id LIMIT {k}"
@@ -87,7 +104,7 @@ def rrf_fusion(t):
 
 @query(f"SELECT id, rank, round(score, 6) AS score FROM ({_fused(5)})")
 def hybrid_search(t):
-    return _rounded(R.hybrid(_candidates(t), t.documents, _query(t), TEXT, 5, "vec_id", "embedding", "doc_id")).select("id", "rank", "score")
+    return _rounded(_mixed(t, 5)).select("id", "rank", "score")
 
 
 @query(f"SELECT id FROM ({VECTOR_TOP}) UNION SELECT id FROM ({TEXT_TOP})")
@@ -125,9 +142,7 @@ def retrieve_project(t):
         SELECT id, rank, score, 'similarity' AS search_type FROM s, b WHERE best >= 0.7 UNION ALL SELECT id, rank, score, 'hybrid' FROM h, b WHERE best < 0.7 OR best IS NULL)"""
 )
 def auto_upgrade(t):
-    similar = _vector(t, 5)
-    mixed = R.hybrid(_candidates(t), t.documents, _query(t), TEXT, 5, "vec_id", "embedding", "doc_id")
-    return _rounded(R.upgraded(similar, mixed, R.THRESHOLD))
+    return _rounded(R.upgraded(_vector(t, 5), lambda: _mixed(t, 5), R.THRESHOLD))
 
 
 @query(f"SELECT id, label, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS rank FROM ({SCORES}) WHERE label IN (0, 1, 2)) WHERE rank <= 2")
@@ -160,6 +175,73 @@ def context_string(t):
     return R.joined_context(_packed(t).withColumn("block", F.concat(head, F.lit("\n"), F.col("text"))), "block")
 
 
+_HEAD = "'[Source: ' || ticker || ' ' || filing_type || ' FY' || fiscal_year || ' — General (score=' || format('{:.3f}', score) || ')]' || chr(10) || chunk_text"
+_OWN_CHUNKS = "SELECT doc_id AS id, text AS chunk_text, upper(source) AS ticker, lang AS filing_type, label AS fiscal_year FROM documents JOIN embeddings ON vec_id = doc_id WHERE vec_id <> 0"
+
+
+def _chunks(t):
+    """Documents with the vector of their number as chunks; the label stands for the year."""
+    vectors = _candidates(t).select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("fiscal_year"))
+    texts = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("chunk_text"), F.upper("source").alias("ticker"), F.col("lang").alias("filing_type"), F.lit(None).cast("string").alias("section"))
+    return vectors.join(texts, "id")
+
+
+def _answers(ranked: str, search_type: str, budget: int) -> str:
+    used = f"SELECT * FROM (SELECT r.id, r.rank, r.score, c.chunk_text, c.ticker, c.filing_type, c.fiscal_year, sum({_COUNT.replace('d.text', 'c.chunk_text')}) OVER (ORDER BY r.rank ROWS UNBOUNDED PRECEDING) AS used FROM ({ranked}) r JOIN ({_OWN_CHUNKS}) c ON c.id = r.id) WHERE used <= {budget}"
+    return f"""SELECT '{TEXT}' AS question, '[LLM unavailable — returning raw context]' || chr(10) || chr(10) || (SELECT coalesce(string_agg({_HEAD}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), '') FROM ({used})) AS answer,
+    'analyst' AS analysis_style, '{search_type}' AS search_type, 'query_engine' AS agent_type, (SELECT string_agg(id::VARCHAR, ',' ORDER BY rank) FROM ({ranked})) AS sources"""
+
+
+def _asked(t, threshold: float, budget: int, **filters):
+    from .pipeline import Retriever
+
+    out = Retriever(_chunks(t), threshold, budget, _postings(t)).ask(TEXT, _query(t), style="poet", **filters)
+    return out.withColumn("sources", F.array_join(F.transform("source_chunk_ids", lambda x: x.cast("string")), ",")).drop("source_chunk_ids")
+
+
+_IN_CHUNKS = f"SELECT id, score FROM ({SCORES}) WHERE id IN (SELECT id FROM ({_OWN_CHUNKS}))"
+
+
+@query(_answers(_ranked(_IN_CHUNKS, 5), "similarity", 1500))
+def full_query(t):
+    """A question, answered with its context: the best similarity is enough."""
+    return _asked(t, 0.1, 1500)
+
+
+_IN_POOL = f"id IN (SELECT id FROM ({_OWN_CHUNKS}) WHERE fiscal_year = 1)"
+_POOL_FUSED = f"""SELECT coalesce(v.id, t.id) AS id, coalesce(0.7 / (60 + v.rank), 0) + coalesce((1 - 0.7) / (60 + t.rank), 0) AS score
+    FROM ({_ranked(f"SELECT id, score FROM ({SCORES}) WHERE {_IN_POOL}", 15)}) v FULL JOIN ({_ranked(f"SELECT id, score FROM ({_TEXT_SCORES}) WHERE {_IN_POOL}", 15)}) t ON v.id = t.id"""
+
+
+@query(_answers(_ranked(_POOL_FUSED, 5), "hybrid", 3000))
+def full_query_upgraded(t):
+    """The same within a year, where no similarity reaches the threshold: the search becomes hybrid."""
+    return _asked(t, 0.99, 3000, fiscal_year=1)
+
+
+@query(
+    f"""WITH r AS (SELECT s.id, s.score, c.fiscal_year, c.chunk_text, c.ticker, c.filing_type, row_number() OVER (PARTITION BY c.fiscal_year ORDER BY s.score DESC, s.id) AS rank FROM ({SCORES}) s JOIN ({_OWN_CHUNKS}) c ON c.id = s.id WHERE c.fiscal_year IN (2, 1, 3)),
+    y AS (SELECT fiscal_year, '=== FY' || fiscal_year || ' ===' || chr(10) || string_agg({_HEAD}, chr(10) ORDER BY rank) AS part FROM r WHERE rank <= 2 GROUP BY fiscal_year)
+    SELECT string_agg(part, chr(10) || chr(10) ORDER BY list_position([2, 1, 3], fiscal_year)) AS context, (SELECT string_agg(id::VARCHAR, ',' ORDER BY id) FROM r WHERE rank <= 5) AS sources FROM y"""
+)
+def compare_contexts(t):
+    """Four years are asked for, three are compared, two chunks of each are shown, five are sources."""
+    from .pipeline import Retriever
+
+    context, sources = Retriever(_chunks(t), -1.0).compare(_query(t), TEXT, [2, 1, 3, 4])
+    ids = sources.agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("sources"))
+    return context.crossJoin(ids)
+
+
+@query(f"SELECT string_agg({_HEAD}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)[:500] AS result FROM (SELECT s.*, row_number() OVER (ORDER BY score DESC, s.id) AS rank FROM (SELECT s.id, s.score, c.chunk_text, c.ticker, c.filing_type, c.fiscal_year FROM ({SCORES}) s JOIN ({_OWN_CHUNKS}) c ON c.id = s.id WHERE c.fiscal_year = 1) s) WHERE rank <= 5")
+def tool_search(t):
+    """The year is the default's, as the arguments leave it empty; the result is cut to 500 characters."""
+    from .pipeline import Retriever
+
+    context, _ = Retriever(_chunks(t), -1.0).tool_search(_query(t), TEXT, {"fiscal_year": 0}, {"fiscal_year": 1})
+    return context.select(R.shortened(F.col("context")).alias("result"))
+
+
 @query(
     """SELECT h.source AS session_id, count(*) AS n_sources, sum(l.toxic)::BIGINT AS n_toxic
     FROM (SELECT source, unnest(ids) AS id FROM (SELECT source, list(doc_id) AS ids FROM documents GROUP BY source)) h JOIN labels l ON l.doc_id = h.id GROUP BY h.source"""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import store as S
+from ..session import scratch_root
+from ..sources import submissions as U
 from .registry import query
 
 
@@ -59,11 +63,38 @@ def latest_per_year(t):
     return S.first_per_year(rows, "o_custkey", "o_orderdate", (F.desc("o_orderdate"), "o_orderkey"), 3).select("o_custkey", "o_orderkey", "year")
 
 
-@query("SELECT c_custkey, lpad(c_custkey::VARCHAR, 10, '0') AS cik, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+_FORM = "CASE o_orderstatus WHEN 'F' THEN '10-K' WHEN 'O' THEN '10-Q' ELSE '8-K' END"
+
+
+def _known(t):
+    """Every customer as a company: its ticker and number."""
+    return t.customer.select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_custkey").alias("cik"))
+
+
+@query("SELECT 'T' || c_custkey AS ticker, lpad(c_custkey::VARCHAR, 10, '0') AS cik FROM customer WHERE c_custkey % 3 = 0")
 def lpad_lookup(t):
-    nation = t.nation.select("n_nationkey", "n_name")
-    joined = t.customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("cik"), "n_name")
+    """Tickers in another case than the known ones, and one that nobody knows."""
+    wanted = t.customer.filter("c_custkey % 3 = 0").select(F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("ticker"))
+    return U.resolve(wanted.unionByName(t.spark.createDataFrame([("nobody",)], "ticker string")), _known(t))
+
+
+@query(
+    f"""WITH f AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS pos FROM orders WHERE {_FORM} = '10-K' AND o_custkey % 3 = 0),
+    y AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY pos) = 1),
+    n AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY pos) <= 5)
+    SELECT 'T' || o_custkey AS ticker, '10-K' AS filing_type, lpad(o_custkey::VARCHAR, 10, '0') AS cik, year(o_orderdate)::INT AS fiscal_year, o_orderdate::DATE AS filed_at, '77' || o_orderkey AS accession, 'd' || o_orderkey || '.htm' AS document,
+    'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/77' || o_orderkey || '/d' || o_orderkey || '.htm' AS source_url FROM n"""
+)
+def list_filings(t):
+    """Seven years are asked for, five are listed."""
+    form = F.expr(_FORM)
+    entry = F.struct((-F.unix_date(F.col("o_orderdate").cast("date"))).alias("newest"), F.col("o_orderkey").alias("key"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed"), form.alias("form"))
+    lists = t.orders.groupBy(F.col("o_custkey").cast("string").alias("cik")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    each = lambda f: F.transform("e", f)
+    key = lambda x: x["key"].cast("string")
+    recent = F.struct(each(lambda x: F.concat(F.lit("7-7-"), key(x))).alias("accessionNumber"), each(lambda x: x["form"]).alias("form"), each(lambda x: x["filed"]).alias("filingDate"), each(lambda x: F.concat(F.lit("d"), key(x), F.lit(".htm"))).alias("primaryDocument"))
+    tickers = t.orders.filter("o_custkey % 3 = 0 and o_orderstatus = 'F'").select(F.concat(F.lit("T"), F.col("o_custkey").cast("string")).alias("ticker")).distinct()
+    return U.list_filings(tickers, "10-K", _known(t), lists.select("cik", F.struct(recent.alias("recent")).alias("filings")), 7)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 50")
@@ -77,6 +108,12 @@ def chunks_by_filing(t):
     return t.orders.select("o_orderkey", "o_orderdate").join(lines, "o_orderkey")
 
 
+@query("SELECT l_linenumber AS chunk_index, l_quantity, l_returnflag AS section FROM lineitem WHERE l_orderkey = 7 AND l_returnflag = 'N' ORDER BY l_linenumber")
+def chunks_in_order(t):
+    chunks = t.lineitem.select(F.col("l_orderkey").alias("filing_id"), F.col("l_linenumber").alias("chunk_index"), "l_quantity", F.col("l_returnflag").alias("section"))
+    return S.chunks_of_filing(chunks, 7, "N").drop("filing_id")
+
+
 @query("SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS step FROM conversations")
 def session_history(t):
     from pyspark.sql import Window
@@ -100,10 +137,13 @@ def count_by_key(t):
     return t.documents.groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT source, count(*) AS n, least(count(*), 50) AS n_listed, count(DISTINCT lang) AS n_types, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY source")
+@query(
+    """SELECT source, count(*) FILTER (lang <> 'fr') AS n_active, least(count(*) FILTER (lang <> 'fr'), 50) AS n_listed, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY source
+    UNION ALL SELECT NULL, count(*) FILTER (lang <> 'fr'), count(*), sum(n_chars)::BIGINT FROM documents"""
+)
 def store_stats(t):
-    n = F.count("*")
-    return t.documents.groupBy("source").agg(n.alias("n"), F.least(n, F.lit(50)).alias("n_listed"), F.count_distinct("lang").alias("n_types"), F.sum("n_chars").alias("n_chars"))
+    """French documents stand for inactive ones; the row without a source is the whole store, with all its rows."""
+    return S.stats(t.documents.withColumn("is_active", F.col("lang") != "fr"), "source", "n_chars")
 
 
 @query("SELECT count(*) AS n_texts, count(DISTINCT sha256(text)) AS n_distinct, count(*) - count(DISTINCT sha256(text)) AS n_skipped, sum(n_chars)::BIGINT AS n_chars FROM documents")
@@ -135,11 +175,14 @@ def _parts(t):
 
 
 @query(
-    f"""SELECT coalesce(s.p_partkey, b.p_partkey) AS p_partkey, coalesce(b.p_name, s.p_name) AS p_name, coalesce(s.p_size, b.p_size) AS p_size, coalesce(b.p_retailprice, s.p_retailprice) AS p_retailprice
-    FROM part s FULL JOIN ({_BATCH}) b ON s.p_partkey = b.p_partkey"""
+    f"""SELECT coalesce(s.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN s.p_name ELSE b.p_name END AS p_name, CASE WHEN s.p_partkey IS NULL THEN b.p_size ELSE s.p_size END AS p_size,
+    CASE WHEN b.p_partkey IS NULL THEN s.p_retailprice ELSE b.p_retailprice END AS p_retailprice
+    FROM part s FULL JOIN (SELECT p_partkey, p_name, p_size, CASE WHEN p_size % 2 = 0 THEN p_retailprice END AS p_retailprice FROM ({_BATCH})) b ON s.p_partkey = b.p_partkey"""
 )
 def bulk_upsert(t):
-    return S.upsert(*_parts(t), "p_partkey", ("p_name", "p_retailprice"))
+    """Half of the batch sets the price to null, which an upsert writes."""
+    stored, batch = _parts(t)
+    return S.upsert(stored, batch.withColumn("p_retailprice", F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice"))), "p_partkey", ("p_name", "p_retailprice"))
 
 
 @query(f"SELECT p_partkey, p_name, p_size, p_retailprice FROM part UNION ALL SELECT b.* FROM ({_BATCH}) b WHERE b.p_partkey NOT IN (SELECT p_partkey FROM part)")
@@ -172,6 +215,21 @@ def cache_get(t):
     return S.cache_get(cache, now, "k bigint").select("key", F.col("parsed.k").alias("k"))
 
 
+@query("SELECT k.key, coalesce(k.key LIKE 'view:%', false) AND e.event_id IS NOT NULL AS existed FROM (SELECT event_type || ':' || event_id AS key FROM events WHERE event_id % 5 = 0 UNION ALL SELECT 'none:1') k LEFT JOIN events e ON k.key = e.event_type || ':' || e.event_id")
+def cache_delete(t):
+    """The cache holds views only."""
+    key = F.concat_ws(":", "event_type", "event_id").alias("key")
+    wanted = t.events.filter("event_id % 5 = 0").select(key).unionByName(t.spark.createDataFrame([("none:1",)], "key string"))
+    return S.cache_delete(t.events.filter("event_type = 'view'").select(key), wanted)[1]
+
+
+@query("SELECT event_type || ':' || event_id AS key FROM events WHERE event_id % 5 = 0 AND ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-15'")
+def cache_exists(t):
+    key = F.concat_ws(":", "event_type", "event_id").alias("key")
+    cache = t.events.select(key, (F.col("ts") + F.expr("interval 1 day")).alias("expires_at"))
+    return S.cache_exists(cache, t.events.filter("event_id % 5 = 0").select(key), F.lit("2024-01-15").cast("timestamp_ntz"))
+
+
 @query("SELECT event_type || ':' || event_id AS key FROM events WHERE event_type <> 'view'")
 def cache_clear(t):
     return S.cache_clear(t.events.select(F.concat_ws(":", "event_type", "event_id").alias("key")), "view")
@@ -179,5 +237,36 @@ def cache_clear(t):
 
 @query("SELECT doc_id, 'query:' || sha256('{\"l\": 5, \"q\": \"' || source || '\", \"t\": \"' || lang || '\"}') AS key FROM documents")
 def cache_key(t):
-    body = F.concat(F.lit('{"l": 5, "q": "'), F.col("source"), F.lit('", "t": "'), F.col("lang"), F.lit('"}'))
-    return t.documents.select("doc_id", F.concat(F.lit("query:"), F.sha2(body, 256)).alias("key"))
+    return t.documents.select("doc_id", S.cache_key(t=F.col("lang"), q=F.col("source"), l=5).alias("key"))
+
+
+@query("SELECT item_id, text FROM benchmark UNION ALL SELECT item_id, text FROM benchmark WHERE item_id % 2 = 0")
+def bulk_append(t):
+    rows, path = t.benchmark.select("item_id", "text"), f"{scratch_root(t.spark)}/appended-{uuid.uuid4().hex}"
+    S.append(rows, path)
+    S.append(rows.filter("item_id % 2 = 0"), path)
+    S.append(rows.limit(0), path)
+    return t.spark.read.parquet(path)
+
+
+@query("SELECT page_id % 3 AS k, sha256(html) AS file_hash FROM pages WHERE page_id % 3 = 1 AND page_id % 2 = 0")
+def landing(t):
+    """Pages written to folders of ticker, type and year; one folder of each is read back."""
+    path = f"{scratch_root(t.spark)}/landing-{uuid.uuid4().hex}"
+    U.land(t.pages.select(F.concat(F.lit("A/"), F.col("page_id") % 3).alias("ticker"), F.lit("10-K").alias("filing_type"), (2020 + F.col("page_id") % 2).cast("int").alias("fiscal_year"), "html"), path)
+    return U.landed_pages(t.spark, path).filter("ticker = 'A_1' and fiscal_year = 2020").select(F.lit(1).cast("long").alias("k"), "file_hash")
+
+
+_REQUESTS = "(1, 'q', 'analyst', 'mmr', 5, 3), (2, '', 'poet', 'best', 0, 10), (3, NULL, NULL, NULL, NULL, NULL), (4, 'q', 'risk', 'hybrid', 20, 5), (5, 'q', 'risk', 'hybrid', 21, 0)"
+
+
+@query(
+    f"""SELECT id, array_to_string(list_filter([CASE WHEN coalesce(trim(question), '') = '' THEN 'question' END, CASE WHEN style NOT IN ('analyst', 'executive', 'risk') THEN 'analysis_style' END,
+    CASE WHEN search NOT IN ('similarity', 'mmr', 'hybrid') THEN 'search_type' END, CASE WHEN most NOT BETWEEN 1 AND 20 THEN 'limit' END, CASE WHEN years NOT BETWEEN 1 AND 5 THEN 'years' END], lambda x: x IS NOT NULL), ',') AS violations
+    FROM (VALUES {_REQUESTS}) v(id, question, style, search, most, years) WHERE violations <> ''"""
+)
+def request_checks(t):
+    from ..schemas import request_checks, validate
+
+    rows = t.spark.sql(f"SELECT * FROM VALUES {_REQUESTS} AS v(id, question, analysis_style, search_type, limit, years)")
+    return validate(rows, request_checks())[1].select("id", F.array_join("violations", ",").alias("violations"))

@@ -57,10 +57,44 @@ def boilerplate(t):
     return _texts(t).select("doc_id", X.drop_boilerplate(F.col("text")).alias("text"))
 
 
-@query("SELECT source, lang, count(*) AS n, sum(length(text))::BIGINT AS n_chars, max(length(text)) AS longest FROM documents GROUP BY source, lang")
+#: Texts with headings, as the documents have none.
+REPORTS = (
+    (-1, "intro\nItem 7. Management's Discussion and Analysis\nwe did well and will do better than ever before, we think\n  RISK   FACTORS  \ntoo short\nRisk Factors\nmany things can go wrong, and some of them will, as they always do\nproperties\nnone"),
+    (-2, "Cash flow and balance sheet\n" + "cash came in and went out again. " * 3 + "\nLegal proceedings\n" + "we are sued by many. " * 4 + "\ncash flow\n" + "again, but the first counts. " * 3),
+    (-3, "no heading at all"),
+    (-4, "x" * 600 + " risk factors " + "\n" + "a line of more than 500 characters is no heading. " * 2),
+)
+
+
+def _reports(t):
+    return t.documents.select("doc_id", "text").unionByName(t.spark.createDataFrame(list(REPORTS), "doc_id long, text string"))
+
+
+def _section_sql() -> str:
+    quoted = lambda x: x.replace("'", "''")
+    values = ", ".join("(%d, '%s')" % (i, quoted(x)) for i, x in REPORTS)
+    cases = " ".join(f"WHEN regexp_matches(trim(line), '{quoted(p)}', 'i') THEN '{quoted(n)}'" for n, p in H.SECTIONS)
+    return f"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {values}) v(doc_id, text))),
+    l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS line_no FROM d),
+    h AS (SELECT doc_id, line_no, CASE {cases} END AS name FROM l WHERE length(trim(line)) BETWEEN 1 AND 500),
+    s AS (SELECT doc_id, name, line_no, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no), 1000000000) AS stop FROM h WHERE name IS NOT NULL),
+    x AS (SELECT s.doc_id, s.name, s.line_no, regexp_replace(string_agg(line, chr(10) ORDER BY l.line_no), '^\\s+|\\s+$', '', 'g') AS body FROM s JOIN l ON l.doc_id = s.doc_id AND l.line_no >= s.line_no AND l.line_no < s.stop GROUP BY ALL),
+    k AS (SELECT * FROM x WHERE length(body) >= 50 QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY line_no) = 1)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos, name, body AS section_text FROM k UNION ALL SELECT doc_id, 0, 'General', text FROM d WHERE doc_id NOT IN (SELECT doc_id FROM k)"""
+
+
+_SECTIONS = _section_sql()
+
+
+@query(_SECTIONS)
+def section_detect(t):
+    return H.sections(_reports(t), "doc_id", "text")
+
+
+@query(f"SELECT name, count(*) AS n, sum(length(section_text))::BIGINT AS n_chars, max(length(section_text)) AS longest FROM ({_SECTIONS}) GROUP BY name")
 def section_stats(t):
-    n = F.length("text").cast("long")
-    return t.documents.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(n).alias("n_chars"), F.max(n).alias("longest"))
+    n = F.length("section_text").cast("long")
+    return H.sections(_reports(t), "doc_id", "text").groupBy("name").agg(F.count("*").alias("n"), F.sum(n).alias("n_chars"), F.max(n).alias("longest"))
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n_tokens FROM documents")
@@ -78,20 +112,21 @@ def token_cost(t):
     return n.select("source", "n_tokens", cost(0.02).alias("cost_small"), cost(0.13).alias("cost_large"))
 
 
-_CHUNKS = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents),
-    s AS (SELECT doc_id, ws, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) <= 512 THEN [0] ELSE range(0, len(ws), 462) END) AS st FROM w),
-    c AS (SELECT doc_id, st // 462 AS chunk_index, list_slice(ws, st + 1, st + 512) AS part, len(ws) <= 512 AS whole FROM s),
-    t AS (SELECT doc_id, chunk_index, array_to_string(part, ' ') AS chunk_text, len(part) AS token_count, whole FROM c),
+_CHUNKS = """WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents),
+    s AS (SELECT doc_id, text, ws, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) <= 512 THEN [0] ELSE range(0, len(ws), 462) END) AS st FROM w),
+    c AS (SELECT doc_id, st // 462 AS chunk_index, list_slice(ws, st + 1, st + 512) AS part, text, len(ws) <= 512 AS whole FROM s),
+    t AS (SELECT doc_id, chunk_index, CASE WHEN whole THEN text ELSE array_to_string(part, ' ') END AS chunk_text, len(part) AS token_count, whole FROM c),
     k AS (SELECT *, min(CASE WHEN length(chunk_text) < 50 AND NOT whole THEN chunk_index END) OVER (PARTITION BY doc_id) AS stop FROM t)
     SELECT doc_id, chunk_index, token_count, chunk_text FROM k WHERE stop IS NULL OR chunk_index < stop"""
 
 
-def chunked(docs, id_col: str, text_col: str, size: int = 512, overlap: int = 50, least: int = 50):
-    """(id, chunk_index, token_count, chunk_text): windows of words; in longer texts the first of under ``least`` characters ends the list."""
-    words = X.tokens(F.col(text_col))
-    windows = F.transform(X.token_windows(F.col("ws"), size, overlap), lambda w: F.struct(F.array_join(w, " ").alias("text"), F.size(w).alias("n")))
-    cut = docs.select(id_col, words.alias("ws")).select(id_col, windows.alias("c"), (F.size("ws") <= size).alias("whole"))
-    short = F.array_position(F.transform("c", lambda x: F.length(x["text"]) < least), F.lit(True))
+def chunked(docs, id_col: str, text_col: str, size: int = 512, overlap: int = 50, least: int = 50, tokenizer: X.Tokenizer = X.WHITE_SPACE):
+    """(id, chunk_index, token_count, chunk_text): windows of tokens; in longer texts the first of under ``least`` characters ends the list, a text of one window stays as it is."""
+    windows = F.transform(X.token_windows(F.col("ws"), size, overlap), lambda w: F.struct(tokenizer.join(w).alias("text"), F.size(w).alias("n")))
+    split = docs.select(id_col, F.col(text_col).alias("__text"), tokenizer.split(F.col(text_col)).alias("ws"))
+    one = F.array(F.struct(F.col("__text").alias("text"), F.size("ws").alias("n")))
+    cut = split.select(id_col, F.when((F.size("ws") > 0) & (F.size("ws") <= size), one).otherwise(windows).alias("c"), (F.size("ws") <= size).alias("whole"))
+    short = F.array_position(F.transform("c", lambda x: F.length(F.regexp_replace(x["text"], r"(?U)^\s+|\s+$", "")) < least), F.lit(True))
     kept = F.when(F.col("whole") | (short == 0), F.col("c")).otherwise(F.slice("c", F.lit(1), (short - 1).cast("int")))
     out = cut.select(id_col, F.posexplode(kept).alias("pos", "x"))
     return out.select(id_col, F.col("pos").cast("long").alias("chunk_index"), F.col("x.n").cast("long").alias("token_count"), F.col("x.text").alias("chunk_text"))
@@ -108,10 +143,27 @@ def html_text(t):
 
 
 @query()
-def section_detect(t):
+def page_sections(t):
     return H.sections(t.pages.select("page_id", H.html_text(F.col("html")).alias("text")), "page_id", "text")
 
 
+def _filing_chunks_sql() -> str:
+    """Each text is a filing of three sections: itself, a blank one, and its first 100 characters."""
+    parts = "(SELECT doc_id, 0 AS pos, 'A' AS section, text FROM documents UNION ALL SELECT doc_id, 2, 'B', text[:100] FROM documents)"
+    cut = _CHUNKS.replace("FROM documents)", f"FROM (SELECT (doc_id, pos, section) AS doc_id, text FROM {parts} WHERE regexp_replace(text, '\\s', '', 'g') <> ''))")
+    return f"SELECT doc_id[1] AS filing_id, doc_id[3] AS section, row_number() OVER (PARTITION BY doc_id[1] ORDER BY doc_id[2], chunk_index) - 1 AS chunk_index, token_count, chunk_text, 'T' AS ticker FROM ({cut})"
+
+
+@query(_filing_chunks_sql())
+def filing_chunks(t):
+    from .pipeline import chunks_of
+
+    section = lambda name, text: F.struct(F.lit(name).alias("name"), text.alias("text"))
+    sections = F.array(section("A", F.col("text")), section("blank", F.lit(" \n")), section("B", F.substring("text", 1, 100)))
+    filings = t.documents.select(F.col("doc_id").alias("filing_id"), F.lit("T").alias("ticker"), sections.alias("sections"))
+    return chunks_of(filings).select("filing_id", "section", "chunk_index", "token_count", "chunk_text", "ticker")
+
+
 @query()
 def clean_text(t):
     return t.documents.select("doc_id", X.clean(F.col("text")).alias("text"))

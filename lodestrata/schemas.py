@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of the stored tables.
 FILINGS = (
     "id string not null, ticker string not null, filing_type string not null, fiscal_year smallint, fiscal_quarter smallint, filed_at date, source_url string, "
     "file_hash string, pages int, ingested_at timestamp, ingested_by string, is_active boolean not null"
@@ -24,7 +25,10 @@ MIGRATIONS = "version string not null, description string, applied_at timestamp"
 #: What columns of a closed set may hold.
 FILING_TYPES = ("10-K", "10-Q", "8-K", "20-F", "DEF 14A", "S-1")
 STYLES = ("analyst", "executive", "risk")
+#: A stored search type may also be hybrid or agent, which the surveyed table's own check forbids although its writers use both.
 SEARCH_TYPES = ("similarity", "mmr", "hybrid")
+#: How many results and years a request may ask for.
+LIMITS, YEARS = (1, 20), (1, 5)
 
 
 def _maybe(value: Column, holds: Column) -> Column:
@@ -49,8 +53,19 @@ def chunk_checks() -> dict[str, Column]:
 
 def history_checks() -> dict[str, Column]:
     return {
+        "analysis_style": _maybe(F.col("analysis_style"), F.col("analysis_style").isin(*STYLES)),
+        "search_type": _maybe(F.col("search_type"), F.col("search_type").isin(*SEARCH_TYPES, "agent")),
+    }
+
+
+def request_checks() -> dict[str, Column]:
+    """Requests (question, analysis_style, search_type, limit, years): a question must be there, the rest may be absent."""
+    return {
+        "question": F.coalesce(F.trim("question") != "", F.lit(False)),
         "analysis_style": _maybe(F.col("analysis_style"), F.col("analysis_style").isin(*STYLES)),
         "search_type": _maybe(F.col("search_type"), F.col("search_type").isin(*SEARCH_TYPES)),
+        "limit": _maybe(F.col("limit"), F.col("limit").between(*LIMITS)),
+        "years": _maybe(F.col("years"), F.col("years").between(*YEARS)),
     }
 
 

@@ -1,7 +1,10 @@
-"""Sessions and tables."""
+"""Sessions, tables, and tables that are prepared from others."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +28,37 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder all executors share; a local one only where the session runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "/tmp/checkpoints/lodestrata"
+
+
+_PREPARED: dict[tuple, str] = {}
+
+
+def _version(df: DataFrame) -> tuple:
+    """The files that df reads, with their lengths and times."""
+    spark, out = df.sparkSession, []
+    for file in sorted(df.inputFiles()):
+        where = spark._jvm.org.apache.hadoop.fs.Path(file)
+        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+        out.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
+def prepared(name: str, source: DataFrame, write: Callable[[DataFrame, str], None]) -> DataFrame:
+    """The table that ``write`` makes of source, written once per application and version of source's files: an index, as at ingest."""
+    spark = source.sparkSession
+    key = (spark.sparkContext.applicationId, name, _version(source))
+    if key not in _PREPARED:
+        path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        write(source, path)
+        _PREPARED[key] = path
+    return spark.read.parquet(_PREPARED[key])

@@ -1,11 +1,17 @@
 """Streams against batches, sources, and the two pipelines."""
 
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.functions import embedding as V
+from lodestrata.functions import html as H
+from lodestrata.functions import text as X
 from lodestrata.functions.embedding import hash_embedding, hash_vectors
+from lodestrata.operators import retrieval as R
 from lodestrata.operators import store as S
-from lodestrata.plans.pipeline import Retriever, filings_to_chunks
+from lodestrata.plans.pipeline import NO_ANSWER, RAW_ANSWER, Retriever, chunks_of, filings_to_chunks
 from lodestrata.sources import submissions
 from lodestrata.streaming import events as E
 
@@ -71,7 +77,7 @@ def test_pages_to_context(spark):
     none = spark.createDataFrame([], "file_hash string")
     chunks = filings_to_chunks(pages.filter("html is not null"), none, hash_embedding(F.col("chunk_text")))
     rows = chunks.orderBy("filing_id").collect()
-    assert [(r.filing_id, r.section) for r in rows] == [(1, "Risk Factors"), (3, "General")]
+    assert [(r.filing_id, r.section, r.chunk_index) for r in rows] == [(1, "Risk Factors", 0), (3, "General", 0)]
     assert rows[0].metrics["revenue"] == pytest.approx(3.943e11)
     again = filings_to_chunks(pages.filter("html is not null"), pages.filter("html is not null").select(S.content_hash(F.col("html")).alias("file_hash")))
     assert again.count() == 0
@@ -86,3 +92,149 @@ def test_pages_to_context(spark):
     assert r.search(q, words, ticker="zzz").count() == 0
     with pytest.raises(ValueError):
         r.search(q, words, "best")
+    index = R.trigram_postings(table, "id", "chunk_text")
+    for t in (r, Retriever(table, threshold=0.99, index=index), Retriever(table, threshold=0.99)):
+        row = t.ask(words, q, ticker="aaa", style="poet").first()
+        assert row.answer.startswith(RAW_ANSWER) and row.analysis_style == "analyst" and len(row.source_chunk_ids) == 2
+        assert row.search_type == ("similarity" if t is r else "hybrid")
+    assert r.ask(words, q, answer=lambda question, style, context: f"{style}: {len(context) > 0}", style="risk").first().answer == "risk: True"
+    nothing = r.ask(words, q, ticker="zzz").first()
+    assert nothing.answer == NO_ANSWER and nothing.source_chunk_ids == []
+    with pytest.raises(ValueError):
+        r.ask("  ", q)
+
+
+def parsed(spark, *sections):
+    return spark.createDataFrame([(1, "AAA", "10-K", 2024, list(sections))], "filing_id int, ticker string, filing_type string, fiscal_year int, sections array<struct<name:string,text:string>>")
+
+
+def test_chunks_have_sequential_indices(spark):
+    long = " ".join(f"word{i}" for i in range(1200))
+    rows = chunks_of(parsed(spark, ("A", long), ("blank", " \n "), ("B", "a\nshort one"), ("C", long)), model_version="m1").orderBy("chunk_index").collect()
+    assert [r.chunk_index for r in rows] == list(range(7)) and [r.section for r in rows] == ["A"] * 3 + ["B"] + ["C"] * 3
+    assert rows[3].chunk_text == "a\nshort one" and {(r.ticker, r.filing_type, r.fiscal_year, r.model_version) for r in rows} == {("AAA", "10-K", 2024, "m1")}
+
+
+def test_a_filing_without_sections_is_an_error(spark):
+    with pytest.raises(Exception, match="no sections"):
+        chunks_of(parsed(spark)).collect()
+
+
+def test_vocabulary_tokens_make_the_text_again(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    own = X.vocabulary_tokenizer(path)
+    texts = ["Total revenue was $394.3 billion", "é 😀 日本語", "", None, "a\nb  c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    rows = df.select("t", own.split(F.col("t")).alias("w")).select("t", F.size("w").alias("n"), own.join(F.col("w")).alias("again")).collect()
+    from tokenizers import Tokenizer
+
+    file = Tokenizer.from_file(path)
+    assert [(r.n, r.again) for r in rows] == [(len(file.encode(t or "", add_special_tokens=False).ids), t or "") for t in texts]
+    chunks = chunks_of(parsed(spark, ("A", "one two three four. " * 300)), own).collect()
+    assert len(chunks) > 1 and max(c.token_count for c in chunks) == 512
+
+
+def test_providers_are_checked_and_called_again(spark):
+    calls = []
+
+    def flaky(texts):
+        calls.append(len(texts))
+        if len(calls) == 1:
+            raise OSError("busy")
+        return V.hash_vectors(texts, 8)
+
+    waits = []
+    again = submissions.retried(flaky, 3, sleep=waits.append)
+    assert again(["a"]).shape == (1, 8) and waits == [2.0]
+    with pytest.raises(OSError):
+        submissions.retried(lambda: (_ for _ in ()).throw(OSError()), 2, sleep=waits.append)()
+    good = V.Provider("p", 8, partial(V.hash_vectors, dimensions=8), batch=2)
+    assert V.checked(good, ["a", "b", "c"]).shape == (3, 8) and V.checked(good, []).shape == (0, 8)
+    with pytest.raises(V.EmbeddingError, match="2 vectors for 1"):
+        V.checked(V.Provider("p", 8, lambda texts: V.hash_vectors(texts * 2, 8)), ["a"])
+    with pytest.raises(V.EmbeddingError, match="not 8"):
+        V.checked(V.Provider("p", 8, lambda texts: V.hash_vectors(texts, 4)), ["a"])
+    row = spark.createDataFrame([("a b",), (None,)], "t string").select(V.embedding(good)(F.col("t")).alias("v")).collect()
+    assert len(row[0].v) == 8 and set(row[1].v) == {0.0}
+
+
+def test_unclosed_elements_and_line_ends():
+    assert H.read_html("<html><head><title>t</title><body><p>kept?").strip() == "kept?"
+    assert H.read_html("<head><meta x><p>kept") == "kept" and H.read_html("<script>a</script>b<style>c") == "b"
+
+
+def test_all_line_ends_count(spark):
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    page = spark.createDataFrame([("<p>" + "x".join(ends) + "</p>",)], "h string")
+    assert page.select(H.html_text(F.col("h")).alias("t")).first().t == "\n".join("x" * 10)
+
+
+def test_sections_by_name(spark):
+    text = "Risk Factors\n" + "much can go wrong. " * 5 + "\nProperties\n" + "we have some houses. " * 5
+    row = H.section_arrays(spark.createDataFrame([(1, text)], "id int, text string"), "text").select(H.section_text(F.col("sections"), "Properties").alias("p"), H.section_text(F.col("sections"), "Business").alias("b")).first()
+    assert row.p.startswith("Properties\nwe have") and row.b is None
+
+
+def test_repeated_keys_in_a_batch(spark):
+    stored = spark.createDataFrame([(1, "a", 0)], "id int, v string, at int")
+    batch = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "d", 1), (3, None, 1)], "id int, v string, at int")
+    with pytest.raises(Exception, match="repeats id"):
+        S.upsert(stored, batch, "id", ("v",)).collect()
+    assert sorted(map(tuple, S.upsert(stored, batch, "id", ("v",), order="at").collect()), key=repr) == [(1, "c", 0), (2, "d", 1), (3, None, 1)]
+    got = S.insert_ignore(stored, batch.withColumn("id", F.col("id") + 5), "id", ["at"])
+    assert sorted(map(tuple, got.collect()), key=repr) == [(1, "a", 0), (6, "b", 1), (7, "d", 1), (8, None, 1)]
+
+
+def test_audit_log(spark, tmp_path):
+    now = F.current_timestamp()
+    row = S.audit(spark, now, question="q", answer="a", agent_type="x", latency_ms=320, ticker="aapl")
+    assert S.append(row, str(tmp_path / "h")) == 1 and S.append(row, str(tmp_path / "h")) == 1 and S.append(row.limit(0), str(tmp_path / "h")) == 0
+    log = spark.read.parquet(str(tmp_path / "h")).collect()
+    assert len(log) == 2 and {(r.ticker, r.analysis_style, r.search_type) for r in log} == {("AAPL", "analyst", "similarity")} and all(r.created_at and r.id for r in log)
+    for bad in ({"question": "q"}, {"question": "q", "answer": "a", "agent_type": "x", "latency_ms": 1, "colour": "red"}):
+        with pytest.raises(ValueError):
+            S.audit(spark, now, **bad)
+
+
+def test_cache_entries(spark):
+    at = lambda hour: F.lit(f"2024-01-01 {hour:02}:00:00").cast("timestamp")
+    cache = spark.createDataFrame([], "key string, value string, expires_at timestamp")
+    cache = S.cache_set(cache, spark.createDataFrame([("q:a", '{"x": 1}'), ("q:b", "bad"), ("r:c", "{}")], "key string, value string"), at(0), 7200)
+    keys = spark.createDataFrame([("q:a",), ("z",)], "key string")
+    assert [r.key for r in S.cache_exists(cache, keys, at(1)).collect()] == ["q:a"] and S.cache_exists(cache, keys, at(3)).count() == 0
+    assert [r.key for r in S.cache_exists(S.cache_touch(cache, "q:a", at(1), 36000), keys, at(3)).collect()] == ["q:a"]
+    left, existed = S.cache_delete(cache, keys)
+    assert left.count() == 2 and {r.key: r.existed for r in existed.collect()} == {"q:a": True, "z": False}
+    assert {r.key: r.parsed and r.parsed.x for r in S.cache_get(cache, at(1), "x int").collect()} == {"q:a": 1, "q:b": None, "r:c": None}
+    assert S.cache_clear(cache, "q").count() == 1
+
+
+def test_filings_that_are_not_landed_yet(spark, tmp_path):
+    known = spark.createDataFrame([("Abc", 320)], "ticker string, cik long")
+    lists = [("320", ((["1-1", "2-2", "3-3"], ["10-K", "10-K", "10-K"], ["2024-03-01", "2023-05-05", ""], ["a.htm", "b.htm"]),))]
+    (tmp_path / "json").mkdir()
+    spark.createDataFrame(lists, submissions.SUBMISSIONS).coalesce(1).write.mode("overwrite").json(str(tmp_path / "json"))
+    landed = submissions.read_submissions(spark, str(tmp_path / "json"))
+    listed = submissions.list_filings(spark.createDataFrame([("ABC",)], "ticker string"), "10-K", known, landed).cache()
+    assert sorted((r.fiscal_year or 0, r.source_url) for r in listed.collect()) == [(0, f"{submissions.ARCHIVES}/320/33/"), (2023, f"{submissions.ARCHIVES}/320/22/b.htm"), (2024, f"{submissions.ARCHIVES}/320/11/a.htm")]
+    root = str(tmp_path / "raw")
+    submissions.land(spark.createDataFrame([("ABC", "10-K", 2024, "<p>x</p>")], "ticker string, filing_type string, fiscal_year int, html string"), root)
+    assert sorted(r.fiscal_year or 0 for r in submissions.not_landed(listed, spark, root).collect()) == [0, 2023]
+    fetched = spark.createDataFrame([("file:/x/320/22/b.htm", "<p>y</p>", "h")], "path string, html string, file_hash string")
+    assert [(r.fiscal_year, r.html) for r in submissions.with_documents(listed, fetched).collect()] == [(2023, "<p>y</p>")]
+    for kind, years in (("10-X", 3), ("10-K", 0)):
+        with pytest.raises(submissions.SourceError):
+            submissions.list_filings(listed, kind, known, landed, years)
+    with pytest.raises(Exception, match="unknown ticker"):
+        submissions.list_filings(spark.createDataFrame([("zz",)], "ticker string"), "10-K", known, landed).collect()
+
+
+def test_indexed_trigrams_are_those_of_the_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the ending", "nation", None, "", "THE end", "zzz", "the the the"])], "id long, text string")
+    R.write_trigram_index(R.trigram_postings(docs), str(tmp_path / "i"), 2)
+    index = spark.read.parquet(str(tmp_path / "i"))
+    for words in ("the ending", "", "qqq"):
+        for k in (2, 5, 20):
+            assert list(map(tuple, R.indexed_trigram_topk(index, docs, words, k).orderBy("rank").collect())) == list(map(tuple, R.trigram_topk(docs, words, k).orderBy("rank").collect()))
+    some = docs.filter("id > 0")
+    assert [tuple(r) for r in R.indexed_trigram_topk(index, docs, "the ending", 3, among=some).orderBy("rank").collect()] == [tuple(r) for r in R.trigram_topk(some, "the ending", 3).orderBy("rank").collect()]
