@@ -56,6 +56,12 @@ class _Tables(threading.local):
 _TABLES = _Tables()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark writes."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that spill() writes meanwhile, but for those that it is told to keep (they are the next outer one's)."""
@@ -64,8 +70,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _TABLES.open.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(spark, path)
 
 
 def spill(df: DataFrame, tag: str, *partition_by: str, keep: bool = False) -> DataFrame:

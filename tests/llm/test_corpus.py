@@ -86,6 +86,28 @@ def test_word_windows_compaction(spark):
     assert bag(substring.digest(got).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == bag(words_left(rows))
 
 
+def test_an_index_goes_on_after_it_was_saved(spark, tmp_path):
+    rows = [(i, prose(i % 5, 40) + " " + prose(i, 25), "", 0, "") for i in range(30)]
+    docs = substring.identify(spark.createDataFrame(rows, SCHEMA))
+    index, parts = substring.FingerprintIndex(spark, substring.Spec("words", 20, 6), 12, 2, str(tmp_path / "index")), []
+    for a in range(0, 30, 6):
+        parts.append(index.add(docs.filter(f"doc_id >= {a} and doc_id < {a + 6}")))
+        assert index.runs <= 2
+        path = index.save()
+        index.close()
+        index = substring.FingerprintIndex.open(spark, path)
+    plan = index.spark.table(index.name).groupBy("bucket").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # runs lie in files by bucket
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    got = substring.kept_texts(substring.attach(docs, substring.spill(substring.to_remove(docs, index, found), "spans")))
+    assert bag(substring.digest(got).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == bag(words_left(rows))
+    assert index.generations == 5
+    index.close(delete=True)
+    assert not (tmp_path / "index").exists()
+
+
 def bytes_left(rows, span=50):
     """Per row: a string is shared if it starts in a row before; rows are documents."""
     seen, out = {}, []
