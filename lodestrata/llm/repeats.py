@@ -26,6 +26,8 @@ from .common import RID, column, delta, low_bytes, merge_spans, pack, payload_ba
 FLUSH_ROWS = 500_000
 BLOB = "bucket long, payload binary"
 KINDED = "kind long, bucket long, payload binary"
+#: Kinds of rows: superwindows by bucket of their anchor, and stretches to remove by bucket of their document.
+FOUND, REMOVE = 9, 0
 
 
 @dataclass(frozen=True)
@@ -105,17 +107,45 @@ def scan(spec: Spec, rid: np.ndarray, buf: np.ndarray, off: np.ndarray) -> Found
     return Found(rid[doc], (start - items[doc]).astype(np.uint32), n[first].astype(np.uint8), times.astype(np.uint32), anchor[first], content[first] & ts.U(0xFFFFFFFFFFFF), (check[first] >> ts.U(32)).astype(np.uint32))
 
 
+def without_copies(f: Found, every: bool) -> tuple[Found, Found]:
+    """(f without superwindows that a smaller document of f has too, those); every: also without those that stand again in the same document, in the order of f.
+
+    A copy is removed whatever else there is, and takes part in nothing else, so it
+    doesn't need to travel: of a passage that very many documents share, a task sends
+    one row.
+    """
+    order = np.argsort(f.content ^ (f.anchor << ts.U(24)), kind="stable")
+    g = f.take(order)
+    differs = np.r_[True, (g.content[1:] != g.content[:-1]) | (g.anchor[1:] != g.anchor[:-1]) | (g.n[1:] != g.n[:-1]) | (g.check[1:] != g.check[:-1])] if len(g) else np.zeros(0, bool)
+    first = np.flatnonzero(differs)
+    if len(first) == len(g):
+        return f, f.take(np.zeros(0, np.int64))
+    group = np.cumsum(differs) - 1
+    least = np.minimum.reduceat(g.rid, first)[group]
+    copy = g.rid > least
+    if every:
+        # of the smallest document's own places the first stays; a document's superwindows are in the order of its text
+        own = np.flatnonzero(~copy)
+        copy[own[np.r_[False, group[own[1:]] == group[own[:-1]]]]] = True
+    gone = np.zeros(len(f), bool)
+    gone[order] = copy
+    return f.take(~gone), f.take(gone)
+
+
 def superwindow_blobs(spec: Spec, n_buckets: int):
-    """For mapInArrow over (RID, text): blobs of superwindows by bucket of the anchor's high bits."""
+    """For mapInArrow over (RID, text): blobs of superwindows (FOUND) by bucket of the anchor's high bits, and the stretches of copies (REMOVE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: list[Found] = []
 
         def flush() -> pa.RecordBatch:
-            f = Found.join(have)
+            f, gone = without_copies(Found.join(have), spec.kind == "words")
             have.clear()
             bucket = ((f.anchor >> ts.U(40)) % ts.U(n_buckets)).astype(np.int64)
-            return payload_batch([(b, Found(*cols).pack()) for b, cols in split_by(bucket, *f.columns())])
+            rows = [(FOUND, b, Found(*cols).pack()) for b, cols in split_by(bucket, *f.columns())]
+            start = gone.start.astype(np.int64)
+            rows += span_rows(REMOVE, gone.rid, start, start + gone.times.astype(np.int64) * gone.n - 1 + spec.span, n_buckets)
+            return payload_batch(rows, ("kind", "bucket", "payload"))
 
         for batch, buf, off in text_chunks(batches):
             have.append(scan(spec, column(batch, RID), buf, off))
@@ -126,8 +156,15 @@ def superwindow_blobs(spec: Spec, n_buckets: int):
     return run
 
 
-def gathered(table: pa.Table) -> Found:
-    return Found.join([Found.unpack(x) for x in table.column("payload").to_pylist()])
+def gathered(table: pa.Table) -> tuple[Found, list[tuple]]:
+    """The superwindows of a bucket, and its rows of stretches to remove, which only pass."""
+    parts, passing = [], []
+    for kind, bucket, payload in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "payload")), strict=True):
+        if kind == FOUND:
+            parts.append(Found.unpack(payload))
+        else:
+            passing.append((kind, bucket, payload))
+    return Found.join(parts), passing
 
 
 def span_rows(kind: int, rid: np.ndarray, start: np.ndarray, end: np.ndarray, n_buckets: int) -> list[tuple]:

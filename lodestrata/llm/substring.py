@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .common import RID, attach, buckets_for, column, delta, identify, pack, payload_batch, payload_table, remove, scratch, spill, split_by, temporary, text_bytes, text_chunks, unpack
-from .repeats import BLOB, KINDED, Found, Spec, gathered, only, per_document, rep_rows, reps_per_document, span_rows, spans_of, superwindow_blobs
+from .repeats import BLOB, KINDED, REMOVE, Found, Spec, gathered, only, per_document, rep_rows, reps_per_document, span_rows, spans_of, superwindow_blobs
 
-REMOVE, OPEN, RUN = 0, 1, 2
+OPEN, RUN = 1, 2
 
 
 def _sorted(f: Found, *before: np.ndarray) -> np.ndarray:
@@ -72,9 +72,9 @@ def _merge(spec: Spec, n_buckets: int, generation: int):
     """One bucket: sorted runs and the new batch, merge-joined; kinds REMOVE, OPEN and RUN (the new run's part)."""
 
     def run(new: pa.Table, runs: pa.Table) -> pa.Table:
-        f = gathered(new)
+        f, passing = gathered(new)
         if not len(f):
-            return payload_table([], ("kind", "bucket", "payload"))
+            return payload_table(passing, ("kind", "bucket", "payload"))
         bucket = new.column("bucket")[0].as_py()
         anchors = np.unique(f.anchor)
         parts, gens = [f], [np.full(len(f), generation)]
@@ -96,7 +96,7 @@ def _merge(spec: Spec, n_buckets: int, generation: int):
         more = fresh & new_s & (times > 1)  # a first place whose own repetitions follow it
         begin = np.r_[start[later], start[more] + n[more]]
         end = np.r_[(start + times * n)[later], (start + times * n)[more]] - 1 + spec.span
-        rows = span_rows(REMOVE, np.r_[f.rid[later], f.rid[more]], begin, end, n_buckets)
+        rows = passing + span_rows(REMOVE, np.r_[f.rid[later], f.rid[more]], begin, end, n_buckets)
         o = new_s & open_a[of_a]
         rows += rep_rows(OPEN, f.rid[o], f.start[o], f.n[o], gen[o].astype(np.uint32), n_buckets=n_buckets)
         keep = fresh & new_s
@@ -135,7 +135,7 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """(kind, bucket, payload) of a batch of (RID, text): what it repeats and what must be compared further."""
-        new = docs.select(RID, "text").mapInArrow(superwindow_blobs(self.spec, self.n_buckets), BLOB)
+        new = docs.select(RID, "text").mapInArrow(superwindow_blobs(self.spec, self.n_buckets), KINDED)
         old = self.spark.table(self.name) if self.runs else self.spark.createDataFrame([], BLOB)
         merged = new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_merge(self.spec, self.n_buckets, self.generations), KINDED)
         out = spill(merged, "merged", "kind").select("kind", "bucket", "payload")

@@ -166,7 +166,10 @@ def _match(spec: Spec, n_buckets: int):
     """First step in a bucket of anchors: kind 0, stretches equal to a superwindow of a smaller document; kind 1, what needs a transform."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, f = table.column("bucket")[0].as_py(), gathered(table)
+        f, passing = gathered(table)
+        if not len(f):
+            return payload_table(passing, ("kind", "bucket", "payload"))
+        bucket = table.column("bucket")[0].as_py()
         f = f.take(np.lexsort((f.rid, f.check, f.n, f.content, f.anchor)))
         new_a = np.r_[True, f.anchor[1:] != f.anchor[:-1]]
         new_s = new_a | np.r_[True, (f.content[1:] != f.content[:-1]) | (f.n[1:] != f.n[:-1]) | (f.check[1:] != f.check[:-1])]
@@ -178,7 +181,7 @@ def _match(spec: Spec, n_buckets: int):
         open_ = shared[of_a] & (contents[of_a] > 1) & ~copy
         c, o = f.take(copy), f.take(open_)
         start = c.start.astype(np.int64)
-        rows = span_rows(0, c.rid, start, start + c.times.astype(np.int64) * c.n - 1 + spec.span, n_buckets)
+        rows = passing + span_rows(0, c.rid, start, start + c.times.astype(np.int64) * c.n - 1 + spec.span, n_buckets)
         rows += rep_rows(1, o.rid, o.start, o.n, o.times, np.full(len(o), bucket, np.uint32), n_buckets=n_buckets)
         return payload_table(rows, ("kind", "bucket", "payload"))
 
@@ -281,7 +284,7 @@ def repeated_spans(docs: DataFrame, span: int = 50, gram: int = 25) -> DataFrame
     """(RID, payload): stretches of bytes that a document with a smaller row number has too; docs from identify()."""
     spec = Spec("bytes", span, gram)
     n = buckets_for(text_bytes(docs))
-    blobs = docs.select(RID, "text").mapInArrow(superwindow_blobs(spec, n), BLOB)
+    blobs = docs.select(RID, "text").mapInArrow(superwindow_blobs(spec, n), KINDED)
     first = spill(blobs.groupBy("bucket").applyInArrow(_match(spec, n), KINDED), "suffix-first")
     reps = spill(reps_per_document(only(first, 1), "u4", "u1", "u4", "u4"), "suffix-open")
     segments = attach(docs.select(RID, "text"), reps, how="inner", broadcast=False).mapInArrow(_segments(spec), BLOB)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, graph, licenses, media, neardup, packing, queries, substring, suffix, toxicity, urls, warc
+from lodestrata.llm import decontam, graph, licenses, media, neardup, packing, queries, repeats, substring, suffix, toxicity, urls, warc
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, payload string, n_words int, node string"
@@ -129,6 +129,21 @@ def test_byte_strings(odd, empty):
     assert suffix.remove_shared_substrings(empty).count() == 0
 
 
+def test_a_shared_passage_travels_once_per_task():
+    passage = prose(70, 60)
+    texts = [(prose(400 + i, 30) + " " + passage + " " + prose(900 + i, 30)).encode() for i in range(500)]
+    off = np.r_[0, np.cumsum([len(t) for t in texts])]
+    for spec in (repeats.Spec("bytes", 50, 25), repeats.Spec("words", 20, 6)):
+        f = repeats.scan(spec, np.arange(500)[::-1].copy(), np.frombuffer(b"".join(texts), np.uint8), off)
+        kept, gone = repeats.without_copies(f, spec.kind == "words")
+        alike = Counter(zip(kept.anchor.tolist(), kept.content.tolist(), strict=True))
+        assert len(kept) + len(gone) == len(f) and len(gone) > 400 and max(alike.values()) <= (1 if spec.kind == "words" else 3)
+        first = {}
+        for key, rid in zip(zip(f.anchor.tolist(), f.content.tolist(), strict=True), f.rid.tolist(), strict=True):
+            first[key] = min(first.get(key, rid), rid)
+        assert all(first[k] == r for k, r in zip(zip(kept.anchor.tolist(), kept.content.tolist(), strict=True), kept.rid.tolist(), strict=True))
+
+
 def test_transform_of_a_collection(tmp_path):
     rng = np.random.default_rng(5)
     for _ in range(10):
