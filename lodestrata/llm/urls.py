@@ -130,9 +130,13 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     parsed = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
     parsed = parsed.withColumn("fit", ruled(F.col("host"), F.col("path"), rules)).withColumn("maybe", F.col("canonical").isNotNull() & maybe(F.xxhash64("canonical")))
     small = (blocked.agg(F.sum(F.octet_length("canonical") + 64)).first()[0] or 0) <= BROADCAST_BYTES
-    exact = blocked.withColumn("listed", F.lit(True))
-    passed = parsed.filter("maybe").join(F.broadcast(exact) if small else exact, "canonical", "left")
-    columns = ["page_id", "host", "path", "fit", F.coalesce("listed", F.lit(False)).alias("listed")]
-    rows = passed.select(*columns).unionByName(parsed.filter("not maybe").select("page_id", "host", "path", "fit", F.lit(False).alias("listed")))
+    columns = ["page_id", "host", "path", "fit"]
+    if small:  # one pass: what doesn't pass the filter has no key and meets nothing
+        exact = F.broadcast(blocked.select(F.col("canonical").alias("__key"), F.lit(True).alias("listed")))
+        rows = parsed.withColumn("__passed", F.when(F.col("maybe"), F.col("canonical"))).join(exact, F.col("__passed") == F.col("__key"), "left")
+        rows = rows.select(*columns, F.coalesce("listed", F.lit(False)).alias("listed"))
+    else:  # only what passes is shuffled
+        passed = parsed.filter("maybe").join(blocked.withColumn("listed", F.lit(True)), "canonical", "left")
+        rows = passed.select(*columns, F.coalesce("listed", F.lit(False)).alias("listed")).unionByName(parsed.filter("not maybe").select(*columns, F.lit(False).alias("listed")))
     verdict = F.coalesce("fit.verdict", F.when(F.col("listed"), "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "listed")
