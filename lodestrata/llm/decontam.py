@@ -73,11 +73,11 @@ def _bounded(df: DataFrame, each: Column) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, span: int = 13) -> DataFrame:
-    """(RID, start, size, item_id): where windows of the benchmark stand; docs from identify()."""
+    """(RID, start, size, items): where windows of the benchmark stand, and which items have them; docs from identify()."""
     windows = spill(windows_of(benchmark, span), "windows")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most span numbers
     if not sizes:
-        return docs.select(RID, F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("item_id")).limit(0)
+        return docs.select(RID, F.lit(0).alias("start"), F.lit(0).alias("size"), F.array(F.lit("")).alias("items")).limit(0)
     grams = None
     for size in sizes:
         own = windows.filter(F.col("size") == size).select("size", F.explode(_grams_of(size)).alias("gram"))
@@ -98,8 +98,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = 13) -> DataFrame:
             transform(sequence(greatest(0, least(x.p + {cases} - x.size, n - x.size)), greatest(0, least(x.p, n - x.size))), s -> struct(x.size AS size, s AS start)))))"""
     )
     candidates = near_texts.select(RID, "ws", F.explode(starts).alias("w")).select(RID, "w.size", "w.start", F.slice("ws", F.col("w.start") + 1, F.col("w.size")).alias("words"))
-    listed = _bounded(windows.select("size", "words", "item_id").distinct(), F.octet_length(F.array_join("words", " ")) + 64)
-    return candidates.join(listed, ["size", "words"]).select(RID, "start", "size", "item_id")
+    # a window that many items share is one row, so that a place in a text meets it once
+    listed = spill(windows.groupBy("size", "words").agg(F.array_sort(F.collect_set("item_id")).alias("items")), "listed-windows")
+    listed = _bounded(listed, F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", "    ")) + 64)
+    return candidates.join(listed, ["size", "words"]).select(RID, "start", "size", "items")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, span: int = 13, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", detail: bool = False) -> DataFrame:
@@ -111,7 +113,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, span: int = 13, one_in: int = 2
     docs = identify(docs, id_col, text_col)
     found = hits(docs, benchmark, span)
     spans = F.collect_set(F.struct("start", "size"))
-    by_doc = found.groupBy(RID).agg(spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    by_doc = found.groupBy(RID).agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1)))))
     by_doc = spill(by_doc.select(RID, covered.alias("payload"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")), "hits")
     counted = docs.select(RID, "doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
@@ -142,6 +144,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove != "spans":
         raise ValueError(f"remove: documents or spans, not {remove}")
     joined = attach(rows, bad.withColumnRenamed("payload", "__ls_hit"), each=F.size("__ls_hit") * 4 + 64)
-    numbered_words = F.transform(words_of(F.col(text_col)), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    kept = F.array_join(F.transform(F.filter(numbered_words, lambda x: ~F.array_contains("__ls_hit", x["i"])), lambda x: x["w"]), " ")
+    joined = joined.withColumn("__ls_words", F.when(F.col("__ls_hit").isNotNull(), words_of(F.col(text_col))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__ls_words") - 1), F.col("__ls_hit"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("__ls_words", i)), " ")
     return joined.select(*(F.when(F.col("__ls_hit").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns))
