@@ -1,10 +1,12 @@
 """Exact substring removal with a collection Burrows-Wheeler transform built column by column.
 
 Segments of the documents enter the transform one symbol per segment and round,
-from their ends: round j inserts the suffix of length j of every segment.  Beside
-the transform lie the common prefixes of neighbouring suffixes, updated in the
-same round; the columns that say which suffix stands where live in external files
-that each round reads and writes once, in order.
+from their ends: round j inserts the suffix of length j of every segment.  The
+transform, the common prefixes of neighbouring suffixes and the column that says which
+suffix stands where are external files.  A round reads the first two once, in order
+and block by block, to find where the new suffixes belong and what they have in common
+with their neighbours, and then writes all three once, in order.  In memory are a
+block, a few numbers for each of the 256 symbols, and two numbers per segment.
 
 Whole documents as strings would need as many rounds as the longest document has
 bytes, each over the whole file.  The strings are therefore the *superwindows*
@@ -25,10 +27,13 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import io
 import os
 import shutil
-import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -36,28 +41,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import RID, attach, buckets_for, column, delta, identify, pack, payload_batch, payload_table, spill, split_by, text_bytes, text_chunks, unpack
+from .common import RID, attach, buckets_for, column, delta, identify, pack, payload_batch, payload_table, remove, scratch, spill, split_by, temporary, text_bytes, text_chunks, unpack
 from .repeats import BLOB, KINDED, Spec, gathered, only, per_document, rep_rows, reps_per_document, span_rows, spans_of, superwindow_blobs
 
-_BLOCK = 1 << 20
+#: Entries of a column that are in memory at once.
+_BLOCK = 1 << 19
 #: Strings of a collection, at least as many as share an anchor.
 _COLLECTION = 4096
 
 
+class Storage:
+    """Sequential files: in a folder that all executors share, or held in memory where Python can't reach that."""
+
+    def __init__(self, folder: str | None) -> None:
+        self.folder, self.held = folder, {}
+        if folder:
+            os.makedirs(folder, exist_ok=True)
+
+    def reader(self, name: str):
+        return open(os.path.join(self.folder, name), "rb") if self.folder else io.BytesIO(self.held[name])
+
+    @contextmanager
+    def writer(self, name: str):
+        with open(os.path.join(self.folder, name), "wb") if self.folder else io.BytesIO() as f:
+            yield f
+            if not self.folder:
+                self.held[name] = f.getvalue()
+
+    def drop(self, name: str) -> None:
+        if self.folder:
+            os.unlink(os.path.join(self.folder, name))
+        else:
+            del self.held[name]
+
+    def close(self) -> None:
+        self.held = {}
+        if self.folder:
+            shutil.rmtree(self.folder, ignore_errors=True)
+
+
 class ExternalColumn:
     """A column in a file; insert() reads it and writes the next one, both from front to back."""
 
-    def __init__(self, folder: str, name: str, dtype: str) -> None:
-        self.base, self.round, self.dtype, self.length = os.path.join(folder, name), 0, np.dtype(dtype), 0
-        open(self._path(), "wb").close()
+    def __init__(self, storage: Storage, name: str, dtype: str, first: np.ndarray) -> None:
+        self.storage, self.base, self.round, self.dtype, self.length = storage, name, 0, np.dtype(dtype), len(first)
+        with storage.writer(self._name()) as f:
+            f.write(first.astype(self.dtype).tobytes())
 
-    def _path(self, ahead: int = 0) -> str:
+    def _name(self, ahead: int = 0) -> str:
         return f"{self.base}.{self.round + ahead}"
 
-    def insert(self, at: np.ndarray, values: np.ndarray) -> None:
-        """values come to stand at the positions ``at`` (ascending) of the new column."""
-        total, done, used = self.length + len(at), 0, 0
-        with open(self._path(), "rb") as old, open(self._path(1), "wb") as new:
+    def _take(self, f, n: int) -> np.ndarray:
+        return np.frombuffer(f.read(n * self.dtype.itemsize), self.dtype)
+
+    def insert(self, at: np.ndarray, values: np.ndarray, put_at: np.ndarray | None = None, put: np.ndarray | None = None) -> None:
+        """values come to stand at the positions ``at`` (ascending) of the new column, and ``put`` replaces what is at put_at (ascending) there."""
+        total, done, used, set_ = self.length + len(at), 0, 0, 0
+        with self.storage.reader(self._name()) as old, self.storage.writer(self._name(1)) as new:
             while done < total:
                 end = min(total, done + _BLOCK)
                 upto = int(np.searchsorted(at, end))
@@ -65,15 +105,24 @@ class ExternalColumn:
                 fresh = np.zeros(end - done, bool)
                 fresh[at[used:upto] - done] = True
                 block[fresh] = values[used:upto]
-                block[~fresh] = np.fromfile(old, self.dtype, end - done - (upto - used))
-                block.tofile(new)
+                block[~fresh] = self._take(old, end - done - (upto - used))
+                if put_at is not None:
+                    also = int(np.searchsorted(put_at, end))
+                    block[put_at[set_:also] - done] = put[set_:also]
+                    set_ = also
+                new.write(block.tobytes())
                 done, used = end, upto
-        os.unlink(self._path())
+        self.storage.drop(self._name())
         self.round += 1
         self.length = total
 
+    def blocks(self) -> Iterator[np.ndarray]:
+        with self.storage.reader(self._name()) as f:
+            for a in range(0, self.length, _BLOCK):
+                yield self._take(f, min(_BLOCK, self.length - a))
+
     def read(self) -> np.ndarray:
-        return np.fromfile(self._path(), self.dtype)
+        return np.concatenate([np.zeros(0, self.dtype), *self.blocks()])
 
 
 def _range_min(values: np.ndarray):
@@ -93,73 +142,121 @@ def _range_min(values: np.ndarray):
     return query
 
 
-def collection_bwt(segments: np.ndarray, off: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+_NONE = 255  # above all common prefixes
+
+
+def _neighbours(bwt: ExternalColumn, lcp: ExternalColumn, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For entries (ascending places): their symbol, how many before have it, and the common prefixes of their stretches to the last and to the next entry with it (_NONE: there is none).
+
+    One pass over both columns.  Between blocks are kept, for each symbol: how often
+    it came, the least common prefix since, and the last entry that waits for it.
+    """
+    q = len(place)
+    symbol, rank, before, after = np.zeros(q, np.int64), np.zeros(q, np.int64), np.full(q, _NONE), np.full(q, _NONE)
+    seen, since = np.zeros(256, np.int64), np.full(256, _NONE)
+    waiting, waited = np.full(256, -1), np.full(256, _NONE)
+    begin = done = 0
+    for b, c in zip(bwt.blocks(), lcp.blocks(), strict=True):
+        size = len(b)
+        upto = int(np.searchsorted(place, begin + size))
+        mine, x = slice(done, upto), place[done:upto] - begin
+        order = np.argsort(b, kind="stable")
+        count = np.bincount(b, minlength=256)
+        border = np.cumsum(count) - count
+        there = np.flatnonzero(count)
+        first, last = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        first[there], last[there] = order[border[there]], order[border[there] + count[there] - 1]
+        upto_here, from_here = np.minimum.accumulate(c), np.append(np.minimum.accumulate(c[::-1])[::-1], _NONE)
+        # who waits for a symbol of this block
+        hit = there[waiting[there] >= 0]
+        after[waiting[hit]] = np.minimum(waited[hit], upto_here[first[hit]])
+        waiting[hit] = -1
+        waited = np.minimum(waited, from_here[0])
+        if len(x):
+            at = np.empty(size, np.int64)
+            at[order] = np.arange(size)
+            s, r = b[x].astype(np.int64), at[x]
+            own = r - border[s]
+            symbol[mine], rank[mine] = s, seen[s] + own
+            least = _range_min(c)
+            inside = own > 0
+            found = np.where(seen[s] > 0, np.minimum(since[s], upto_here[x]), _NONE)
+            found[inside] = least(order[r[inside] - 1] + 1, x[inside])
+            before[mine] = np.where((seen[s] > 0) | inside, found, _NONE)
+            inside = own + 1 < count[s]
+            found = np.full(len(x), _NONE)
+            found[inside] = least(x[inside] + 1, order[r[inside] + 1])
+            after[mine] = found
+            tail = np.flatnonzero(~inside)
+            waiting[s[tail]], waited[s[tail]] = done + tail, from_here[x[tail] + 1]
+        since = np.minimum(since, from_here[0])
+        since[there] = from_here[last[there] + 1]
+        seen += count
+        begin, done = begin + size, upto
+    return symbol, rank, before, after, seen
+
+
+def collection_bwt(segments: np.ndarray, off: np.ndarray, storage: Storage) -> tuple[ExternalColumn, ExternalColumn, ExternalColumn]:
     """The transform of a collection of byte strings, built by insertion of columns.
 
-    segments, off: bytes and borders; folder: for the external files.  Returns, in
-    suffix order: preceding symbol (byte + 1; 0 where a string starts), common prefix
-    with the suffix before (at most 255), string number, suffix length.  Ends of
+    segments, off: bytes and borders.  Returns external columns in suffix order:
+    preceding symbol (byte + 1; 0 where a string starts), common prefix with the suffix
+    before, and string number (high bits) with suffix length (low byte).  Ends of
     strings sort before all bytes and, among themselves, by string number.
     """
     length = np.diff(off)
     n = len(length)
     limit = int(length.max(initial=0))
     assert limit < 255, "common prefixes are kept in one byte"
+    # bytes of UTF-8 are at most 0xF4, so that byte + 1 is a byte too
     sym = lambda ids, j: np.where(length[ids] >= j, segments[np.maximum(off[ids + 1] - j, 0)].astype(np.uint16) + 1, 0).astype(np.uint8)
     ids = np.arange(n)
-    bwt = sym(ids, 1)
-    lcp = np.zeros(n, np.uint8)
-    suffix = ExternalColumn(folder, "suffix", "u8" if n >= 1 << 24 else "u4")  # string number and, in the low byte, length
-    suffix.insert(ids, ids << 8)
-    active, place = ids, ids  # strings with symbols left; where their longest suffix stands
+    bwt, lcp = ExternalColumn(storage, "bwt", "u1", sym(ids, 1)), ExternalColumn(storage, "lcp", "u1", np.zeros(n, np.uint8))
+    suffix = ExternalColumn(storage, "suffix", "u8" if n >= 1 << 24 else "u4", ids << 8)
+    active, place = ids, ids  # strings with symbols left, by the place of their longest suffix
     for j in range(1, limit + 1):
         keep = length[active] >= j
         active, place = active[keep], place[keep]
-        order = np.argsort(bwt, kind="stable")  # entries by preceding symbol: the suffixes one symbol longer, in order
-        ended = int(np.count_nonzero(bwt == 0))
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
-        at = rank[place]
-        new = at - ended + n
-        least = _range_min(lcp)
-        c = bwt[place]
-        before, after = np.zeros(len(at), np.uint8), np.zeros(len(at), np.uint8)
-        q = order[np.maximum(at - 1, 0)]
-        m = (at > 0) & (bwt[q] == c)
-        before[m] = np.minimum(least(q[m] + 1, place[m]), 253) + 1
-        q = order[np.minimum(at + 1, len(bwt) - 1)]
-        m = (at + 1 < len(bwt)) & (bwt[q] == c)
-        after[m] = np.minimum(least(place[m] + 1, q[m]), 253) + 1
-        by_place = np.argsort(new, kind="stable")
-        total = len(bwt) + len(active)
-        old = np.ones(total, bool)
-        old[new] = False
-        grown = np.empty(total, np.uint8)
-        grown[old] = bwt
-        grown[new] = sym(active, j + 1)
-        bwt = grown
-        grown = np.empty(total, np.uint8)
-        grown[old] = lcp
-        grown[new] = before
+        symbol, rank, before, after, seen = _neighbours(bwt, lcp, place)
+        # suffixes one symbol longer stand by that symbol, then in the order of what follows it
+        new = n + rank + (np.cumsum(seen) - seen)[symbol] - seen[0]
+        order = np.argsort(new, kind="stable")
+        new, active = new[order], active[order]
+        longer = lambda x: np.where(x == _NONE, 0, np.minimum(x, 253) + 1)[order].astype(np.uint8)
+        total = bwt.length + len(active)
         inner = new + 1 < total
-        grown[new[inner] + 1] = after[inner]
-        lcp = grown
-        suffix.insert(new[by_place], active[by_place] << 8 | j)
+        bwt.insert(new, sym(active, j + 1))
+        lcp.insert(new, longer(before), new[inner] + 1, longer(after)[inner])
+        suffix.insert(new, active << 8 | j)
         place = new
-    which = suffix.read()
-    return bwt, lcp, (which >> 8).astype(np.int64), (which & 255).astype(np.int64)
+    return bwt, lcp, suffix
 
 
-def shared_windows(rid: np.ndarray, segments: np.ndarray, off: np.ndarray, span: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+def shared_windows(rid: np.ndarray, segments: np.ndarray, off: np.ndarray, span: int, storage: Storage) -> tuple[np.ndarray, np.ndarray]:
     """(segment, offset) of every window of ``span`` bytes that also stands in a segment of a smaller document."""
-    _, lcp, whose, tail = collection_bwt(segments, off, folder)
-    group = np.cumsum(lcp < span) - 1
-    doc = rid[whose]
-    # a group is a run of suffixes whose first span bytes agree; shorter suffixes stand alone in theirs
-    least = np.minimum.reduceat(doc, np.flatnonzero(lcp < span)) if len(lcp) else doc
-    hit = (tail >= span) & (doc > least[group])
-    seg = whose[hit].astype(np.int64)
-    return seg, (off[seg + 1] - off[seg] - tail[hit]).astype(np.int64)
+    _, lcp, suffix = collection_bwt(segments, off, storage)
+    segs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def judge(whose: np.ndarray, tail: np.ndarray, begins: np.ndarray) -> None:
+        """Of whole groups of suffixes whose first span bytes agree; shorter suffixes stand alone in theirs."""
+        if not len(whose):
+            return
+        doc = rid[whose]
+        least = np.minimum.reduceat(doc, begins)
+        hit = (tail >= span) & (doc > np.repeat(least, np.diff(np.append(begins, len(doc)))))
+        segs.append(whose[hit])
+        places.append((off[whose + 1] - off[whose] - tail)[hit])
+
+    held = np.zeros(0, np.int64)  # the group that the last block ended in
+    for c, which in zip(lcp.blocks(), suffix.blocks(), strict=True):
+        begins = np.flatnonzero(c < span) + len(held)
+        held = np.concatenate([held, which.astype(np.int64)])
+        if len(begins):
+            cut = int(begins[-1])
+            judge(held[:cut] >> 8, held[:cut] & 255, np.union1d([0], begins[:-1]) if cut else begins[:0])
+            held = held[cut:]
+    judge(held >> 8, held & 255, np.zeros(1, np.int64))
+    return np.concatenate(segs), np.concatenate(places)
 
 
 def _match(spec: Spec, n_buckets: int):
@@ -227,8 +324,8 @@ def _segments(spec: Spec):
     return run
 
 
-def _transform(spec: Spec, n_buckets: int):
-    """Second step in a bucket of anchors: windows that the transform finds in a smaller document, as stretches to remove."""
+def _transform(spec: Spec, n_buckets: int, root: str | None):
+    """Second step in a bucket of anchors: windows that the transform finds in a smaller document, as stretches to remove; root: the folder for columns."""
 
     def run(table: pa.Table) -> pa.Table:
         metas, texts = [], []
@@ -260,11 +357,11 @@ def _transform(spec: Spec, n_buckets: int):
             size = off[part + 1] - off[part]
             own = np.r_[0, np.cumsum(size)]
             take = np.repeat(off[part] - own[:-1], size) + np.arange(own[-1])
-            folder = tempfile.mkdtemp(prefix="bwt")
+            storage = Storage(f"{root}/{uuid.uuid4().hex}" if root else None)
             try:
-                seg, at = shared_windows(rid[part], data[take], own, spec.span, folder)
+                seg, at = shared_windows(rid[part], data[take], own, spec.span, storage)
             finally:
-                shutil.rmtree(folder, ignore_errors=True)
+                storage.close()
             segs.append(uid[part[seg]])
             places.append(at)
             a = b
@@ -284,12 +381,24 @@ def repeated_spans(docs: DataFrame, span: int = 50, gram: int = 25) -> DataFrame
     """(RID, payload): stretches of bytes that a document with a smaller row number has too; docs from identify()."""
     spec = Spec("bytes", span, gram)
     n = buckets_for(text_bytes(docs))
-    blobs = docs.select(RID, "text").mapInArrow(superwindow_blobs(spec, n), KINDED)
-    first = spill(blobs.groupBy("bucket").applyInArrow(_match(spec, n), KINDED), "suffix-first")
-    reps = spill(reps_per_document(only(first, 1), "u4", "u1", "u4", "u4"), "suffix-open")
-    segments = attach(docs.select(RID, "text"), reps, how="inner", broadcast=False).mapInArrow(_segments(spec), BLOB)
-    second = spill(segments.groupBy("bucket").applyInArrow(_transform(spec, n), KINDED), "suffix-second")
-    return spill(per_document(only(first, 0).unionByName(second)), "suffix-spans")
+    spark = docs.sparkSession
+    with temporary(spark):
+        blobs = docs.select(RID, "text").mapInArrow(superwindow_blobs(spec, n), KINDED)
+        first = spill(blobs.groupBy("bucket").applyInArrow(_match(spec, n), KINDED), "suffix-first")
+        reps = spill(reps_per_document(only(first, 1), "u4", "u1", "u4", "u4"), "suffix-open")
+        segments = attach(docs.select(RID, "text"), reps, how="inner", broadcast=False).mapInArrow(_segments(spec), BLOB)
+        columns = scratch(spark, "bwt")
+        try:
+            second = spill(segments.groupBy("bucket").applyInArrow(_transform(spec, n, reachable(columns)), KINDED), "suffix-second")
+        finally:
+            remove(spark, columns)
+        return spill(per_document(only(first, 0).unionByName(second)), "suffix-spans", keep=True)
+
+
+def reachable(path: str) -> str | None:
+    """The shared folder as Python sees it, if it does: a mounted one."""
+    place = urlsplit(path)
+    return place.path if place.scheme in ("", "file") else None
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,4 +436,4 @@ def digest(kept: DataFrame) -> DataFrame:
     return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
-__all__ = ["ExternalColumn", "collection_bwt", "digest", "remove_shared_substrings", "repeated_spans", "shared_windows"]
+__all__ = ["ExternalColumn", "Storage", "collection_bwt", "digest", "remove_shared_substrings", "repeated_spans", "shared_windows"]

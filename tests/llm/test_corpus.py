@@ -144,18 +144,29 @@ def test_a_shared_passage_travels_once_per_task():
         assert all(first[k] == r for k, r in zip(zip(kept.anchor.tolist(), kept.content.tolist(), strict=True), kept.rid.tolist(), strict=True))
 
 
-def test_transform_of_a_collection(tmp_path):
+@pytest.mark.parametrize("block", [1 << 19, 7])
+def test_transform_of_a_collection(tmp_path, monkeypatch, block):
+    monkeypatch.setattr(suffix, "_BLOCK", block)
     rng = np.random.default_rng(5)
-    for _ in range(10):
+    for turn in range(10):
         texts = [bytes(rng.integers(97, 100, rng.integers(1, 30)).astype(np.uint8)) for _ in range(rng.integers(1, 20))]
         off = np.r_[0, np.cumsum([len(t) for t in texts])]
-        bwt, lcp, whose, tail = suffix.collection_bwt(np.frombuffer(b"".join(texts), np.uint8), off, str(tmp_path))
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        storage = suffix.Storage(str(tmp_path / "columns") if turn % 2 else None)
+        bwt, lcp, which = (c.read().astype(np.int64) for c in suffix.collection_bwt(data, off, storage))
+        whose, tail = which >> 8, which & 255
         order = sorted(((i, k) for i, t in enumerate(texts) for k in range(len(t) + 1)), key=lambda x: ([c + 1 for c in texts[x[0]][len(texts[x[0]]) - x[1] :]] + [0, x[0]]))
         assert list(zip(whose.tolist(), tail.tolist(), strict=True)) == order
         assert bwt.tolist() == [texts[i][len(texts[i]) - k - 1] + 1 if k < len(texts[i]) else 0 for i, k in order]
         tails = [texts[i][len(texts[i]) - k :] for i, k in order]
         common = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         assert lcp.tolist() == [0] + [common(a, b) for a, b in zip(tails, tails[1:], strict=False)]
+        storage.close()
+        assert not (tmp_path / "columns").exists()
+        rid = np.arange(len(texts)) // 2
+        seg, at = suffix.shared_windows(rid, data, off, 4, suffix.Storage(None))
+        windows = {(i, k): texts[i][k : k + 4] for i in range(len(texts)) for k in range(len(texts[i]) - 3)}
+        assert sorted(zip(seg.tolist(), at.tolist(), strict=True)) == sorted(x for x, w in windows.items() if any(w == v and rid[y[0]] < rid[x[0]] for y, v in windows.items()))
 
 
 def lower(text):
