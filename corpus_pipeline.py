@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over ``documents``, each working on all that the one before kept."""
+"""The corpus pipeline: five stages over ``documents``, each working on all that the one before kept.
+
+In every stage a null text counts as empty, rows that repeat an id are documents of
+their own and rows without one come last; texts of any length are read whole; an
+empty table gives an empty one; extra columns stay, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -11,17 +16,28 @@ from lodestrata.llm.queries import table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model, fitted on the labels, rejects go."""
+    """Documents that the ordinal model, fitted on the labels, rejects go; without labels of both kinds none does.
+
+    Empty texts have no features and stay; equal texts have the same verdict.
+    """
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates stays, that with the smallest id: five-word shingles, similarity of 0.8 or more.
+
+    Of rows that repeat an id and are alike the first by text stays; texts without words
+    are alike with nothing and stay.
+    """
     return neardup.drop_near_duplicates(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 20 words that also start earlier are cut out; documents without such stay as they are, those left without words go."""
+    """Windows of 20 words that also start earlier are cut out; documents without such stay as they are, those left without words go.
+
+    Of equal windows that with the smallest id stays, in one document the first; texts of
+    fewer words, empty ones too, stay.
+    """
     rows = numbered(docs)
     spans = substring.repeated_words(rows)
     kept = substring.kept_texts(attach(rows.select(RID, F.col("doc_id").cast("long").alias("doc_id"), "text"), spans, how="inner"))
@@ -31,12 +47,15 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated with benchmark items go."""
+    """Documents contaminated with benchmark items go: at least one word in 20 stands in a window of 13 words that an item has.
+
+    Texts without words stay; an empty benchmark contaminates nothing.
+    """
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens in sequences of at most 2048."""
+    """Pieces of the documents' tokens in sequences of at most 2048; an empty text is one closing id."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
