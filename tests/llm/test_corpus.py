@@ -715,3 +715,28 @@ def test_pipeline_stages_against_brute_force(spark):
 
     kept = run("decontamination", cut)
     assert kept == [r for r in cut if not contaminated(r[at_text], items)] and len(kept) < len(cut)
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long, payload string, node string"
+    rows = [(i, t, None, "s", None if t is None else len(t), "p", None) for i, t, *_ in odd_rows()]
+    odd, none = spark.createDataFrame(rows, columns).repartition(3), spark.createDataFrame([], columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, SMALL)
+        assert got.columns == odd.columns and stage(spark, none, SMALL).collect() == [], name
+        left = bag(got.drop("text", "n_chars").collect())
+        assert not left - bag(odd.drop("text", "n_chars").collect()), name  # other columns stay as they are
+        texts = [r.text for r in got.collect()]
+        assert None in texts and "" in texts and "one" in texts, name  # nothing to object to
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, odd, SMALL).collect()} == {r[0] for r in rows}
+    assert corpus_pipeline.STAGES[-1][1](spark, none, SMALL).collect() == []
+
+
+def test_near_dedup_leaves_no_pair_of_eighty_percent(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    left = sorted((r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SMALL).collect())
+    assert all(g == k for k, g in enumerate(near_groups([t for _, t in left], 80)))
