@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 19
 #: Bytes of packed side data up to which it is broadcast; beyond, both sides are shuffled.
 BROADCAST_BYTES = 24 << 20
-#: Name of the internal row number.
+#: Name of the internal row number, the mark of a column that is it, and the name of a user's column of that name meanwhile.
 RID = "__ls_rid"
+_MARK = {"row number": True}
+_THEIRS = "__ls_rid_given"
 #: While an intermediate table is written, its shuffle files go when the write ends.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -94,18 +96,30 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with the column RID: one number per row that orders rows by id.
 
     The number is the id itself where ids are unique and present.  Otherwise rows
-    that repeat an id count as documents of their own, ordered by their text, and
-    rows without an id come last; every row is kept.
+    that repeat an id count as documents of their own, ordered by a hash of their
+    text, and rows without an id come last; every row is kept.  A user's column of
+    the name RID is put aside until original() is called.
     """
     bound_batches(docs.sparkSession)
-    if RID in docs.columns:
+    if _is_numbered(docs):
         return docs
+    columns = [F.col(c).alias(_THEIRS) if c == RID else F.col(c) for c in docs.columns]
     key = F.col(id_col).cast("long")
     repeated = docs.groupBy(key.alias("k")).count().filter("count > 1 or k is null").limit(1)
     if not repeated.take(1):
-        return docs.withColumn(RID, key)
-    ordered = docs.orderBy(key.asc_nulls_last(), F.xxhash64(text_col), F.col(text_col))
-    return spill(ordered.withColumn(RID, F.monotonically_increasing_id()), "rows")
+        return docs.select(*columns, key.alias(RID, metadata=_MARK))
+    ordered = docs.orderBy(key.asc_nulls_last(), F.xxhash64(text_col))
+    return spill(ordered.select(*columns, F.monotonically_increasing_id().alias(RID, metadata=_MARK)), "rows")
+
+
+def _is_numbered(docs: DataFrame) -> bool:
+    return RID in docs.columns and docs.schema[RID].metadata == _MARK
+
+
+def original(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from numbered(docs) or what was made of it."""
+    theirs = RID in docs.columns and not _is_numbered(docs)
+    return rows.select(*(F.col(_THEIRS).alias(RID) if theirs and c == RID else F.col(c) for c in docs.columns))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

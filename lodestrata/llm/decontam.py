@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, RID, attach, identify, numbered, spill
+from .common import BROADCAST_BYTES, RID, attach, identify, numbered, original, spill
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -140,11 +140,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     verdicts = judge(rows, benchmark, span, one_in, id_col, text_col, detail=True)
     bad = spill(verdicts.filter("contaminated").select(RID, F.col("hit_words").alias("payload")), "contaminated")
     if remove == "documents":
-        return attach(rows, bad.select(RID, F.lit(b"").alias("payload")), how="left_anti").select(*docs.columns)
+        return original(attach(rows, bad.select(RID, F.lit(b"").alias("payload")), how="left_anti"), docs)
     if remove != "spans":
         raise ValueError(f"remove: documents or spans, not {remove}")
     joined = attach(rows, bad.withColumnRenamed("payload", "__ls_hit"), each=F.size("__ls_hit") * 4 + 64)
     joined = joined.withColumn("__ls_words", F.when(F.col("__ls_hit").isNotNull(), words_of(F.col(text_col))))
     left = F.array_except(F.sequence(F.lit(0), F.size("__ls_words") - 1), F.col("__ls_hit"))
     kept = F.array_join(F.transform(left, lambda i: F.get("__ls_words", i)), " ")
-    return joined.select(*(F.when(F.col("__ls_hit").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    return original(joined.withColumn(text_col, F.when(F.col("__ls_hit").isNull(), F.col(text_col)).otherwise(kept)), docs)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import BROADCAST_BYTES, RID, attach, column, identify, numbered, spill, temporary, text_chunks
+from .common import BROADCAST_BYTES, RID, attach, column, identify, numbered, original, spill, temporary, text_chunks
 from .graph import components
 
 #: Coordinates of a signature; the sketch has two bits of each, the tokens 32 bits of the first TOKENS.
@@ -443,4 +443,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     rows = numbered(docs, id_col, text_col)
     with temporary(docs.sparkSession):
         gone = spill(near_duplicates(rows, shingle, percent, id_col=id_col, text_col=text_col).filter("not kept").select(RID, F.lit(b"").alias("payload")), "near-gone", keep=True)
-    return attach(rows, gone, how="left_anti").select(*docs.columns)
+    return original(attach(rows, gone, how="left_anti"), docs)

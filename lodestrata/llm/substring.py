@@ -19,8 +19,8 @@ a second step, by 128 bits of two independent hashes.
 earlier word.  Windows are judged on the input, not on what is left.
 
 Nulls count as text without words; shorter texts than a window lose nothing; rows
-that repeat an id are documents of their own in the order of their text, rows
-without an id come last; an empty table gives an empty result.  Columns besides id
+that repeat an id are documents of their own in the order of a hash of their text,
+rows without an id come last; an empty table gives an empty result.  Columns besides id
 and text are ignored, whatever their names.
 """
 

@@ -20,8 +20,8 @@ Results are exact up to collisions of 93-bit fingerprints in the first step
 (copies of whole superwindows); inside a transform bytes are compared, not hashes.
 
 Nulls count as empty text; documents shorter than ``span`` lose nothing; rows that
-repeat an id are documents of their own in the order of their text, rows without an
-id come last; an empty table gives an empty result.  Columns besides id and text
+repeat an id are documents of their own in the order of a hash of their text, rows
+without an id come last; an empty table gives an empty result.  Columns besides id and text
 are ignored, whatever their names.
 """
 

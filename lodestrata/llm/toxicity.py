@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import RID, attach, column, numbered, spill, temporary, text_chunks
+from .common import RID, attach, column, numbered, original, spill, temporary, text_chunks
 
 _HEADS = (4, 5, 6)
 
@@ -229,4 +229,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     rows = numbered(docs, id_col, text_col)
     model = fit(rows, labels, id_col=id_col, text_col=text_col)
     gone = spill(score(rows, model, text_col=text_col, key=RID).filter("rejected").select(RID, F.lit(b"").alias("payload")), "toxic")
-    return attach(rows, gone, how="left_anti").select(*docs.columns)
+    return original(attach(rows, gone, how="left_anti"), docs)

@@ -720,8 +720,8 @@ def test_pipeline_stages_against_brute_force(spark):
 def test_pipeline_stages_take_odd_rows(spark):
     import corpus_pipeline
 
-    columns = "doc_id long, text string, lang string, source string, n_chars long, payload string, node string"
-    rows = [(i, t, None, "s", None if t is None else len(t), "p", None) for i, t, *_ in odd_rows()]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, payload string, node string, __ls_rid string"
+    rows = [(i, t, None, "s", None if t is None else len(t), "p", None, "own") for i, t, *_ in odd_rows()]
     odd, none = spark.createDataFrame(rows, columns).repartition(3), spark.createDataFrame([], columns)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, odd, SMALL)
