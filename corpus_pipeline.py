@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontam, neardup, packing, substring, toxicity
-from lodestrata.llm.common import RID, attach, numbered, scratch
+from lodestrata.llm.common import RID, attach, numbered, original, scratch
 from lodestrata.llm.queries import table
 
 
@@ -26,7 +26,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest id: five-word shingles, similarity of 0.8 or more.
 
-    Of rows that repeat an id and are alike the first by text stays; texts without words
+    Of rows that repeat an id and are alike the first by a hash of the text stays; texts without words
     are alike with nothing and stay.
     """
     return neardup.drop_near_duplicates(docs)
@@ -43,7 +43,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = substring.kept_texts(attach(rows.select(RID, F.col("doc_id").cast("long").alias("doc_id"), "text"), spans, how="inner"))
     cut = rows.drop("text", "n_chars").join(kept.select(RID, F.col("kept").alias("text")), RID).withColumn("n_chars", F.length("text").cast("long"))
     whole = attach(rows, spans.select(RID, F.lit(b"").alias("payload")), how="left_anti")
-    return whole.select(*docs.columns).unionByName(cut.filter("text <> ''").select(*docs.columns))
+    return original(whole, docs).unionByName(original(cut.filter("text <> ''"), docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
