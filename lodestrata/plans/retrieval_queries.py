@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
-from ..session import prepared
+from ..operators import vector_index as V
+from ..session import prepared_path
 from .registry import query
 
 TEXT = "the ending of the nation and other errors"
@@ -37,7 +38,7 @@ def _vector(t, k: int):
 def _postings(t):
     """The documents' trigram index, made once, as at ingest."""
     docs = t.documents.select("doc_id", "text")
-    return prepared("trigrams", docs, lambda df, path: R.write_trigram_index(R.trigram_postings(df, "doc_id"), path))
+    return t.spark.read.parquet(prepared_path("trigrams", docs, lambda df, path: R.write_trigram_index(R.trigram_postings(df, "doc_id"), path)))
 
 
 def _text(t, k: int):
@@ -57,6 +58,14 @@ def cosine_topk(t):
     return _rounded(_vector(t, 5))
 
 
+@query(f"SELECT id, rank, round(score, 6) AS score FROM ({_ranked(SCORES, 5)})")
+def cell_topk(t):
+    """From the table by cells, made once, as at ingest; all cells are probed, so that the rows are the exact ones."""
+    rows = t.embeddings.select("vec_id", "embedding")
+    index, cells = V.open_index(t.spark, prepared_path("cells", rows, lambda df, path: V.write_index(df, V.Cells.fit(df, id_col="vec_id"), path)))
+    return _rounded(V.search(index.filter("vec_id <> 0"), cells, _query(t), 5, len(cells.centres), "vec_id"))
+
+
 @query(f"SELECT id, rank, round(score, 6) AS score FROM ({_ranked(SCORES + ' AND e.label = 1', 5)})")
 def filtered_topk(t):
     return _rounded(R.cosine_topk(R.where(_candidates(t), label=1), _query(t), 5, "vec_id"))

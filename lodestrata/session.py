@@ -53,12 +53,12 @@ def _version(df: DataFrame) -> tuple:
     return tuple(out)
 
 
-def prepared(name: str, source: DataFrame, write: Callable[[DataFrame, str], None]) -> DataFrame:
-    """The table that ``write`` makes of source, written once per application and version of source's files: an index, as at ingest."""
+def prepared_path(name: str, source: DataFrame, write: Callable[[DataFrame, str], None]) -> str:
+    """Where ``write`` put what it makes of source, once per application and version of source's files: an index, as at ingest."""
     spark = source.sparkSession
     key = (spark.sparkContext.applicationId, name, _version(source))
     if key not in _PREPARED:
         path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         write(source, path)
         _PREPARED[key] = path
-    return spark.read.parquet(_PREPARED[key])
+    return _PREPARED[key]

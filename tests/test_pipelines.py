@@ -238,3 +238,27 @@ def test_indexed_trigrams_are_those_of_the_scan(spark, tmp_path):
             assert list(map(tuple, R.indexed_trigram_topk(index, docs, words, k).orderBy("rank").collect())) == list(map(tuple, R.trigram_topk(docs, words, k).orderBy("rank").collect()))
     some = docs.filter("id > 0")
     assert [tuple(r) for r in R.indexed_trigram_topk(index, docs, "the ending", 3, among=some).orderBy("rank").collect()] == [tuple(r) for r in R.trigram_topk(some, "the ending", 3).orderBy("rank").collect()]
+
+
+def test_vector_cells(spark, tmp_path):
+    import numpy as np
+
+    from lodestrata.operators import vector_index as C
+
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(40, 16))
+    v = middles[rng.integers(0, 40, 3000)] + 0.5 * rng.normal(size=(3000, 16))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(3000, None), (3001, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    C.write_index(df, C.Cells.fit(df, 50, sample=1000), str(tmp_path / "i"))
+    index, cells = C.open_index(spark, str(tmp_path / "i"))
+    assert index.count() == len(rows) and len(cells.centres) == 50
+    queries = [x.tolist() for x in v[::500]]
+    assert C.recall(index, cells, queries, 5, 10) >= 0.9 and C.recall(index, cells, queries, 5, 50) == 1.0
+    plan = C.search(index, cells, queries[0], 5, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+    assert C.search(index, cells, queries[0], 5, 3).first().id == 0
+    none = spark.createDataFrame([], df.schema)
+    C.write_index(none, C.Cells.fit(none), str(tmp_path / "e"))
+    empty, nothing = C.open_index(spark, str(tmp_path / "e")) if (tmp_path / "e" / "cells").exists() and any((tmp_path / "e" / "cells").glob("cell=*")) else (none.withColumn("cell", F.lit(0)), C.Cells.fit(none))
+    assert C.search(empty, nothing, queries[0]).count() == 0
