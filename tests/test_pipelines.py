@@ -57,6 +57,21 @@ def test_stream_rate_limit(spark, tmp_path):
     assert [(r.who, r.n) for r in out.collect()] == [("x", 3)]
 
 
+def test_stream_alert_needs_windows_in_a_row(spark, tmp_path):
+    def hours(folder, *counts):
+        rows = [(f"2024-01-01 {h:02}:{m:02}:00", "error" if m < n else "ok") for h, n in counts for m in range(10)]
+        spark.createDataFrame(rows, "t string, event_type string").select(F.col("t").cast("timestamp").alias("ts"), "event_type").coalesce(1).write.mode("append").parquet(folder)
+
+    source, schema = str(tmp_path / "in"), "ts timestamp, event_type string"
+    for n, part in enumerate(([(0, 9), (1, 1), (2, 8)], [(3, 9), (4, 9), (5, 0), (6, 9), (8, 0)], [(12, 0)])):
+        hours(source, *part)
+        live = E.window_error_rates(E.timed(E.read(spark, source, schema), late="1 minute"), F.col("event_type") == "error", "1 hour")
+        E.watch(live, str(tmp_path / "out"), F.col("errors") > 0.5 * F.col("n"), 2, 3600, str(tmp_path / "check"))
+    last = max((tmp_path / "out").glob("alerts-*"), key=lambda f: int(f.name.split("-")[1]))
+    got = spark.read.parquet(str(last)).collect()
+    assert [(r.alert_start.hour, r.alert_end.hour, r.n_windows) for r in got] == [(2, 4, 3)]
+
+
 def test_filings_of_submissions(spark):
     rows = [("1", ((["1-1", "1-2", "1-3", "1-4", "1-5"], ["10-K", "10-K", "8-K", "10-K", "10-K"], ["2024-03-01", "2024-01-01", "2023-05-05", "bad", "2022-02-02"], ["a", "b", "c", "d", "e"]),))]
     got = submissions.filings(spark.createDataFrame(rows, submissions.SUBMISSIONS), "10-K", 3).orderBy("fiscal_year").collect()
