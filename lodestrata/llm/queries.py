@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, media, neardup, packing, substring, suffix, toxicity, urls, warc
+from . import bpe, decontam, divergence, licenses, media, neardup, packing, phrases, substring, suffix, toxicity, urls, warc
 from .common import bound_batches, spill
 from .sql import SQL
 
@@ -66,8 +66,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.remove_shared_substrings(table(spark, sf_dir, "documents")))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_packing, op2_license_scan, op3_media_copies, op4_url_filter, op5_decontamination, op6_minhash_dedup, op7_toxicity, op8_warc, op9_substring_dedup, op10_suffix_dedup)
+    ops = (op1_packing, op2_license_scan, op3_media_copies, op4_url_filter, op5_decontamination, op6_minhash_dedup, op7_toxicity, op8_warc, op9_substring_dedup, op10_suffix_dedup, op11_bpe, op12_source_divergence, op13_phrase_mining)
     return {f.__name__: f for f in ops}
 
 

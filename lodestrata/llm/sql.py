@@ -77,6 +77,38 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed,
 FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT doc, lang, source, unnest(ws) AS t FROM d),
+k AS (SELECT lang, t FROM w GROUP BY lang, t HAVING count(DISTINCT doc) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, t, count(*)::HUGEINT AS n FROM w SEMI JOIN k ON k.lang = w.lang AND k.t = w.t GROUP BY ALL),
+s AS (SELECT lang, source, sum(n)::HUGEINT AS s FROM c GROUP BY ALL),
+l AS (SELECT lang, sum(s)::HUGEINT AS s FROM s GROUP BY lang),
+q AS (SELECT k.lang, k.t, 1 + 1000000000::HUGEINT * (sum(n)::HUGEINT + 5) // (l.s + 5 * v.v) AS q FROM k JOIN c ON c.lang = k.lang AND c.t = k.t JOIN l ON l.lang = k.lang JOIN v ON v.lang = k.lang GROUP BY k.lang, k.t, l.s, v.v),
+p AS (SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(s.s, 0) + 5 * v.v) AS p
+    FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    UNION ALL SELECT p.lang, p.source, 'term', p.t, (p - q)::BIGINT FROM p JOIN q ON q.lang = p.lang AND q.t = p.t WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INTEGER AS rank FROM r) WHERE part = 'pair' OR rank <= 50
+"""
+
+PHRASES = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, count(*)::HUGEINT AS f FROM (SELECT lang, unnest(list_transform(range(0, len(ws) - size + 1), lambda i: list_slice(ws, i + 1, i + size))) AS k FROM w, (VALUES (1), (2), (3)) s(size)) GROUP BY ALL),
+c AS (SELECT lang, k, f AS a FROM f WHERE len(k) > 1 AND f >= 10),
+u AS (SELECT c.lang, c.k, c.a, cut, list_slice(k, 1, cut) AS x, list_slice(k, cut + 1, len(k)) AS y FROM (SELECT *, unnest(range(1, len(k))) AS cut FROM c) c),
+s AS (SELECT u.lang, u.k, u.a, cut, x.f AS l, y.f AS r, 1000000::HUGEINT * u.a * u.a // (x.f * y.f) AS score FROM u JOIN f x ON x.lang = u.lang AND x.k = u.x JOIN f y ON y.lang = u.lang AND y.k = u.y),
+b AS (SELECT lang, k, a, arg_min(l, (score, cut)) AS l, arg_min(r, (score, cut)) AS r, min(score) AS score FROM s GROUP BY ALL),
+o AS (SELECT lang, list_slice(k, i, i + 1) AS k, max(a) AS a FROM (SELECT lang, k, a, unnest([1, 2]) AS i FROM c WHERE len(k) = 3) GROUP BY ALL),
+t AS (SELECT b.lang, array_to_string(b.k, ' ') AS phrase, b.a, l, r, score FROM b LEFT JOIN o ON o.lang = b.lang AND o.k = b.k WHERE o.a IS NULL OR 100 * o.a < 50 * b.a)
+SELECT t.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM t) t JOIN n ON n.lang = t.lang WHERE rank <= 2000
+"""
+
 SQL = {
     "op4_url_filter": URLS,
     "op5_decontamination": DECONTAMINATION,
@@ -84,4 +116,6 @@ SQL = {
     "op8_warc": WARC,
     "op9_substring_dedup": WORDS,
     "op10_suffix_dedup": BYTES,
+    "op12_source_divergence": DIVERGENCE,
+    "op13_phrase_mining": PHRASES,
 }
