@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ LETTERS[0x00:0x61] = LETTERS[0x7B:0x80] = False
 CHUNK, LEAVES, RANGE = 2 << 20, 600_000, 400_000
 #: Sources of a language that one task compares with all others, and cells of a table of shares.
 BLOCK, CELLS = 256, 4 << 20
+#: Bytes of the prefixes that ranges are made of, more where one has too much.
+FIRST_BYTES = 3
 _TRIE = "terms binary, counts binary, spread binary"
 
 
@@ -128,9 +131,20 @@ class Counters:
 
     def __init__(self) -> None:
         self.trie = RadixTrie()
+        self.known: dict[bytes, int] = {}
         self.counts: list[tuple] = []
         self.spread: list[tuple] = []
 
+    def leaves(self, terms: list[bytes]) -> np.ndarray:
+        """The leaves of distinct terms; those that came before are remembered."""
+        known, put, out = self.known, self.trie.put, []
+        for t in terms:
+            leaf = known.get(t)
+            if leaf is None:
+                leaf = known[t] = put(t)
+            out.append(leaf)
+        return np.array(out, np.int64)
+
     def written(self) -> tuple[pa.Array, tuple, tuple]:
         """(terms in byte order, counters, documents), leaves numbered in that order."""
         walked = list(self.trie.walk())
@@ -174,7 +188,7 @@ def _counted(leaves: int):
             data, ends = buf[LETTERS[buf]], np.r_[0, np.cumsum(end - start)]
             words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
             term, size = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
-            leaf = np.array([have.trie.put(t) for t in words.dictionary.to_pylist()], np.int64)
+            leaf = have.leaves(words.dictionary.to_pylist())
             doc = np.repeat(np.arange(len(group)), np.diff(border))
             key, n = np.unique(group[doc] * size + term, return_counts=True)
             have.counts.append((leaf[key % size], key // size, n))
@@ -190,18 +204,23 @@ def _counted(leaves: int):
 
 
 def _prefixes(depth: int, within: list[bytes]):
-    """Counters of tries by the first ``depth`` bytes of terms that begin with one of some prefixes."""
-    parents = set(within)
+    """Counters of tries by the first ``depth`` bytes of terms that begin with one of some prefixes of one byte less (none given: all terms)."""
+    parents = pa.array(within, pa.large_binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, int] = {}
         for batch in batches:
             for terms, counts in zip(batch.column(0), batch.column(1), strict=True):
-                names, leaf = _load(terms.as_py())[0].to_pylist(), _numbers(counts.as_py())[0]
-                for t, n in zip(names, np.bincount(leaf, minlength=len(names)).tolist(), strict=True):
-                    if t[: depth - 1] in parents:
-                        found[t[:depth]] = found.get(t[:depth], 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()) if found else pa.array([], pa.binary()), pa.array(found.values(), pa.int64())], names=["prefix", "n"])
+                names, leaf = _load(terms.as_py())[0], _numbers(counts.as_py())[0]
+                n = np.bincount(leaf, minlength=len(names))
+                if within:
+                    inside = pc.is_in(pc.binary_slice(names, 0, depth - 1), parents)
+                    names, n = names.filter(inside), n[inside.to_numpy(zero_copy_only=False)]
+                coded = pc.binary_slice(names, 0, depth).dictionary_encode()
+                summed = np.bincount(coded.indices.to_numpy(), n, len(coded.dictionary)).astype(np.int64)
+                for t, k in zip(coded.dictionary.to_pylist(), summed.tolist(), strict=True):
+                    found[t] = found.get(t, 0) + k
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["prefix", "n"])
 
     return run
 
@@ -209,20 +228,22 @@ def _prefixes(depth: int, within: list[bytes]):
 def _range_cuts(tries: DataFrame, most: int = RANGE, least: int = 16) -> list[bytes]:
     """Where ranges begin, but for the first: each has about ``most`` counters, or one term.
 
-    The driver sees prefixes, no terms: of each prefix that has more than a range's
-    counters those of one byte more.
+    The driver sees prefixes, no terms: those of FIRST_BYTES bytes, at most some hundred
+    thousand, and of each that has more than a range's counters those of one byte more.
     """
     weight: dict[bytes, int] = {}
-    heavy, depth = [b""], 0
-    while heavy:
-        depth += 1
+    heavy, depth = [], FIRST_BYTES
+    while heavy or not weight:
         rows = tries.select("terms", "counts").mapInArrow(_prefixes(depth, heavy), "prefix binary, n long").groupBy("prefix").agg(F.sum("n").alias("n")).collect()
-        if depth == 1:
+        if not rows:
+            break
+        if depth == FIRST_BYTES:
             most = max(1, min(most, sum(r["n"] for r in rows) // least))
         for p in heavy:
             weight.pop(p, None)
         weight |= {bytes(r["prefix"]): r["n"] for r in rows}
         heavy = [bytes(r["prefix"]) for r in rows if r["n"] > most and len(r["prefix"]) == depth]
+        depth += 1
     cuts, have = [], 0
     for p in sorted(weight):
         if have and have + weight[p] > most:
@@ -263,7 +284,7 @@ def _merged(least_docs: int):
     def run(table: pa.Table) -> pa.Table:
         have, groups, langs = Counters(), {}, {}
         for terms, counts, spread, named, of in zip(*(table.column(c) for c in ("terms", "counts", "spread", "groups", "langs")), strict=True):
-            leaf = np.array([have.trie.put(t) for t in _load(terms.as_py())[0].to_pylist()], np.int64)
+            leaf = have.leaves(_load(terms.as_py())[0].to_pylist())
             group = _numbered([(g["lang"], g["source"]) for g in named.as_py()], groups)
             lang = _numbered(of.as_py(), langs)
             for into, blob, number in ((have.counts, counts, group), (have.spread, spread, lang)):
