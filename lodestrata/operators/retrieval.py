@@ -104,7 +104,8 @@ def mmr(chunks: DataFrame, query: Sequence[float], k: int = TOP_K, fetch_k: int
             alike = np.maximum(alike, unit @ unit[best])
         return pd.DataFrame({"id": rows["id"].to_numpy()[chosen], "rank": np.arange(1, len(chosen) + 1), "score": s[chosen]})
 
-    return candidates.withColumn("one", F.lit(True)).groupBy("one").applyInPandas(choose, "id long, rank long, score double")
+    kind = candidates.schema["id"].dataType.simpleString()
+    return candidates.withColumn("one", F.lit(True)).groupBy("one").applyInPandas(choose, f"id {kind}, rank long, score double")
 
 
 def fuse(vector: DataFrame, text: DataFrame, k: int, alpha: float = ALPHA, constant: int = RRF_K) -> DataFrame:
@@ -131,13 +132,13 @@ def late(ranked: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def upgraded(similar: DataFrame, hybrid_list: DataFrame | Callable[[], DataFrame], threshold: float) -> DataFrame:
-    """(id, rank, score, search_type): the similarity list, or the hybrid one if the best unfiltered similarity is below the threshold (or there is none).
+    """(id, rank, score, search_type): what of the similarity list reaches the threshold, or the hybrid list if its best score doesn't (or there is none).
 
     The best score, one row, decides before either list is made, so only one of them runs.
     """
     best = similar.agg(F.max("score")).first()[0]
     if best is not None and best >= threshold:
-        return similar.select("id", "rank", "score", F.lit("similarity").alias("search_type"))
+        return above(similar, threshold).select("id", "rank", "score", F.lit("similarity").alias("search_type"))
     mixed = hybrid_list() if callable(hybrid_list) else hybrid_list
     return mixed.select("id", "rank", "score", F.lit("hybrid").alias("search_type"))
 
@@ -160,13 +161,15 @@ def within_budget(ranked: DataFrame, tokens_col: str, budget: int = BUDGET, by:
     return ranked.withColumn("used_tokens", F.sum(tokens_col).over(window)).filter(F.col("used_tokens") <= budget)
 
 
-def year_context(blocks: DataFrame, block_col: str, year_col: str = "fiscal_year", shown: int = 2) -> DataFrame:
-    """One row ``context``: under a header per year its ``shown`` best blocks, years in the order of ``nth``."""
+def year_context(blocks: DataFrame, block_col: str, year_col: str = "fiscal_year", shown: int = 2, nothing: str = "") -> DataFrame:
+    """One row ``context``: under a header per year its ``shown`` first blocks, years in the order of ``nth``, or ``nothing`` where there are none."""
+    place = F.row_number().over(Window.partitionBy("nth", year_col).orderBy("rank"))  # ranks may have gaps
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.col(block_col).alias("block"))))
-    by_year = blocks.filter(F.col("rank") <= shown).groupBy("nth", year_col).agg(F.array_join(F.transform(ordered, lambda b: b["block"]), "\n").alias("text"))
+    by_year = blocks.withColumn("__place", place).filter(F.col("__place") <= shown).groupBy("nth", year_col).agg(F.array_join(F.transform(ordered, lambda b: b["block"]), "\n").alias("text"))
     part = F.concat(F.lit("=== FY"), F.col(year_col).cast("string"), F.lit(" ===\n"), F.col("text"))
     years = F.array_sort(F.collect_list(F.struct("nth", part.alias("part"))))
-    return by_year.agg(F.array_join(F.transform(years, lambda y: y["part"]), "\n\n").alias("context"))
+    joined = F.array_join(F.transform(years, lambda y: y["part"]), "\n\n")
+    return by_year.agg(F.when(F.count("*") > 0, joined).otherwise(F.lit(nothing)).alias("context"))
 
 
 def shortened(text: Column, most: int = 500) -> Column:
@@ -174,7 +177,8 @@ def shortened(text: Column, most: int = 500) -> Column:
     return F.substring(text, 1, most)
 
 
-def joined_context(blocks: DataFrame, block_col: str) -> DataFrame:
-    """One row ``context``: the blocks in the order of rank."""
+def joined_context(blocks: DataFrame, block_col: str, between: str = "\n\n---\n\n", nothing: str = "") -> DataFrame:
+    """One row ``context``: the blocks in the order of rank, or ``nothing`` where there are none."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.col(block_col).alias("block"))))
-    return blocks.agg(F.array_join(F.transform(ordered, lambda b: b["block"]), "\n\n---\n\n").alias("context"))
+    joined = F.array_join(F.transform(ordered, lambda b: b["block"]), between)
+    return blocks.agg(F.when(F.count("*") > 0, joined).otherwise(F.lit(nothing)).alias("context"))

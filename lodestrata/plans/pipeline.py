@@ -61,6 +61,8 @@ def filings_to_chunks(pages: DataFrame, stored_hashes: DataFrame, embed: Column
 #: Answers without a language model, and without sources.
 RAW_ANSWER = "[LLM unavailable — returning raw context]\n\n"
 NO_ANSWER = "I could not find relevant information in the available financial documents to answer this question. Please ensure the relevant filings have been ingested."
+#: What the tools say where nothing is found.
+NOTHING_FOUND, NOTHING_TO_COMPARE = "No relevant information found for this query.", "No comparative data found."
 STYLE = "analyst"
 
 
@@ -82,10 +84,10 @@ class Retriever:
         return R.hybrid(pool, pool, query, words, k, text_col="chunk_text", index=self.index, among=among).select("id", "rank", "score")
 
     def search(self, query: Sequence[float], words: str, search_type: str = "similarity", k: int = R.TOP_K, **filters: object) -> DataFrame:
-        """(id, rank, score): similarity keeps what reaches the threshold, mmr diversifies, hybrid fuses with trigrams; filters hold for all three."""
+        """(id, rank, score): similarity and the diversified mmr keep what reaches the threshold, hybrid fuses with trigrams; filters hold for all three."""
         pool = self._pool(**filters)
         if search_type == "mmr":
-            return R.mmr(pool, query, k)
+            return R.above(R.mmr(pool, query, k), self.threshold)
         if search_type == "hybrid":
             return self._hybrid(pool, query, words, k)
         if search_type != "similarity":
@@ -137,15 +139,15 @@ class Retriever:
         """(one row ``context`` of all that a similarity search finds, its sources): a filter that args leave out or empty is the default's, sections have none."""
         filters = {c: args.get(c) or defaults.get(c) for c in ("ticker", "fiscal_year")} | {"section": args.get("section")}
         found = self.found(query, words, **{c: v for c, v in filters.items() if v})
-        return R.joined_context(self.blocks(found), "block"), found
+        return R.joined_context(self.blocks(found), "block", nothing=NOTHING_FOUND), found
 
     def compare(self, query: Sequence[float], words: str, years: Sequence[int], most: int = 3, **filters: object) -> tuple[DataFrame, DataFrame]:
-        """(one row ``context`` with the two best of each of the first ``most`` years, all sources): at most that many searches."""
+        """(one row ``context`` with the two best of each of the first ``most`` years, all sources): at most that many searches; without years one search, all of whose blocks are the context."""
         out = None
         for nth, year in enumerate(years[:most]):
             one = self.found(query, words, fiscal_year=year, **filters).withColumn("nth", F.lit(nth))
             out = one if out is None else out.unionByName(one)
         if out is None:
             found = self.found(query, words, **filters)
-            return R.joined_context(self.blocks(found), "block"), found
-        return R.year_context(self.blocks(out), "block"), out
+            return R.joined_context(self.blocks(found), "block", "\n\n", NOTHING_TO_COMPARE), found
+        return R.year_context(self.blocks(out), "block", nothing=NOTHING_TO_COMPARE), out

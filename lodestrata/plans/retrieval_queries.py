@@ -148,7 +148,7 @@ def retrieve_project(t):
 @query(
     f"""WITH s AS ({_ranked(SCORES, 5)}), h AS ({_fused(5)}), b AS (SELECT max(score) AS best FROM s)
     SELECT id, rank, round(score, 6) AS score, search_type FROM (
-        SELECT id, rank, score, 'similarity' AS search_type FROM s, b WHERE best >= 0.7 UNION ALL SELECT id, rank, score, 'hybrid' FROM h, b WHERE best < 0.7 OR best IS NULL)"""
+        SELECT id, rank, score, 'similarity' AS search_type FROM s, b WHERE best >= 0.7 AND score >= 0.7 UNION ALL SELECT id, rank, score, 'hybrid' FROM h, b WHERE best < 0.7 OR best IS NULL)"""
 )
 def auto_upgrade(t):
     return _rounded(R.upgraded(_vector(t, 5), lambda: _mixed(t, 5), R.THRESHOLD))
@@ -217,6 +217,48 @@ def full_query(t):
     return _asked(t, 0.1, 1500)
 
 
+_MIDDLE = f"SELECT avg(score) FROM (SELECT score FROM ({_ranked(_IN_CHUNKS, 5)}) WHERE rank IN (3, 4))"
+
+
+def _middle(t) -> float:
+    """A threshold that parts the five best: halfway between the third and the fourth."""
+    return R.cosine_topk(_chunks(t), _query(t), 5).filter("rank IN (3, 4)").agg(F.avg("score")).first()[0]
+
+
+@query(_answers(f"SELECT * FROM ({_ranked(_IN_CHUNKS, 5)}) WHERE score >= ({_MIDDLE})", "similarity", 6000))
+def full_query_threshold(t):
+    """The best similarities are enough, those of lower ranks are not: only the former are cited and in the context."""
+    return _asked(t, _middle(t), 6000)
+
+
+@query(f"SELECT id, rank, round(score, 6) AS score, 'similarity' AS search_type FROM ({_ranked(_IN_CHUNKS, 5)}) WHERE score >= ({_MIDDLE})")
+def auto_upgrade_threshold(t):
+    """The list of a question that stays a similarity search, cut at the threshold."""
+    from .pipeline import Retriever
+
+    return _rounded(Retriever(_chunks(t), _middle(t)).found(_query(t), TEXT))
+
+
+_SHA_CHUNKS = f"SELECT sha256(c.id::VARCHAR) AS id, e.embedding::DOUBLE[] AS v FROM ({_OWN_CHUNKS}) c JOIN embeddings e ON e.vec_id = c.id"
+_SHA_MMR = f"""WITH RECURSIVE c AS (SELECT x.id, x.v, list_cosine_similarity(x.v, q.embedding::DOUBLE[]) AS s FROM ({_SHA_CHUNKS}) x, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY s DESC, id LIMIT 20),
+    m AS (SELECT 1 AS k, [f] AS ids FROM (SELECT arg_max(id, s) AS f FROM c)
+        UNION ALL
+        SELECT g.k + 1, list_append(g.ids, g.best) FROM (SELECT k, ids, arg_max(id, (0.5 * s - 0.5 * alike, s)) AS best FROM (
+            SELECT m.k, m.ids, c.id, c.s, max(list_cosine_similarity(c.v, d.v)) AS alike
+            FROM m JOIN c ON NOT list_contains(m.ids, c.id) JOIN c d ON list_contains(m.ids, d.id) WHERE m.k < 5 GROUP BY m.k, m.ids, c.id, c.s) GROUP BY k, ids) g),
+    u AS (SELECT u.id, u.rank, c.s AS score FROM (SELECT unnest(ids) AS id, unnest(range(1, 6)) AS rank FROM m WHERE k = 5) u JOIN c ON c.id = u.id)"""
+
+
+@query(f"{_SHA_MMR} SELECT id, rank, round(score, 6) AS score FROM u WHERE score >= (SELECT median(score) FROM u)")
+def mmr_search(t):
+    """A diversified search of chunks whose ids are SHA-256 strings, as chunk rows have; the threshold is the median of the five."""
+    from .pipeline import Retriever
+
+    chunks = _chunks(t).withColumn("id", F.sha2(F.col("id").cast("string"), 256))
+    five = R.mmr(chunks, _query(t))
+    return _rounded(Retriever(chunks, five.agg(F.median("score")).first()[0]).search(_query(t), TEXT, "mmr"))
+
+
 _IN_POOL = f"id IN (SELECT id FROM ({_OWN_CHUNKS}) WHERE fiscal_year = 1)"
 _POOL_FUSED = f"""SELECT coalesce(v.id, t.id) AS id, coalesce(0.7 / (60 + v.rank), 0) + coalesce((1 - 0.7) / (60 + t.rank), 0) AS score
     FROM ({_ranked(f"SELECT id, score FROM ({SCORES}) WHERE {_IN_POOL}", 15)}) v FULL JOIN ({_ranked(f"SELECT id, score FROM ({_TEXT_SCORES}) WHERE {_IN_POOL}", 15)}) t ON v.id = t.id"""
@@ -242,6 +284,28 @@ def compare_contexts(t):
     return context.crossJoin(ids)
 
 
+@query(f"SELECT coalesce(string_agg({_HEAD}, chr(10) || chr(10) ORDER BY rank), 'No comparative data found.') AS context FROM (SELECT r.*, c.chunk_text, c.ticker, c.filing_type, c.fiscal_year FROM ({_ranked(_IN_CHUNKS, 5)}) r JOIN ({_OWN_CHUNKS}) c ON c.id = r.id WHERE r.score >= ({_MIDDLE}))")
+def compare_without_years(t):
+    """One search, whose blocks above the threshold are the context."""
+    from .pipeline import Retriever
+
+    return Retriever(_chunks(t), _middle(t)).compare(_query(t), TEXT, [])[0]
+
+
+@query("SELECT 'search' AS tool, 'No relevant information found for this query.' AS context UNION ALL SELECT 'compare', 'No comparative data found.' UNION ALL SELECT 'compare years', 'No comparative data found.' WHERE (SELECT count(*) FROM embeddings WHERE label = -1) = 0")
+def tools_without_hits(t):
+    """A ticker that nobody has: the tools say so."""
+    from .pipeline import Retriever
+
+    r, q = Retriever(_chunks(t)), _query(t)
+    found = (("search", r.tool_search(q, TEXT, {"ticker": "nobody"}, {})), ("compare", r.compare(q, TEXT, [], ticker="nobody")), ("compare years", r.compare(q, TEXT, [-1, -2])))
+    out = None
+    for tool, (context, _) in found:
+        one = context.select(F.lit(tool).alias("tool"), "context")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"SELECT string_agg({_HEAD}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)[:500] AS result FROM (SELECT s.*, row_number() OVER (ORDER BY score DESC, s.id) AS rank FROM (SELECT s.id, s.score, c.chunk_text, c.ticker, c.filing_type, c.fiscal_year FROM ({SCORES}) s JOIN ({_OWN_CHUNKS}) c ON c.id = s.id WHERE c.fiscal_year = 1) s) WHERE rank <= 5")
 def tool_search(t):
     """The year is the default's, as the arguments leave it empty; the result is cut to 500 characters."""

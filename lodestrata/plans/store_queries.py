@@ -108,10 +108,11 @@ def chunks_by_filing(t):
     return t.orders.select("o_orderkey", "o_orderdate").join(lines, "o_orderkey")
 
 
-@query("SELECT l_linenumber AS chunk_index, l_quantity, l_returnflag AS section FROM lineitem WHERE l_orderkey = 7 AND l_returnflag = 'N' ORDER BY l_linenumber")
+@query("SELECT l_linenumber AS chunk_index, l_quantity, l_returnflag AS section FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem WHERE l_returnflag = 'N' AND l_linenumber = 3) AND l_returnflag = 'N' ORDER BY l_linenumber")
 def chunks_in_order(t):
     chunks = t.lineitem.select(F.col("l_orderkey").alias("filing_id"), F.col("l_linenumber").alias("chunk_index"), "l_quantity", F.col("l_returnflag").alias("section"))
-    return S.chunks_of_filing(chunks, 7, "N").drop("filing_id")
+    filing = chunks.filter("section = 'N' AND chunk_index = 3").agg(F.min("filing_id")).first()[0]
+    return S.chunks_of_filing(chunks, filing, "N").drop("filing_id")
 
 
 @query("SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS step FROM conversations")
@@ -257,16 +258,71 @@ def landing(t):
     return U.landed_pages(t.spark, path).filter("ticker = 'A_1' and fiscal_year = 2020").select(F.lit(1).cast("long").alias("k"), "file_hash")
 
 
-_REQUESTS = "(1, 'q', 'analyst', 'mmr', 5, 3), (2, '', 'poet', 'best', 0, 10), (3, NULL, NULL, NULL, NULL, NULL), (4, 'q', 'risk', 'hybrid', 20, 5), (5, 'q', 'risk', 'hybrid', 21, 0)"
+_REQUESTS = """SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN ' ' WHEN turn % 7 = 2 THEN NULL ELSE text END AS question, CASE role WHEN 'user' THEN 'analyst' WHEN 'assistant' THEN 'poet' END AS analysis_style,
+    CASE conv_id % 4 WHEN 0 THEN 'best' WHEN 1 THEN NULL WHEN 2 THEN 'mmr' ELSE 'hybrid' END AS search_type, length(text) % 25 AS most, conv_id % 8 AS years FROM conversations"""
 
 
 @query(
-    f"""SELECT id, array_to_string(list_filter([CASE WHEN coalesce(trim(question), '') = '' THEN 'question' END, CASE WHEN style NOT IN ('analyst', 'executive', 'risk') THEN 'analysis_style' END,
-    CASE WHEN search NOT IN ('similarity', 'mmr', 'hybrid') THEN 'search_type' END, CASE WHEN most NOT BETWEEN 1 AND 20 THEN 'limit' END, CASE WHEN years NOT BETWEEN 1 AND 5 THEN 'years' END], lambda x: x IS NOT NULL), ',') AS violations
-    FROM (VALUES {_REQUESTS}) v(id, question, style, search, most, years) WHERE violations <> ''"""
+    f"""SELECT * FROM (SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN coalesce(trim(question), '') = '' THEN 'question' END, CASE WHEN analysis_style NOT IN ('analyst', 'executive', 'risk') THEN 'analysis_style' END,
+    CASE WHEN search_type NOT IN ('similarity', 'mmr', 'hybrid') THEN 'search_type' END, CASE WHEN most NOT BETWEEN 1 AND 20 THEN 'limit' END, CASE WHEN years NOT BETWEEN 1 AND 5 THEN 'years' END], lambda x: x IS NOT NULL), ',') AS violations
+    FROM ({_REQUESTS})) WHERE violations <> ''"""
 )
 def request_checks(t):
+    """Turns of conversations as requests, some of whose fields are absent or not allowed."""
     from ..schemas import request_checks, validate
 
-    rows = t.spark.sql(f"SELECT * FROM VALUES {_REQUESTS} AS v(id, question, analysis_style, search_type, limit, years)")
-    return validate(rows, request_checks())[1].select("id", F.array_join("violations", ",").alias("violations"))
+    t.conversations.createOrReplaceTempView("conversations")
+    rows = t.spark.sql(_REQUESTS).withColumnRenamed("most", "limit")
+    return validate(rows, request_checks())[1].select("conv_id", "turn", F.array_join("violations", ",").alias("violations"))
+
+
+# --- the stored table with versions ---
+
+
+def _stored(t, rows, key: str, buckets: int = 16):
+    from ..operators.versioned import VersionedTable
+
+    return VersionedTable.create(rows, f"{scratch_root(t.spark)}/table-{uuid.uuid4().hex}", key, buckets)
+
+
+_MERGED = f"""SELECT coalesce(s.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN s.p_name ELSE b.p_name END AS p_name, CASE WHEN s.p_partkey IS NULL THEN b.p_size ELSE s.p_size END AS p_size,
+    CASE WHEN s.p_partkey IS NULL THEN b.p_retailprice ELSE s.p_retailprice END AS p_retailprice FROM part s FULL JOIN ({_BATCH}) b ON s.p_partkey = b.p_partkey"""
+
+
+def _changed(t):
+    """Parts after an upsert, a soft delete by size and a delete of keys: four versions."""
+    stored, batch = _parts(t)
+    table = _stored(t, stored, "p_partkey")
+    table.upsert(batch, ("p_name",))
+    table.update(F.col("p_size") < 5, p_retailprice=0.0)
+    table.delete(stored.filter("p_partkey % 10 = 3"))
+    return table
+
+
+@query(f"SELECT p_partkey, p_name, p_size, CASE WHEN p_size < 5 THEN 0 ELSE p_retailprice END AS p_retailprice FROM ({_MERGED}) WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 = 3)")
+def table_changes(t):
+    return _changed(t).read()
+
+
+@query(f"SELECT * FROM ({_MERGED})")
+def table_as_of(t):
+    """The second version, after three more changes."""
+    return _changed(t).read(1)
+
+
+@query(
+    """SELECT p.part AS kind, n FROM (SELECT 'orders' AS part, (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0) AS n UNION ALL SELECT 'lines', (SELECT count(*) FROM lineitem WHERE l_orderkey % 7 <> 0)
+    UNION ALL SELECT 'orphans', 0) p"""
+)
+def table_cascade(t):
+    """Orders go with their lines."""
+    from ..operators.versioned import cascade_delete
+
+    orders = _stored(t, t.orders.select("o_orderkey", "o_custkey"), "o_orderkey")
+    lines = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_orderkey")
+    lines = _stored(t, lines, "line")
+    cascade_delete(orders, lines, t.orders.filter("o_orderkey % 7 = 0").select("o_orderkey"), "l_orderkey")
+    left, of_left = orders.read(), lines.read()
+    orphans = of_left.join(left, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+    counted = [x.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, x in (("orders", left), ("lines", of_left), ("orphans", orphans))]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
