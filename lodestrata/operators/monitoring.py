@@ -155,19 +155,26 @@ def exposition(samples: DataFrame, name: str, kind: str, about: str, value: str,
     return head.unionByName(samples.select(sample.alias("line")))
 
 
-def sustained(windows: DataFrame, time: str, above: Column, least: int, width_seconds: int) -> DataFrame:
-    """(alert_start, alert_end, n_windows): runs of at least ``least`` adjoining windows that are above."""
+def sustained(windows: DataFrame, time: str, above: Column, least: int, width_seconds: int, *by: str) -> DataFrame:
+    """(by..., alert_start, alert_end, n_windows): runs of at least ``least`` adjoining windows that are above."""
     hot = windows.filter(above).withColumn("slot", (F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000 / width_seconds).cast("long"))
-    order = Window.partitionBy(F.lit(0)).orderBy("slot")  # one row per window of time, not per event
+    order = Window.partitionBy(*(by or (F.lit(0),))).orderBy("slot")  # one row per window of time, not per event
     runs = hot.withColumn("run", F.col("slot") - F.row_number().over(order))
-    out = runs.groupBy("run").agg(F.min(time).alias("alert_start"), F.max(time).alias("alert_end"), F.count("*").alias("n_windows"))
+    out = runs.groupBy(*by, "run").agg(F.min(time).alias("alert_start"), F.max(time).alias("alert_end"), F.count("*").alias("n_windows"))
     return out.filter(F.col("n_windows") >= least).drop("run")
 
 
-def sampled_tail(events: DataFrame, keep: Column, key: Column, percent: int = 1) -> DataFrame:
-    """Rows to keep, and of the others those whose key's MD5 falls into the share."""
-    bucket = F.conv(F.substring(F.md5(key.cast("string")), 1, 4), 16, 10).cast("long") % 100
-    return events.filter(keep | (bucket < percent))
+def sampled_tail(events: DataFrame, keep: Column, key: Column, percent: int = 1, trace: Column | None = None) -> DataFrame:
+    """Rows to keep, and of the others those whose key's MD5 falls into the share; with ``trace`` whole traces: one row to keep keeps its trace, and the share is one of traces."""
+    if trace is None:
+        return events.filter(keep | in_share(key, percent))
+    kept = events.groupBy(trace.alias("__trace")).agg(F.max(F.coalesce(keep, F.lit(False))).alias("__keep")).filter(F.col("__keep") | in_share(F.col("__trace"), percent))
+    return events.withColumn("__trace", trace).join(kept.select("__trace"), "__trace", "left_semi").drop("__trace")
+
+
+def in_share(key: Column, percent: int) -> Column:
+    """Whether a key is in the share by its MD5, the same everywhere."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 4), 16, 10).cast("long") % 100 < percent
 
 
 def over_limit(events: DataFrame, time: str, client: str, width: str, limit: int) -> DataFrame:

@@ -209,6 +209,27 @@ def alert_for_duration(t):
     return M.sustained(windows, "window_start", M.share(F.col("errors"), F.col("n")) > 0.2, 2, 3600)
 
 
+@query(
+    """WITH w AS (SELECT user_id % 10 AS shard, time_bucket(INTERVAL 1 HOUR, ts) AS s, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS r FROM events GROUP BY ALL),
+    hot AS (SELECT shard, s, epoch(s)::BIGINT // 3600 - row_number() OVER (PARTITION BY shard ORDER BY s) AS run FROM w WHERE r > 0.2)
+    SELECT shard, min(s) AS alert_start, max(s) AS alert_end, count(*) AS n_windows FROM hot GROUP BY shard, run HAVING count(*) >= 2"""
+)
+def alert_for_duration_by_key(t):
+    windows = t.events.groupBy((F.col("user_id") % 10).alias("shard"), F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.count_if(error()).alias("errors"))
+    windows = windows.withColumn("window_start", F.col("w.start"))
+    return M.sustained(windows, "window_start", M.share(F.col("errors"), F.col("n")) > 0.2, 2, 3600, "shard")
+
+
+_TRACE = "user_id::VARCHAR || '/' || strftime(ts, '%Y-%m-%d')"
+
+
+@query(f"SELECT event_id, trace FROM (SELECT *, {_TRACE} AS trace FROM events) WHERE trace IN (SELECT {_TRACE} FROM events GROUP BY ALL HAVING bool_or(event_type = 'error' AND value >= 50) OR (('0x' || substr(md5({_TRACE}), 1, 4))::BIGINT % 100) < 5)")
+def tail_sample_traces(t):
+    """A user's events of a day as a trace, which stays or goes as a whole."""
+    rows = t.events.withColumn("trace", F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")))
+    return M.sampled_tail(rows, error() & (F.col("value") >= 50), F.col("trace"), 5, F.col("trace")).select("event_id", "trace")
+
+
 @query("SELECT event_id, event_type, value FROM events WHERE event_type = 'error' OR value >= 200 OR (('0x' || substr(md5(event_id::VARCHAR), 1, 4))::BIGINT % 100) < 1")
 def tail_sample(t):
     return M.sampled_tail(t.events, error() | (F.col("value") >= 200), F.col("event_id")).select("event_id", "event_type", "value")

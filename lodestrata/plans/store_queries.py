@@ -311,18 +311,17 @@ def table_as_of(t):
 
 
 @query(
-    """SELECT p.part AS kind, n FROM (SELECT 'orders' AS part, (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0) AS n UNION ALL SELECT 'lines', (SELECT count(*) FROM lineitem WHERE l_orderkey % 7 <> 0)
-    UNION ALL SELECT 'orphans', 0) p"""
+    """SELECT 'customers' AS kind, (SELECT count(*) FROM customer WHERE c_custkey % 7 <> 0) AS n UNION ALL SELECT 'orders', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0))
+    UNION ALL SELECT 'bought', (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 7 <> 0)"""
 )
 def table_cascade(t):
-    """Orders go with their lines."""
+    """Customers go with their orders."""
     from ..operators.versioned import cascade_delete
 
+    customers = _stored(t, t.customer.select("c_custkey", "c_name"), "c_custkey")
     orders = _stored(t, t.orders.select("o_orderkey", "o_custkey"), "o_orderkey")
-    lines = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_orderkey")
-    lines = _stored(t, lines, "line")
-    cascade_delete(orders, lines, t.orders.filter("o_orderkey % 7 = 0").select("o_orderkey"), "l_orderkey")
-    left, of_left = orders.read(), lines.read()
-    orphans = of_left.join(left, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
-    counted = [x.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, x in (("orders", left), ("lines", of_left), ("orphans", orphans))]
+    cascade_delete(customers, orders, t.customer.filter("c_custkey % 7 = 0").select("c_custkey"), "o_custkey")
+    left, of_left = customers.read(), orders.read()
+    both = of_left.join(left, F.col("o_custkey") == F.col("c_custkey"))
+    counted = [x.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, x in (("customers", left), ("orders", of_left), ("bought", both))]
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
