@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import monitoring as M
+from ..operators import rules as P
 from ..operators import store as S
 from .registry import query
 
@@ -220,6 +221,65 @@ def alert_for_duration_by_key(t):
     return M.sustained(windows, "window_start", M.share(F.col("errors"), F.col("n")) > 0.2, 2, 3600, "shard")
 
 
+def _series(shares: str, step: int, key: str = "0") -> str:
+    """Shares at every instant of a grid by a range join."""
+    return f"""WITH e AS (SELECT *, {key} AS series FROM events), b AS (SELECT series, min(ceil(epoch_us(ts) / {step}000000.0)::BIGINT) AS a, (SELECT max(ceil(epoch_us(ts) / {step}000000.0)::BIGINT) FROM events) AS z FROM e GROUP BY series),
+    g AS (SELECT series, make_timestamp(unnest(range(a, z + 1)) * {step}000000) AS moment FROM b)
+    SELECT g.series, g.moment, {shares} FROM g LEFT JOIN e ON e.series = g.series AND e.ts <= g.moment AND e.ts > g.moment - INTERVAL 72 HOUR GROUP BY ALL"""
+
+
+_ERRORS = ", ".join(f"coalesce(count(*) FILTER (ts > moment - INTERVAL {h} HOUR AND event_type = 'error') / nullif(count(*) FILTER (ts > moment - INTERVAL {h} HOUR), 0)::DOUBLE, 0) AS err_{h}h" for h in _HOURS)
+
+
+@query(
+    f"""SELECT moment, {_ROUNDED}, err_1h > 14.4 * 0.005 AND err_6h > 14.4 * 0.005 AS fast_burn, err_6h > 6 * 0.005 AND err_24h > 6 * 0.005 AS slow_burn,
+    (err_1h > 14.4 * 0.005 AND err_6h > 14.4 * 0.005) OR (err_6h > 6 * 0.005 AND err_24h > 6 * 0.005) AS burning,
+    round(1 - err_72h / 0.005, 6) AS budget_left, 1 - err_72h / 0.005 < 0.1 AS budget_low, 1 - err_72h / 0.005 <= 0 AS budget_gone, round(err_72h * 30 / 0.005 * 100, 4) AS consumed_percent FROM ({_series(_ERRORS, 1800)})"""
+)
+def rule_series(t):
+    """The service level's rules at every half hour, not only at the latest event."""
+    out = _round(P.availability_series(t.events, "ts", error(), 1800))
+    return out.withColumn("budget_left", F.round("budget_left", 6)).withColumn("consumed_percent", F.round("consumed_percent", 4))
+
+
+_WITHIN = ", ".join(f"count(*) FILTER (ts > moment - INTERVAL {m} MINUTE AND value <= 60) / nullif(count(*) FILTER (ts > moment - INTERVAL {m} MINUTE), 0)::DOUBLE AS within_{m}m" for m in (30, 360))
+
+
+@query(f"SELECT series AS shard, moment, round(within_30m, 6) AS within_30m, round(within_360m, 6) AS within_360m FROM ({_series(_WITHIN, 1800, 'user_id % 4')})")
+def latency_series(t):
+    """Per shard; null where nothing was asked."""
+    rows = t.events.withColumn("shard", F.col("user_id") % 4)
+    out = P.share_series(rows, "ts", F.col("value") <= 60, (30, 360), 1800, by=("shard",))
+    return out.select("shard", "moment", F.round("within_30m", 6).alias("within_30m"), F.round("within_360m", 6).alias("within_360m"))
+
+
+@query(
+    f"""SELECT moment, round(err_1h, 6) AS err_1h, err_1h > 0.2 AS pending, bool_and(err_1h > 0.2) OVER w AND count(*) OVER w = 3 AS firing FROM ({_series(_ERRORS, 1800)})
+    WINDOW w AS (ORDER BY moment RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)"""
+)
+def alert_series(t):
+    """An alert that must hold for an hour: pending and firing at every half hour."""
+    rates = P.error_series(t.events, "ts", error(), (1,), 1800)
+    return P.holding_series(rates, F.col("err_1h") > 0.2, 3600, 1800).withColumn("err_1h", F.round("err_1h", 6))
+
+
+@query(
+    """WITH s AS (SELECT user_id % 4 AS pod, ts, epoch_us(ts) / 1e6 AS s, (event_id % 50)::DOUBLE AS v FROM events),
+    d AS (SELECT *, lag(v) OVER (PARTITION BY pod ORDER BY ts, v) AS p FROM s),
+    b AS (SELECT min(ceil(s / 3600)::BIGINT) AS a, max(ceil(s / 3600)::BIGINT) AS z FROM s),
+    g AS (SELECT unnest(range(a, z + 1)) * 3600 AS moment FROM b),
+    w AS (SELECT d.pod, g.moment, d.s, d.v, CASE WHEN row_number() OVER (PARTITION BY d.pod, g.moment ORDER BY d.s, d.v) = 1 THEN 0 WHEN d.v >= d.p THEN d.v - d.p ELSE d.v END AS rise FROM d JOIN g ON d.s <= g.moment AND d.s > g.moment - 21600),
+    x AS (SELECT pod, moment, count(*) AS n, min(s) AS f, max(s) AS l, arg_min(v, (s, v)) AS fv, sum(rise) AS rise FROM w GROUP BY ALL HAVING count(*) >= 2 AND max(s) > min(s)),
+    y AS (SELECT *, l - f AS span, (l - f) / (n - 1) AS mean, f - (moment - 21600) AS ds, moment - l AS de FROM x),
+    z AS (SELECT *, CASE WHEN ds >= 1.1 * mean THEN mean / 2 ELSE ds END AS es, CASE WHEN de >= 1.1 * mean THEN mean / 2 ELSE de END AS ee FROM y)
+    SELECT pod, make_timestamp(moment * 1000000) AS moment, round(rise * (span + least(es, CASE WHEN rise > 0 AND fv >= 0 THEN span * fv / rise ELSE es END) + ee) / span, 4) AS increase FROM z"""
+)
+def counter_series(t):
+    """What counters that restart rose in six hours, at every hour."""
+    counters = t.events.select((F.col("user_id") % 4).alias("pod"), "ts", (F.col("event_id") % 50).alias("v"))
+    return P.rate_series(counters, "ts", "v", 21600, 3600, ("pod",)).select("pod", "moment", F.round("increase", 4).alias("increase"))
+
+
 _TRACE = "user_id::VARCHAR || '/' || strftime(ts, '%Y-%m-%d')"
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.monitoring import sustained
 from ..operators.store import content_hash
 
 
@@ -37,22 +36,6 @@ def over_limit(events: DataFrame, client: str, width: str, limit: int, time: str
     return out.select(F.col("w.start").alias("window_start"), client, "n")
 
 
-def watch(windows: DataFrame, folder: str, above: Column, least: int, width_seconds: int, checkpoint: str) -> None:
-    """Takes all closed windows of a stream (window_start, ...) that are there and keeps alerts of those that are above for ``least`` in a row.
-
-    Windows are added under folder/windows, alerts (alert_start, alert_end, n_windows) of
-    all windows so far stand under folder/alerts-<batch>.  A window is one row per stretch
-    of time, whatever the number of events, and a batch that is done again counts once.
-    """
-
-    def batch(rows: DataFrame, number: int) -> None:
-        rows.write.mode("append").parquet(f"{folder}/windows")
-        known = rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/windows").dropDuplicates(["window_start"])
-        sustained(known, "window_start", above, least, width_seconds).write.mode("overwrite").parquet(f"{folder}/alerts-{number}")
-
-    windows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-
-
 def new_documents(docs: DataFrame, text: str, time: str | None = None) -> DataFrame:
     """Documents whose content the stream hasn't had; with a watermark only as long as that reaches, so that the state stays bounded."""
     hashed = docs.withColumn("file_hash", content_hash(F.col(text)))

@@ -14,6 +14,7 @@ from lodestrata.operators import store as S
 from lodestrata.plans.pipeline import NO_ANSWER, RAW_ANSWER, Retriever, chunks_of, filings_to_chunks
 from lodestrata.sources import submissions
 from lodestrata.streaming import events as E
+from lodestrata.streaming.keyed import alerts
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -63,13 +64,13 @@ def test_stream_alert_needs_windows_in_a_row(spark, tmp_path):
         spark.createDataFrame(rows, "t string, event_type string").select(F.col("t").cast("timestamp").alias("ts"), "event_type").coalesce(1).write.mode("append").parquet(folder)
 
     source, schema = str(tmp_path / "in"), "ts timestamp, event_type string"
-    for n, part in enumerate(([(0, 9), (1, 1), (2, 8)], [(3, 9), (4, 9), (5, 0), (6, 9), (8, 0)], [(12, 0)])):
+    for part in ([(0, 9), (1, 1), (2, 8)], [(3, 9), (4, 9), (5, 0), (6, 9), (8, 0)], [(12, 0)]):
         hours(source, *part)
-        live = E.window_error_rates(E.timed(E.read(spark, source, schema), late="1 minute"), F.col("event_type") == "error", "1 hour")
-        E.watch(live, str(tmp_path / "out"), F.col("errors") > 0.5 * F.col("n"), 2, 3600, str(tmp_path / "check"))
-    last = max((tmp_path / "out").glob("alerts-*"), key=lambda f: int(f.name.split("-")[1]))
-    got = spark.read.parquet(str(last)).collect()
-    assert [(r.alert_start.hour, r.alert_end.hour, r.n_windows) for r in got] == [(2, 4, 3)]
+        live = alerts(E.timed(E.read(spark, source, schema), late="1 minute"), F.lit("all"), F.col("event_type") == "error", 0.5, 2, 3600)
+        E.run_available(live, str(tmp_path / "out"), str(tmp_path / "check"))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.alert_start.hour, r.alert_end.hour, r.n_windows) for r in got if r.state == "resolved"] == [(2, 4, 3)]
+    assert [(r.alert_start.hour, r.alert_end.hour) for r in got if r.state == "firing"] == [(2, 3)]
 
 
 def test_filings_of_submissions(spark):
