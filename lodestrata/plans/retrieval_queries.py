@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graph_index as G
 from ..operators import retrieval as R
 from ..operators import vector_index as V
 from ..session import prepared_path
@@ -61,11 +62,43 @@ def cosine_topk(t):
 @query(f"SELECT id, rank, round(score, 6) AS score FROM ({_ranked(SCORES, 5)})")
 def cell_topk(t):
     """From the table by cells, made once, as at ingest; all cells are probed, so that the rows are the exact ones."""
-    rows = t.embeddings.select("vec_id", "embedding")
-    index, cells = V.open_index(t.spark, prepared_path("cells", rows, lambda df, path: V.write_index(df, V.Cells.fit(df, id_col="vec_id"), path)))
+    index, cells = _cells(t)
     return _rounded(V.search(index.filter("vec_id <> 0"), cells, _query(t), 5, len(cells.centres), "vec_id"))
 
 
+def _cells(t):
+    rows = t.embeddings.select("vec_id", "embedding")
+    return V.open_index(t.spark, prepared_path("cells", rows, lambda df, path: V.write_index(df, V.Cells.fit(df, id_col="vec_id"), path)))
+
+
+def _graphs(t):
+    """The graphs of all vectors but the query's, made once, as at ingest."""
+    rows = t.embeddings.filter("vec_id <> 0").select("vec_id", "embedding")
+    return G.open_graphs(t.spark, prepared_path("graphs", rows, lambda df, path: G.write_graphs(df, path, id_col="vec_id")))
+
+
+@query(f"SELECT id, rank, round(score, 6) AS score FROM ({_ranked(SCORES, 5)})")
+def graph_topk(t):
+    """By layered graphs: a search that compares a part of the vectors, here with the exact rows."""
+    return _rounded(G.search(_graphs(t), _query(t), 5))
+
+
+def _asked_vectors(t):
+    """Vectors whose ids are divisible by 50, as queries: at most as many as a search takes."""
+    return [r[0] for r in t.embeddings.filter("vec_id % 50 = 0").orderBy("vec_id").limit(G.QUERIES).select("embedding").collect()]
+
+
+@query()
+def index_recall(t):
+    """Of both approximate indexes: the share of the five nearest that they find by default, over some of the vectors whose ids are divisible by 50."""
+    queries, rows = _asked_vectors(t)[:20], t.embeddings.filter("vec_id <> 0")
+    index, cells = _cells(t)
+    graph, compared = G.recall(_graphs(t), rows, queries, id_col="vec_id")
+    by_cells = V.recall(index.filter("vec_id <> 0"), cells, queries, id_col="vec_id")
+    found = [("graphs", graph, compared), ("cells", by_cells, cells.probes / len(cells.centres))]
+    return t.spark.createDataFrame(found, "kind string, recall double, compared double")
+
+
 @query(f"SELECT id, rank, round(score, 6) AS score FROM ({_ranked(SCORES + ' AND e.label = 1', 5)})")
 def filtered_topk(t):
     return _rounded(R.cosine_topk(R.where(_candidates(t), label=1), _query(t), 5, "vec_id"))
