@@ -4,7 +4,7 @@ Documents are tokenised where they are read; only their pieces' lengths and
 checksums travel.  A document longer than a sequence fills whole sequences first;
 what is left of it is packed first-fit decreasing, with a tournament tree over the
 bins' free space, in randomised groups of bounded size: pieces are dealt to
-partitions by a hash, ordered by it there, and taken ``group`` at a time, so a
+partitions by a hash of row number and place, ordered by it there, and taken ``group`` at a time, so a
 task's memory does not depend on how many documents there are or share a key.
 
 Ids are those of the file's own library with its defaults, so a string of an added
@@ -29,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import RID, identify
+
 #: Fixed value: how byte-level BPE of this family splits text before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Texts of other characters go to the reference tokenizer: libraries may class rare ones differently.
 _PLAIN = re.compile("[^\\n\\r\\t\\x20-\\x7e¡-¬®-ɏ‐-‧€]")
 
+#: What a piece is known by; the row number is the documents' own.
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -84,18 +87,18 @@ def _tokenise(path: str, length: int, close: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            out: list[list] = [[] for _ in range(5 + with_ids)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out: list[list] = [[] for _ in range(6 + with_ids)]
+            for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids = array("I", encode(text.as_py() or ""))
                 ids.append(close)
                 view = memoryview(ids)
                 for a in range(0, len(ids), length):
                     part = view[a : a + length]
-                    row = [doc, a, len(part), zlib.crc32(part), len(ids)]
+                    row = [rid, doc, a, len(part), zlib.crc32(part), len(ids)]
                     for c, v in zip(out, row + [part.tolist()] * with_ids, strict=True):
                         c.append(v)
-            arrays = [pa.array(c, pa.int64()) for c in out[:5]] + [pa.array(c, pa.list_(pa.int32())) for c in out[5:]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids])
+            arrays = [pa.array(c, pa.int64()) for c in out[:6]] + [pa.array(c, pa.list_(pa.int32())) for c in out[6:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[RID, "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 6 + with_ids])
 
     return run
 
@@ -153,7 +156,7 @@ def _pack(capacity: int, group: int):
 
         have, rows = [], 0
         for batch in batches:
-            batch = batch.drop_columns(["deal"])
+            batch = batch.drop_columns(["deal", RID])
             while rows + len(batch) >= group:
                 cut = group - rows
                 have.append(batch.slice(0, cut))
@@ -175,9 +178,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, close: int = 1,
     after each document; group: pieces that are packed together.
     """
     schema = PIECES + ", ids array<int>" * with_ids
-    pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_tokenise(tokenizer, capacity, close, with_ids), schema)
-    dealt = pieces.withColumn("deal", F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed))).repartition("deal")
-    ordered = dealt.sortWithinPartitions("deal", "doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    pieces = identify(docs, id_col, text_col).mapInArrow(_tokenise(tokenizer, capacity, close, with_ids), f"{RID} long, " + schema)
+    # the row number tells equal rows apart, so that they too are dealt to all partitions
+    dealt = pieces.withColumn("deal", F.xxhash64(RID, "start", "ids_crc32", F.lit(seed))).repartition("deal")
+    ordered = dealt.sortWithinPartitions("deal", RID, "start")
     return ordered.mapInArrow(_pack(capacity, group), schema + ", sequence_id long, offset long")
 
 

@@ -37,7 +37,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
@@ -389,16 +389,17 @@ def repeated_spans(docs: DataFrame, span: int = 50, gram: int = 25) -> DataFrame
         segments = attach(docs.select(RID, "text"), reps, how="inner", broadcast=False).mapInArrow(_segments(spec), BLOB)
         columns = scratch(spark, "bwt")
         try:
-            second = spill(segments.groupBy("bucket").applyInArrow(_transform(spec, n, reachable(columns)), KINDED), "suffix-second")
+            second = spill(segments.groupBy("bucket").applyInArrow(_transform(spec, n, reachable(spark, columns)), KINDED), "suffix-second")
         finally:
             remove(spark, columns)
         return spill(per_document(only(first, 0).unionByName(second)), "suffix-spans", keep=True)
 
 
-def reachable(path: str) -> str | None:
-    """The shared folder as Python sees it, if it does: a mounted one."""
+def reachable(spark: SparkSession, path: str) -> str | None:
+    """The shared folder as Python sees it, if it does: a mounted one.  A path without a scheme is where the default file system is."""
     place = urlsplit(path)
-    return place.path if place.scheme in ("", "file") else None
+    scheme = place.scheme or urlsplit(spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")).scheme
+    return place.path if scheme == "file" else None
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -150,10 +150,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, features: int
     rows = numbered(docs, id_col, text_col)
     with temporary(docs.sparkSession):
         known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("grade")).filter("id is not null and grade is not null")
-        known = known.groupBy("id").agg(F.max("grade").alias("grade")).withColumn("order", F.xxhash64("id"))
-        sample = known.filter("grade = 0").orderBy("order", "id").limit(per_class).unionByName(known.filter("grade > 0").orderBy("order", "id").limit(per_class))
-        sample = spill(sample.select("id", "grade", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int").alias("half")), "label-sample")  # at most 2 * per_class rows of three numbers: broadcast
-        texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("grade", "half", "text")
+        known = known.groupBy("id").agg(F.max("grade").alias("grade"))
+        drawn = lambda df, key: df.filter("grade = 0").orderBy(F.xxhash64(key), key).limit(per_class).unionByName(df.filter("grade > 0").orderBy(F.xxhash64(key), key).limit(per_class))
+        half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+        ids = spill(drawn(known, "id").select("id", "grade", half), "label-sample")  # at most 2 * per_class rows of three numbers: broadcast
+        # an id may have any number of rows, so rows are drawn from those of the ids, again at most 2 * per_class
+        labelled = rows.select(RID, F.col(id_col).cast("long").alias("id")).join(F.broadcast(ids), "id").drop("id")
+        sample = spill(drawn(labelled, RID), "row-sample")
+        texts = rows.select(RID, F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), RID).select("grade", "half", "text")
         found = spill(texts.mapInArrow(_sample_features, "grade int, half int, features binary"), "sample-features")
         return _fitted(found, features, least, least_chi, lift, graded)
 
