@@ -177,3 +177,85 @@ def sampled_traces(events: DataFrame, trace: Column, keep: Column, percent: int
     kept = _with_state(rows.groupBy("shard"), events.sparkSession, _Tracing(percent, wait_seconds * 1000, remember_seconds * 1000, most_open), "event string")
     parsed = F.from_json("event", json.dumps(json.loads(events.schema.json())), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
     return kept.select(parsed.alias("e")).select("e.*")
+
+
+class _Caching(StatefulProcessor):
+    """Entries of a shard of a cache, each with the time it ends."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entries = handle.getMapState("entries", "name string", "value string, until long")
+
+    def _set(self, name: str, value: str, until: int) -> None:
+        self.entries.updateValue((name,), (value, until))
+        self.handle.registerTimer(until)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        events = pd.concat(list(rows)).sort_values(["at_ms", "nth"], kind="stable")
+        for at, op, name, value, seconds in zip(events["at_ms"].tolist(), events["op"], events["key"], events["value"], events["ttl"], strict=True):
+            until = at + (self.ttl if pd.isna(seconds) else int(seconds) * 1000)
+            if op == "clear":
+                for (n,), entry in list(self.entries.iterator()):
+                    if n.startswith(f"{name}:"):
+                        self.entries.removeKey((n,))
+                        out.append((n, "cleared" if entry[1] > at else "expired", entry[0], at if entry[1] > at else entry[1]))
+                continue
+            have = self.entries.getValue((name,)) if self.entries.containsKey((name,)) else None
+            if have and have[1] <= at:  # over before this event
+                self.entries.removeKey((name,))
+                out.append((name, "expired", have[0], have[1]))
+                have = None
+            if op == "set":
+                self._set(name, value, until)
+                out.append((name, "set", value, at))
+            elif op == "touch" and have:
+                self._set(name, have[0], until)
+                out.append((name, "touched", have[0], at))
+            elif op == "delete" and have:
+                self.entries.removeKey((name,))
+                out.append((name, "deleted", have[0], at))
+        if out:
+            yield self._frame(out)
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["key", "state", "value", "at"])
+        return out.assign(at=pd.to_datetime(out["at"], unit="ms"))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        for (name,), (value, until) in list(self.entries.iterator()):
+            if until <= now:
+                self.entries.removeKey((name,))
+                out.append((name, "expired", value, until))
+        if out:
+            yield self._frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def cached(changes: DataFrame, ttl_seconds: int = 3600, shards: int = 16, time: str = "ts", order: str | None = None) -> DataFrame:
+    """(key, state, value, at) of a stream of a cache's changes (op, key, value, ttl) with a watermark: ``set``, ``touched``, ``deleted``, ``cleared`` and, at its event time, ``expired``.
+
+    op: set; touch (a live entry lives ``ttl`` seconds from then on); delete; clear (of a
+    namespace, whose entries are called ``<key>:...``).  A null ttl is ttl_seconds.
+    Changes of a batch are taken by time, then ``order``; later batches come after.  Live
+    entries are the state ``entries``, which live() reads from a checkpoint.  Null keys
+    are left out.
+    """
+    of = F.when(F.col("op") == "clear", F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")))
+    nth = (F.col(order) if order else F.lit(0)).cast("long")
+    rows = changes.filter(F.col("key").isNotNull()).select(F.explode(of).alias("shard"), F.col(time), F.unix_millis(F.col(time).cast("timestamp")).alias("at_ms"), nth.alias("nth"), "op", "key", "value", F.col("ttl").cast("double").alias("ttl"))
+    return _with_state(rows.groupBy("shard"), changes.sparkSession, _Caching(ttl_seconds * 1000), "key string, state string, value string, at timestamp_ntz")
+
+
+def live(spark, checkpoint: str) -> DataFrame:
+    """(key, value, expires_at) of the entries that a cached() stream holds, read from its checkpoint."""
+    state = spark.read.format("statestore").option("stateVarName", "entries").load(checkpoint)
+    entry = state.select(F.col("user_map_key.name").alias("key"), F.col("user_map_value.value").alias("value"), F.col("user_map_value.until").alias("until"))
+    return entry.select("key", "value", F.timestamp_millis("until").cast("timestamp_ntz").alias("expires_at"))
