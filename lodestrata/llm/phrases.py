@@ -88,7 +88,7 @@ class SuffixAutomaton:
             heads = np.flatnonzero(longest)
             shortest, at, n = np.full(len(heads), k), heads, level.places[heads]
             for j in range(k - 1, 0, -1):
-                at = self.levels[j].link[at]
+                at = np.where(at >= 0, self.levels[j].link[at], -1)  # where the chain has ended it stays so
                 same = (at >= 0) & (self.levels[j - 1].places[at] == n)
                 at = np.where(same, at, -1)
                 shortest[same] = j
