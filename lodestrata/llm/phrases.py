@@ -40,7 +40,7 @@ from .common import bound_batches, buckets_for, payload_batch, spill, split_by,
 BREAK = ~ts.byte_class(".,;:!?\n\v\f\r")
 WORD = ts.byte_class(".,;:!?\n\v\f\r \t")
 #: Words of a shard.
-SHARD = 1_500_000
+SHARD = 600_000
 
 
 @dataclass
