@@ -40,7 +40,7 @@ from .common import bound_batches, buckets_for, payload_batch, spill, split_by,
 BREAK = ~ts.byte_class(".,;:!?\n\v\f\r")
 WORD = ts.byte_class(".,;:!?\n\v\f\r \t")
 #: Words of a shard.
-SHARD = 600_000
+SHARD = 300_000
 
 
 @dataclass
@@ -188,7 +188,7 @@ def frequent(docs: DataFrame, least: int = 10, depth: int = 3, text_col: str = "
     """(lang, phrase, size, n) of the phrases of at most ``depth`` words with at least ``least`` places; size 0: all words of the language."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    n_buckets = buckets_for(text_bytes(rows), least=24)
+    n_buckets = buckets_for(text_bytes(rows), each=4 << 20, least=24)
     blobs = rows.mapInArrow(_shard_blobs(depth, n_buckets, shard), "bucket long, payload binary")
     return blobs.groupBy("bucket").applyInArrow(_reduced(least), "lang string, phrase string, size int, n long")
 
