@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import layout as L
 from ..operators import store as S
-from ..session import scratch_root
+from ..session import prepared_path, scratch_root
 from ..sources import submissions as U
 from .registry import query
 
@@ -115,6 +116,39 @@ def chunks_in_order(t):
     return S.chunks_of_filing(chunks, filing, "N").drop("filing_id")
 
 
+def _laid_out(t):
+    """Orders as filings and their lines as chunks, laid out together once per version of the files."""
+    chunks = t.lineitem.select(F.col("l_orderkey").alias("filing_id"), F.col("l_linenumber").alias("chunk_index"), "l_quantity", F.col("l_returnflag").alias("section"))
+    filings = t.orders.select(F.col("o_orderkey").alias("filing_id"), "o_custkey", "o_orderstatus")
+    n = L.buckets_for(chunks)
+
+    def table(kind, rows, order):
+        def write(source, path):
+            L.lay_out(source, path.rsplit("/", 1)[1].replace("-", "_"), path, "filing_id", order, n)
+
+        return t.spark.table(prepared_path(f"{kind}-by-filing-{n}", rows, write).rsplit("/", 1)[1].replace("-", "_"))
+
+    return table("filings", filings, ()), table("chunks", chunks, ("chunk_index",))
+
+
+@query(
+    """SELECT o_orderkey AS filing_id, o_custkey, count(*) AS n_chunks, sum(l_quantity)::DOUBLE AS quantity, min(l_linenumber) AS first_chunk FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+    WHERE o_orderstatus = 'F' GROUP BY ALL"""
+)
+def filings_with_chunks(t):
+    """A parent-child join and aggregation in which nothing is exchanged."""
+    filings, chunks = _laid_out(t)
+    both = L.together(filings.filter("o_orderstatus = 'F'"), chunks, "filing_id")
+    return both.groupBy("filing_id", "o_custkey").agg(F.count("*").alias("n_chunks"), F.sum("l_quantity").cast("double").alias("quantity"), F.min("chunk_index").alias("first_chunk"))
+
+
+@query("SELECT l_linenumber AS chunk_index, l_quantity, l_returnflag AS section FROM lineitem WHERE l_orderkey = (SELECT max(l_orderkey) FROM lineitem WHERE l_linenumber = 5) ORDER BY l_linenumber")
+def laid_out_chunks_in_order(t):
+    _, chunks = _laid_out(t)
+    filing = chunks.filter("chunk_index = 5").agg(F.max("filing_id")).first()[0]
+    return L.rows_of(chunks, "filing_id", filing, ["chunk_index"]).drop("filing_id")
+
+
 @query("SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS step FROM conversations")
 def session_history(t):
     from pyspark.sql import Window
