@@ -91,6 +91,11 @@ def section_detect(t):
     return H.sections(_reports(t), "doc_id", "text")
 
 
+@query(f"SELECT r.doc_id, s.section_text AS risks FROM (SELECT DISTINCT doc_id FROM ({_SECTIONS})) r LEFT JOIN ({_SECTIONS}) s ON s.doc_id = r.doc_id AND s.name = 'Risk Factors'")
+def section_by_name(t):
+    return H.section_arrays(_reports(t), "text").select("doc_id", H.section_text(F.col("sections"), "Risk Factors").alias("risks"))
+
+
 @query(f"SELECT name, count(*) AS n, sum(length(section_text))::BIGINT AS n_chars, max(length(section_text)) AS longest FROM ({_SECTIONS}) GROUP BY name")
 def section_stats(t):
     n = F.length("section_text").cast("long")
@@ -137,12 +142,63 @@ def chunk_tokens(t):
     return chunked(t.documents, "doc_id", "text")
 
 
-@query()
+def _tidy_sql(text: str) -> str:
+    """Single blanks, stripped lines, at most two blank ones in a row: the white space of these tables is blanks and newlines."""
+    out = f"regexp_replace({text}, ' +', ' ', 'g')"
+    out = f"regexp_replace({out}, ' ?\\n ?', chr(10), 'g')"
+    out = "regexp_replace(" + out + ", '\\n{4,}', repeat(chr(10), 3), 'g')"
+    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _html_sql() -> str:
+    """Well-formed pages as the table has them: what has no readable text goes with all it holds, other elements end text nodes."""
+    out = "regexp_replace(html, '^.*?(<html)', '\\1', 'is')"
+    for tag in ("head", "script", "style", "noscript", "svg", "figure"):
+        out = f"regexp_replace({out}, '<{tag}\\b.*?</{tag}\\s*>', '<>', 'gis')"
+    out = f"regexp_replace({out}, '<!--.*?-->', '<>', 'gs')"
+    out = f"regexp_replace({out}, '(<[^>]*>)+', chr(10), 'g')"
+    out = f"regexp_replace({out}, '^\\n|\\n$', '', 'g')"  # before the first and after the last element there is no node
+    for name, char in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{char}')"
+    return f"SELECT page_id, {_boilerplate_sql().replace('regexp_replace(text,', f'regexp_replace({_tidy_sql(out)},', 1)} AS text FROM pages"
+
+
+_HTML = _html_sql()
+
+
+def _clean_sql() -> str:
+    """Composition suffices here, as no text of the table has characters that are only compatible with others."""
+    out = "nfc_normalize(text)"
+    for pattern in X.NOISE:
+        out = f"regexp_replace({out}, '{pattern}', ' ', 'g')"
+    return f"SELECT doc_id, {_tidy_sql(out)} AS text FROM documents"
+
+
+#: CRC-32 with its table made by eight halvings a byte (reversed polynomial), per distinct word; then signed counts and their length.
+_EMBED = """WITH t AS (SELECT list(list_reduce(list_concat([b::UBIGINT], range(8)::UBIGINT[]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tab FROM range(256) r(b)),
+    w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents),
+    c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL),
+    x AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM c)),
+    y AS (SELECT word, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT) AS bytes FROM x),
+    z AS (SELECT word, xor(list_reduce(list_concat([4294967295::UBIGINT], bytes), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255)::BIGINT + 1])), 4294967295) AS crc FROM y, t),
+    v AS (SELECT doc_id, (crc % 64)::BIGINT AS pos, sum(CASE WHEN crc // 64 % 2 = 1 THEN n ELSE -n END)::DOUBLE AS value FROM c JOIN z USING (word) GROUP BY ALL),
+    l AS (SELECT doc_id, sqrt(sum(value * value)) AS size FROM v GROUP BY doc_id),
+    g AS (SELECT d.doc_id, r.pos FROM documents d, range(64) r(pos))
+    SELECT g.doc_id, list(CASE WHEN coalesce(size, 0) = 0 THEN 0 ELSE coalesce(value, 0) / size END::FLOAT ORDER BY g.pos) AS embedding FROM g LEFT JOIN v USING (doc_id, pos) LEFT JOIN l USING (doc_id) GROUP BY g.doc_id"""
+
+
+@query(_HTML)
 def html_text(t):
     return t.pages.select("page_id", H.html_text(F.col("html")).alias("text"))
 
 
-@query()
+def _page_sections_sql() -> str:
+    start = _SECTIONS.index("FROM (SELECT doc_id, text FROM documents")
+    end = _SECTIONS.index("v(doc_id, text))", start) + len("v(doc_id, text))")
+    return (_SECTIONS[:start] + f"FROM ({_HTML})" + _SECTIONS[end:]).replace("doc_id", "page_id")
+
+
+@query(_page_sections_sql())
 def page_sections(t):
     return H.sections(t.pages.select("page_id", H.html_text(F.col("html")).alias("text")), "page_id", "text")
 
@@ -164,12 +220,12 @@ def filing_chunks(t):
     return chunks_of(filings).select("filing_id", "section", "chunk_index", "token_count", "chunk_text", "ticker")
 
 
-@query()
+@query(_clean_sql())
 def clean_text(t):
     return t.documents.select("doc_id", X.clean(F.col("text")).alias("text"))
 
 
-@query()
+@query(_EMBED)
 def embed_hash(t):
     from ..functions.embedding import hash_embedding
 
