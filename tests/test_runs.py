@@ -43,9 +43,10 @@ def test_a_run_over_its_cap_stops_and_the_next_goes_on(spark, tmp_path):
         return lambda run: run_available(read(spark, source, "id long", 1).mapInPandas(wait, "id long"), sink, state)
 
     began = time.time()
-    assert runs.scheduled(spark, folder, slow(2), cap=5, patience=20, beat=1) == "stopped"
-    assert time.time() - began < 11
-    assert spark.read.parquet(sink).count() < 60
+    assert runs.scheduled(spark, folder, slow(8), cap=10, patience=20, beat=1) == "stopped"
+    assert time.time() - began < 40  # six batches of eight seconds aren't waited for
+    written = spark.read.schema("id long").parquet(sink).count() if (tmp_path / "out").exists() else 0  # on a slow machine, perhaps no batch was done by then
+    assert written < 60
     assert runs.scheduled(spark, folder, slow(0), cap=100) == "done"
     assert sorted(r.id for r in spark.read.parquet(sink).collect()) == list(range(60))
     assert [r.state for r in runs.history(spark, folder).orderBy("number").collect()] == ["stopped", "done"]
