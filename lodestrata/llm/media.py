@@ -10,11 +10,11 @@ both), and the prediction that most corners follow is fitted again to them: an i
 is a copy if enough different corners of both agree on one turn, scale and place.
 Edits of brightness and contrast leave the tests alone.
 
-Images are binary graymaps (P5).  Equal images (by 60 bits of SHA-256) form one class; classes
+Images are binary graymaps (P5).  Equal images (by SHA-256) form one class; classes
 are searched, and a match names its smallest id and how many there are, so copies
-are not expanded into pairs.  The queries' corners are broadcast in blocks of bounded
-size, and every block meets the index where its images are read: nothing but found
-copies travels, whatever the sizes.
+are not expanded into pairs.  The index is described once, its corners are written
+packed; the queries' corners meet them in blocks of bounded size, one after the other:
+the driver holds one block at a time, and nothing but blocks and found copies travels.
 
 Null, unreadable and too small images have no corners and match nothing; rows that
 repeat an id or have none take part like others (a null id is never a match's
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cuts, spill
+from .common import cuts, pack, remove, scratch, spill, split_by, temporary, unpack
 
 #: Corners per scale in each AREA pixels of the full image, the scales' ratio, patch radius, bits, and how many bits may differ.
 CORNERS, AREA, RATIO, RADIUS, BITS, FAR = (64, 40, 24, 16), 4096, 0.8, 8, 256, 36
@@ -49,8 +49,10 @@ DENSE, TOGETHER = 4096, 1 << 17
 LOOSE = (8.0, 0.5, 1)
 SPOT = 4
 
-POINTS = "cls long, x double, y double, angle double, scale int, descriptor binary"
-FOUND = "q_cls long, cls long, votes long, dx double, dy double"
+POINTS = "digest binary, n long, corners binary"
+FOUND = "q_digest binary, digest binary, votes long, dx double, dy double"
+#: A packed corner: x, y, angle, scale, descriptor.
+_CORNER = ("f8", "f8", "f8", "i1", f"V{BITS // 8}")
 
 
 def graymap(pixels: np.ndarray) -> bytes:
@@ -137,43 +139,56 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
-    """Classes and corners of (cls, image) batches; a batch's equal images once."""
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, tuple[np.ndarray, ...]]]:
+    """Digests of some images of (digest, image) batches, and corners with the image's number among them; a batch's equal images once."""
     for batch in batches:
         images = dict(zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
-        groups: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-        for cls, data in images.items():
+        groups: dict[tuple[int, int], list[tuple[bytes, np.ndarray]]] = {}
+        for digest, data in images.items():
             pixels = read_graymap(data.as_py())
             if pixels is not None:
-                groups.setdefault(pixels.shape, []).append((cls, pixels))
+                groups.setdefault(pixels.shape, []).append((digest, pixels))
         for shape, members in groups.items():
             step = max(1, (1 << 18) // (shape[0] * shape[1]))
             for a in range(0, len(members), step):
                 part = members[a : a + step]
                 image, *corners = describe(np.stack([p for _, p in part]))
                 if len(image):
-                    yield np.array([c for c, _ in part], np.int64)[image], tuple(corners)
+                    yield [d for d, _ in part], image, tuple(corners)
 
 
-def _together(described: Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
-    """The same in larger portions."""
-    have, rows = [], 0
-    for cls, corners in described:
-        have.append((cls, *corners))
-        rows += len(cls)
-        if rows >= TOGETHER:
-            cls, *corners = (np.concatenate(c) for c in zip(*have, strict=True))
-            yield cls, tuple(corners)
-            have, rows = [], 0
-    if have:
-        cls, *corners = (np.concatenate(c) for c in zip(*have, strict=True))
-        yield cls, tuple(corners)
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (digest, image): packed corners, a row per image that has any."""
+    for digests, image, (x, y, angle, scale, bits) in _described(batches):
+        rows = [(digests[i], len(c[0]), pack(*c)) for i, c in split_by(image, x, y, angle, scale.astype(np.int8), bits)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["digest", "n", "corners"])
 
 
-def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (cls, image): corners."""
-    for cls, (x, y, angle, scale, bits) in _described(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(x), pa.array(y), pa.array(angle), pa.array(scale.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary())], names=["cls", "x", "y", "angle", "scale", "descriptor"])
+Portion = tuple[list[bytes], np.ndarray, tuple[np.ndarray, ...]]
+
+
+def _joined(rows: dict[bytes, list[np.ndarray]]) -> Portion:
+    """Digests, and corners with the number of their image among them."""
+    x, y, angle, scale, bits = (np.concatenate(c) for c in zip(*rows.values(), strict=True))
+    number = np.repeat(np.arange(len(rows)), [len(c[0]) for c in rows.values()])
+    return list(rows), number, (x, y, angle, scale.astype(np.int64), bits.view(np.uint8).reshape(-1, BITS // 8))
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[Portion]:
+    """The images of _points() in portions of about TOGETHER corners; a portion's equal images once."""
+    rows: dict[bytes, list[np.ndarray]] = {}
+    n = 0
+    for batch in batches:
+        for digest, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if digest in rows:
+                continue
+            rows[digest] = unpack(data.as_py(), *_CORNER)
+            n += len(rows[digest][0])
+            if n >= TOGETHER:
+                yield _joined(rows)
+                rows, n = {}, 0
+    if rows:
+        yield _joined(rows)
 
 
 class Corners:
@@ -315,12 +330,13 @@ def promising(lo: np.ndarray, size: np.ndarray, q: np.ndarray, p: np.ndarray, tu
     return out
 
 
-def _search(corners, least: int, within: float):
-    """For mapInArrow over (cls, image): which queries of a broadcast block have a copy there."""
+def _search(block, least: int, within: float):
+    """For mapInArrow over (digest, corners): which queries of a broadcast block have a copy there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = Corners(*corners.value)
-        for cls, (x, y, angle, scale, bits) in _together(_described(batches)):
+        asked, number, corners = block.value
+        queries = Corners(number, *corners)
+        for digests, cls, (x, y, angle, scale, bits) in _portions(batches):
             i, j = queries.near(bits)
             order = np.lexsort((queries.cls[i], cls[j]))
             i, j = i[order], j[order]
@@ -334,23 +350,16 @@ def _search(corners, least: int, within: float):
                 s = slice(lo, hi)
                 votes, place = consensus(q[s], p[s], turn[s], steps[s], least, within)
                 if votes >= least:
-                    out.append((a[lo], b[lo], votes, place.real, place.imag))
+                    out.append((asked[a[lo]], digests[b[lo]], votes, place.real, place.imag))
             if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.float64()) for c in cols[3:])], names=["q_cls", "cls", "votes", "dx", "dy"])
+                types = (pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["q_digest", "digest", "votes", "dx", "dy"])
 
     return run
 
 
-def _class(image: Column) -> Column:
-    """60 bits of the image's SHA-256."""
-    return F.conv(F.substring(F.sha2(image, 256), 1, 15), 16, 10).cast("long")
-
-
-def classes(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
-    """(cls, match_id, n_copies, image): equal images once."""
-    seen = images.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).cast("binary").alias("image")).withColumn("cls", _class(F.col("image"))).filter("image is not null")
-    return seen.groupBy("cls").agg(F.min("id").alias("match_id"), F.count("*").alias("n_copies"), F.first("image").alias("image"))
+def _digest(image: Column) -> Column:
+    return F.unhex(F.sha2(image, 256))
 
 
 def find_copies(queries: DataFrame, index: DataFrame, least: int = 5, within: float = 2.0, id_col: str = "id", image_col: str = "image") -> DataFrame:
@@ -360,21 +369,28 @@ def find_copies(queries: DataFrame, index: DataFrame, least: int = 5, within: fl
     pixels; dx, dy: where the query's corner (0, 0) lies in the match.
     """
     spark = queries.sparkSession
-    asked = spill(queries.select(F.col(id_col).cast("long").alias("query_id"), _class(F.col(image_col).cast("binary")).alias("cls")).filter("cls is not null"), "asked")
-    own = spill(classes(queries, id_col, image_col).select("cls", "image").mapInArrow(_points, POINTS), "query-points")
-    blocks = -(-own.count() * 72 // BLOCK_BYTES)
-    seen = index.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).cast("binary").alias("image")).filter("image is not null").withColumn("cls", _class(F.col("image")))
-    found = spark.createDataFrame([], FOUND)
-    for k in range(blocks):
-        t = own.filter(F.pmod(F.xxhash64("cls"), F.lit(blocks)) == k).toArrow()
-        if len(t):
-            columns = [t.column(c).to_numpy() for c in ("cls", "x", "y", "angle", "scale")]
-            bits = np.frombuffer(b"".join(t.column("descriptor").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-            corners = spark.sparkContext.broadcast((*columns, bits))
-            found = found.unionByName(seen.select("cls", "image").mapInArrow(_search(corners, least, within), FOUND))
-    best = spill(found.groupBy("q_cls", "cls").agg(F.max(F.struct("votes", "dx", "dy")).alias("b")), "found-images")
-    named = best.join(seen.groupBy("cls").agg(F.min("id").alias("match_id"), F.count("*").alias("n_copies")), "cls")
-    return asked.join(named, asked["cls"] == named["q_cls"]).select("query_id", "match_id", "n_copies", F.col("b.votes").alias("votes"), F.round("b.dx", 3).alias("dx"), F.round("b.dy", 3).alias("dy"))
+    asked, seen = (t.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).cast("binary").alias("image")).filter("image is not null").withColumn("digest", _digest(F.col("image"))) for t in (queries, index))
+    asked_ids = spill(asked.select(F.col("id").alias("query_id"), F.col("digest").alias("q_digest")), "asked")
+    path = scratch(spark, "found-images")
+    with temporary(spark):
+        own = spill(asked.groupBy("digest").agg(F.first("image").alias("image")).mapInArrow(_points, POINTS), "query-corners")
+        corners = spill(seen.select("digest", "image").mapInArrow(_points, POINTS), "index-corners")
+        blocks = -(-(own.agg(F.sum("n")).first()[0] or 0) * 72 // BLOCK_BYTES)
+        try:
+            spark.createDataFrame([], FOUND).write.parquet(path)
+            for k in range(blocks):
+                some = own.filter(F.pmod(F.xxhash64("digest"), F.lit(blocks)) == k).select("digest", "corners").toArrow()  # about BLOCK_BYTES
+                if not len(some):
+                    continue
+                block = spark.sparkContext.broadcast(_joined({d: unpack(c, *_CORNER) for d, c in zip(*(c.to_pylist() for c in some.columns), strict=True)}))
+                corners.select("digest", "corners").mapInArrow(_search(block, least, within), FOUND).write.mode("append").parquet(path)
+                block.destroy()
+            found = spark.read.schema(FOUND).parquet(path)
+            best = spill(found.groupBy("q_digest", "digest").agg(F.max(F.struct("votes", "dx", "dy")).alias("b")), "best-images", keep=True)
+        finally:
+            remove(spark, path)
+    named = best.join(seen.groupBy("digest").agg(F.min("id").alias("match_id"), F.count("*").alias("n_copies")), "digest")
+    return asked_ids.join(named, "q_digest").select("query_id", "match_id", "n_copies", F.col("b.votes").alias("votes"), F.round("b.dx", 3).alias("dx"), F.round("b.dy", 3).alias("dy"))
 
 
 def per_query(found: DataFrame, queries: DataFrame, most: int = 1024, id_col: str = "id") -> DataFrame:

@@ -416,6 +416,16 @@ def test_media_search(spark):
     assert media.find_copies(asked.limit(0), index).count() == 0 and media.find_copies(asked, index.limit(0)).count() == 0
 
 
+def test_media_search_in_blocks(spark, monkeypatch):
+    pictures = media.draw(np.random.default_rng(8).normal(size=(20, 64)) / 8)
+    index = spark.createDataFrame([(i % 30, media.graymap(pictures[i % 20])) for i in range(60)] + [(None, media.graymap(pictures[0]))], "id long, image binary").repartition(3)
+    asked = spark.createDataFrame([(i, media.graymap(media.edit(pictures[i % 20]))) for i in range(24)], "id long, image binary")
+    whole = sorted(map(tuple, media.find_copies(asked, index).collect()))
+    assert {(r[0], r[1], r[2]) for r in whole} >= {(i, i % 20 % 10, 3 + (i % 20 == 0)) for i in range(24)}
+    monkeypatch.setattr(media, "BLOCK_BYTES", 20_000)  # about two queries each
+    assert sorted(map(tuple, media.find_copies(asked, index).collect())) == whole
+
+
 def warped(pixels, turn, size):
     """Turned about its middle and resized."""
     h, w = pixels.shape
