@@ -78,12 +78,15 @@ def _once(batch: DataFrame, key: str, order: str | None) -> DataFrame:
     return batch.withColumn("__nth", F.row_number().over(same.orderBy(F.col(order).desc_nulls_last()))).filter("__nth = 1").drop("__nth")
 
 
-def upsert(stored: DataFrame, batch: DataFrame, key: str, updated: Sequence[str], order: str | None = None) -> DataFrame:
+def upsert(stored: DataFrame, batch: DataFrame, key: str, updated: Sequence[str], order: str | None = None, each: bool = False) -> DataFrame:
     """stored with batch merged in: new keys are added, of known ones only the ``updated`` columns change, to nulls too.
 
-    A batch that repeats a key is an error, or with ``order`` (a column of batch) its last row of the key counts.
+    A batch that repeats a key is an error, or with ``order`` (a column of batch) its last row of the key counts;
+    with ``each`` every row of it counts, and the key has as many rows afterwards, as after a full join.
     """
-    old, new = stored.alias("o"), _once(batch, key, order).alias("n")
+    if each and order is not None:
+        raise ValueError("either each row of a repeated key or the last by order")
+    old, new = stored.alias("o"), (batch if each else _once(batch, key, order)).alias("n")
     merged = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     known, given = F.col(f"o.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
 
