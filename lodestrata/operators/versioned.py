@@ -9,7 +9,7 @@ change that dies half-way leaves nothing but an unnamed folder, and of two chang
 one version the second is refused (``Conflict``) and can be tried again.
 
 Keys are unique and present; a batch that repeats a key is an error unless it has an
-order.  Deleting keys that aren't there changes nothing and makes no version.
+order, or each of its rows is wanted: then they all stay, under the one key.  Deleting keys that aren't there changes nothing and makes no version.
 """
 
 from __future__ import annotations
@@ -145,7 +145,7 @@ class VersionedTable:
         return self._rows(self.manifest(version))
 
     def point(self, value: object, version: int | None = None) -> DataFrame:
-        """The row of a key; only its bucket is read."""
+        """The row of a key (or its rows, if it has several); only its bucket is read."""
         m = self.manifest(version)
         kind = T.StructType.fromJson(json.loads(m.schema))[m.key].dataType
         own = self.spark.range(1).select(self._bucket(m, F.lit(value).cast(kind))).first()[0]
@@ -184,10 +184,10 @@ class VersionedTable:
         touched = self._touched(m, keys)
         return self._commit(m, touched, make(self._rows(m, touched)), kind) if touched else m.version
 
-    def upsert(self, batch: DataFrame, updated: Sequence[str], order: str | None = None) -> int:
-        """New keys are added, of known ones the ``updated`` columns change, to nulls too."""
+    def upsert(self, batch: DataFrame, updated: Sequence[str], order: str | None = None, each: bool = False) -> int:
+        """New keys are added, of known ones the ``updated`` columns change, to nulls too; order and each as in store.upsert()."""
         key = self.manifest().key
-        return self._change(batch.select(key), "upsert", lambda old: S.upsert(old, batch, key, updated, order))
+        return self._change(batch.select(key), "upsert", lambda old: S.upsert(old, batch, key, updated, order, each))
 
     def insert_ignore(self, batch: DataFrame, order: Sequence[str] | None = None) -> int:
         """Rows whose key isn't there, of a repeated key the first by order."""

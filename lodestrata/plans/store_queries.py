@@ -202,7 +202,7 @@ _BATCH = "SELECT p_partkey + CASE WHEN p_size > 40 THEN 1000000 ELSE 0 END AS p_
 
 
 def _parts(t):
-    """Stored parts, and a batch of the larger ones with changed values, the largest under new keys."""
+    """Stored parts, and a batch of the larger ones with changed values, the largest under keys that are new unless a part has them: then the batch may repeat one, and each of its rows counts."""
     stored = t.part.select("p_partkey", "p_name", "p_size", "p_retailprice")
     key = F.col("p_partkey") + F.when(F.col("p_size") > 40, 1000000).otherwise(0)
     batch = stored.filter("p_size > 20").select(key.alias("p_partkey"), F.upper("p_name").alias("p_name"), (F.col("p_size") + 1).alias("p_size"), "p_retailprice")
@@ -217,7 +217,7 @@ def _parts(t):
 def bulk_upsert(t):
     """Half of the batch sets the price to null, which an upsert writes."""
     stored, batch = _parts(t)
-    return S.upsert(stored, batch.withColumn("p_retailprice", F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice"))), "p_partkey", ("p_name", "p_retailprice"))
+    return S.upsert(stored, batch.withColumn("p_retailprice", F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice"))), "p_partkey", ("p_name", "p_retailprice"), each=True)
 
 
 @query(f"SELECT p_partkey, p_name, p_size, p_retailprice FROM part UNION ALL SELECT b.* FROM ({_BATCH}) b WHERE b.p_partkey NOT IN (SELECT p_partkey FROM part)")
@@ -327,7 +327,7 @@ def _changed(t):
     """Parts after an upsert, a soft delete by size and a delete of keys: four versions."""
     stored, batch = _parts(t)
     table = _stored(t, stored, "p_partkey")
-    table.upsert(batch, ("p_name",))
+    table.upsert(batch, ("p_name",), each=True)
     table.update(F.col("p_size") < 5, p_retailprice=0.0)
     table.delete(stored.filter("p_partkey % 10 = 3"))
     return table
