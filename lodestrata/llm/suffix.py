@@ -3,7 +3,7 @@
 Segments of the documents enter the transform one symbol per segment and round,
 from their ends: round j inserts the suffix of length j of every segment.  The
 transform, the common prefixes of neighbouring suffixes and the column that says which
-suffix stands where are external files.  A round reads the first two once, in order
+suffix stands where are external files (in memory while they are small).  A round reads the first two once, in order
 and block by block, to find where the new suffixes belong and what they have in common
 with their neighbours, and then writes all three once, in order.  In memory are a
 block, a few numbers for each of the 256 symbols, and two numbers per segment.
@@ -14,7 +14,8 @@ bytes, each over the whole file.  The strings are therefore the *superwindows*
 ``2 * span - gram`` bytes, so the rounds are bounded by the window and not by the
 text; a byte string of ``span`` bytes lies whole in exactly one superwindow, and
 equal ones meet in the same transform.  Text that no other document shares never
-enters one.
+enters one, and of a superwindow only as much around its anchor as some other one has
+too (by hashes, which may keep too much but never too little).
 
 Results are exact up to collisions of 93-bit fingerprints in the first step
 (copies of whole superwindows); inside a transform bytes are compared, not hashes.
@@ -48,6 +49,8 @@ from .repeats import BLOB, KINDED, Spec, gathered, only, per_document, rep_rows,
 _BLOCK = 1 << 19
 #: Strings of a collection, at least as many as share an anchor.
 _COLLECTION = 4096
+#: Bytes of a collection whose columns are held in memory; those of larger ones are files.
+_HELD = 4 << 20
 
 
 class Storage:
@@ -324,6 +327,28 @@ def _segments(spec: Spec):
     return run
 
 
+def _reach(pre: np.ndarray, anchor: np.ndarray, begin: np.ndarray, end: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes before and after its anchor a string has in common with some other one, by hashes.
+
+    pre: prefix sums of the bytes' hash; anchor, begin, end: places in them.  A window
+    that two strings share stands at the same distance from their anchors, so it ends
+    where these bytes end, or before: what is further out needn't enter a transform.
+    """
+    out = []
+    for side in (-1, 1):
+        far, alive, room = np.zeros(len(anchor), np.int64), np.arange(len(anchor)), (anchor - begin if side < 0 else end - anchor - gram)
+        reach = 0
+        while len(alive):
+            far[alive] = reach
+            reach += 1
+            alive = alive[room[alive] >= reach]
+            at = anchor[alive]
+            which, times = np.unique(ts.spans(pre, at - reach, at + gram) if side < 0 else ts.spans(pre, at, at + gram + reach), return_inverse=True, return_counts=True)[1:]
+            alive = alive[times[which] > 1]
+        out.append(far)
+    return out[0], out[1]
+
+
 def _transform(spec: Spec, n_buckets: int, root: str | None):
     """Second step in a bucket of anchors: windows that the transform finds in a smaller document, as stretches to remove; root: the folder for columns."""
 
@@ -345,25 +370,28 @@ def _transform(spec: Spec, n_buckets: int, root: str | None):
         pre = ts.prefix(ts.BYTE_A[data])
         at = np.arange(len(data) - spec.gram + 1)
         h = ts.spans(pre, at, at + spec.gram)
-        key = h[ts.superwindows(h, spec.grams, spec.span, off)[3]][first]
-        first = first[np.argsort(key, kind="stable")]
-        key = np.sort(key)
+        anchor = ts.superwindows(h, spec.grams, spec.span, off)[3][first]
+        ahead, behind = _reach(pre, anchor, off[:-1][first], off[1:][first], spec.gram)
+        some = np.flatnonzero(ahead + spec.gram + behind >= spec.span)
+        some = some[np.argsort(h[anchor[some]], kind="stable")]
+        first, begins, ends = first[some], (anchor - ahead)[some], (anchor + spec.gram + behind)[some]
+        key = h[anchor[some]]
         borders = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        segs, places = [], []
+        segs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         a = 0
         while a < len(first):
             b = int(borders[min(np.searchsorted(borders, a + _COLLECTION), len(borders) - 1)])
-            part = first[a:b]
-            size = off[part + 1] - off[part]
+            part, start_at = first[a:b], begins[a:b]
+            size = ends[a:b] - start_at
             own = np.r_[0, np.cumsum(size)]
-            take = np.repeat(off[part] - own[:-1], size) + np.arange(own[-1])
-            storage = Storage(f"{root}/{uuid.uuid4().hex}" if root else None)
+            take = np.repeat(start_at - own[:-1], size) + np.arange(own[-1])
+            storage = Storage(f"{root}/{uuid.uuid4().hex}" if root and own[-1] > _HELD else None)
             try:
                 seg, at = shared_windows(rid[part], data[take], own, spec.span, storage)
             finally:
                 storage.close()
             segs.append(uid[part[seg]])
-            places.append(at)
+            places.append(at + (start_at - off[part])[seg])
             a = b
         seg, at = np.concatenate(segs), np.concatenate(places)
         # and what holds for it holds at all its places in that document

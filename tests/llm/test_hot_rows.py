@@ -42,3 +42,37 @@ def test_columns_lie_outside_only_where_python_reaches_the_folder(spark):
         assert suffix.reachable(spark, "s3a://b/a") is None
     finally:
         conf.set("fs.defaultFS", before) if before else conf.unset("fs.defaultFS")
+
+
+def test_what_no_other_string_shares_stays_out_of_the_transform(monkeypatch):
+    """Strings with one anchor: those that agree around it for less than a window don't enter, of the others what they share."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestrata.llm import textscan as ts
+    from lodestrata.llm.common import delta, pack
+    from lodestrata.llm.repeats import Spec
+
+    spec, draw, entered = Spec("bytes", 50, 25), np.random.default_rng(3), []
+    monkeypatch.setattr(suffix, "shared_windows", lambda rid, data, off, *a, real=suffix.shared_windows: entered.extend(zip(rid.tolist(), np.diff(off).tolist(), strict=True)) or real(rid, data, off, *a))
+    some = lambda n: draw.integers(97, 123, n).astype(np.uint8)
+    gram, none = some(25), some(0)
+    least = lambda text: ts.superwindows(ts.spans(pre := ts.prefix(ts.BYTE_A[text]), at := np.arange(len(text) - 24), at + 25), spec.grams, 50, np.array([0, len(text)]))
+
+    def around(left, right):
+        """left, gram, right, with other bytes further out, so that the gram is the least one of the whole."""
+        while True:
+            text = np.r_[some(25 - len(left)), left, gram, right, some(25 - len(right))]
+            if len(least(text)[3]) == 1 and least(text)[3][0] == 25:
+                return text
+
+    while True:  # a gram that mostly is the least
+        if sum(len(least(t)[3]) == 1 and least(t)[3][0] == 25 for t in (np.r_[some(25), gram, some(25)] for _ in range(50))) > 10:
+            break
+        gram = some(25)
+    left, right = around(none, none)[13:25], around(none, none)[50:68]
+    texts = [around(left, none), around(left, right), around(none, right[:12]), around(left, right), around(none, none)]
+    meta = pack(delta(np.arange(5)), np.zeros(5, np.uint32), np.full(5, 26, np.uint8), np.ones(5, np.uint32))
+    got = suffix._transform(spec, 12, None)(pa.table({"bucket": [0], "payload": pa.array([meta + np.concatenate(texts).tobytes()], pa.binary())}))
+    assert sorted(entered) == [(1, 55), (3, 55)]
+    assert got.num_rows == 1
