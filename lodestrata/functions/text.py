@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: What stands between the words of a text.
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of lower-cased words, each padded with two blanks before and one after."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != "")
     # words repeat; their trigrams need to be cut only once
     grams = F.transform(F.array_distinct(words), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 2), lambda i: F.concat(F.lit("  "), w, F.lit(" ")).substr(i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trigram_similarity, trigrams
+from ..functions.text import NO_WORD, trigram_similarity, trigrams
 from ..functions.vectors import cosine
 
 #: Default parameters.
@@ -64,6 +66,64 @@ def write_trigram_index(postings: DataFrame, path: str, files: int | None = None
     spread.sortWithinPartitions("gram", "id").write.option("parquet.block.size", 4 << 20).parquet(path)
 
 
+#: Bytes of text whose postings are made at once.
+BLOCK_BYTES = 8 << 20
+
+
+def _block(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """(gram, ids, ns) of a block of texts, by trigram; texts: lower-cased words with blanks between them."""
+    words = pc.split_pattern(texts, " ")
+    text_of, words = pc.list_parent_indices(words).to_numpy().astype(np.int64), pc.list_flatten(words)
+    some = pc.not_equal(words, "")
+    text_of, words = text_of[some.to_numpy(zero_copy_only=False)], words.filter(some).dictionary_encode()
+    # a word is cut once, as words repeat: two blanks, its characters and a blank, of which the last begins no trigram
+    size = pc.utf8_length(words.dictionary).to_numpy().astype(np.int64) + 3
+    chars = np.frombuffer("".join(f"  {w} " for w in words.dictionary.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    last = np.zeros(len(chars) + 2, bool)
+    last[np.cumsum(size) - 1] = True
+    chars = np.append(chars, [0, 0])
+    begins = np.flatnonzero(~last[:-2])
+    third = np.where(last[begins + 1], 0, chars[begins + 2])
+    codes, gram = np.unique(chars[begins] << 42 | chars[begins + 1] << 21 | third, return_inverse=True)
+    n_texts, n_words = max(len(texts), 1), max(len(size), 1)
+    pairs = np.unique(text_of * n_words + words.indices.to_numpy().astype(np.int64))
+    text_of, word = pairs // n_words, pairs % n_words
+    each, first = size - 1, np.cumsum(size - 1) - (size - 1)
+    times = each[word]
+    at = np.repeat(first[word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    pairs = np.unique(gram[at] * n_texts + np.repeat(text_of, times))
+    gram, text_of = pairs // n_texts, pairs % n_texts
+    borders = pa.array(np.searchsorted(gram, np.arange(len(codes) + 1)), pa.int32())
+    spelled = ["".join(chr(c) for c in (x >> 42, x >> 21 & 0x1FFFFF, x & 0x1FFFFF) if c) for x in codes.tolist()]
+    n = np.bincount(text_of, minlength=n_texts).astype(np.int32)[text_of]
+    lists = [pa.ListArray.from_arrays(borders, values) for values in (ids.take(pa.array(text_of)), pa.array(n))]
+    return pa.RecordBatch.from_arrays([pa.array(spelled, pa.string()), *lists], names=["gram", "ids", "ns"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        step = max(1, len(batch) * BLOCK_BYTES // max(batch.nbytes, 1))
+        for a in range(0, len(batch), step):
+            part = batch.slice(a, step)
+            yield _block(part.column(0), part.column(1).cast(pa.string()))
+
+
+def write_trigram_blocks(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text") -> None:
+    """The postings of docs where the texts are: a row for each trigram of a block of texts, with the texts' ids and numbers of trigrams.
+
+    Nothing is shuffled or sorted beyond a block, so time and bytes are in proportion to the texts.
+    """
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.regexp_replace(F.lower(text_col), NO_WORD, " ").alias("words"))
+    kind = rows.schema["id"].dataType.simpleString()
+    rows.mapInArrow(_blocks, f"gram string, ids array<{kind}>, ns array<int>").write.option("parquet.block.size", 4 << 20).parquet(path)
+
+
+def open_trigram_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """trigram_postings() of a written index; a condition on trigrams holds before a list is taken apart."""
+    each = spark.read.parquet(path).select("gram", F.explode(F.arrays_zip("ids", "ns")).alias("x"))
+    return each.select("gram", F.col("x.ids").alias("id"), F.col("x.ns").alias("n"))
+
+
 def indexed_trigram_topk(index: DataFrame, docs: DataFrame, query: str, k: int, id_col: str = "id", among: DataFrame | None = None) -> DataFrame:
     """trigram_topk() from postings: the same rows.  docs: the indexed texts (only ids are read, and only if fewer than k share a trigram); among: (id) of those that may be found."""
     spark = index.sparkSession

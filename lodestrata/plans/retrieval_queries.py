@@ -39,7 +39,7 @@ def _vector(t, k: int):
 def _postings(t):
     """The documents' trigram index, made once, as at ingest."""
     docs = t.documents.select("doc_id", "text")
-    return t.spark.read.parquet(prepared_path("trigrams", docs, lambda df, path: R.write_trigram_index(R.trigram_postings(df, "doc_id"), path)))
+    return R.open_trigram_blocks(t.spark, prepared_path("trigrams", docs, lambda df, path: R.write_trigram_blocks(df, path, "doc_id")))
 
 
 def _text(t, k: int):

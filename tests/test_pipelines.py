@@ -282,6 +282,21 @@ def test_indexed_trigrams_are_those_of_the_scan(spark, tmp_path):
     assert [tuple(r) for r in R.indexed_trigram_topk(index, docs, "the ending", 3, among=some).orderBy("rank").collect()] == [tuple(r) for r in R.trigram_topk(some, "the ending", 3).orderBy("rank").collect()]
 
 
+def test_blocks_of_trigrams_are_the_postings_without_an_exchange(spark, tmp_path, monkeypatch):
+    texts = ["the ending", "nation", None, "", "THE end", "zzz zzz", "the the the", "É̀ü ß İstanbul 東京 x \U0001d54f\U0001d54f 12,5", "a", "...", "x" * 40]
+    docs = spark.createDataFrame([(f"{i:03d}", t) for i, t in enumerate(texts * 5)], "id string, text string").coalesce(2)
+    monkeypatch.setattr(R, "BLOCK_BYTES", 100)
+    R.write_trigram_blocks(docs, str(tmp_path / "b"))
+    index = R.open_trigram_blocks(spark, str(tmp_path / "b"))
+    assert sorted(map(tuple, index.collect())) == sorted(map(tuple, R.trigram_postings(docs).collect()))
+    plan = index.filter(F.col("gram") == "the")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(gram,the)" in plan and "Exchange" not in plan
+    for words in ("the ending", "", "東京"):
+        assert list(map(tuple, R.indexed_trigram_topk(index, docs, words, 9).orderBy("rank").collect())) == list(map(tuple, R.trigram_topk(docs, words, 9).orderBy("rank").collect()))
+    R.write_trigram_blocks(docs.limit(0), str(tmp_path / "none"))
+    assert R.open_trigram_blocks(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_vector_cells(spark, tmp_path):
     import numpy as np
 
