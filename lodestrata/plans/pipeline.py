@@ -101,9 +101,16 @@ class Retriever:
         pool = self._pool(**filters)
         return R.upgraded(R.cosine_topk(pool, query, k), lambda: self._hybrid(pool, query, words, k), self.threshold)
 
+    @staticmethod
+    def _few(found: DataFrame) -> DataFrame:
+        """What was found, a few rows by the searches' limits, so that what uses it doesn't search again."""
+        return found.sparkSession.createDataFrame(found.collect(), found.schema)
+
     def blocks(self, found: DataFrame) -> DataFrame:
-        """The found chunks with ``block``, their texts under their headers."""
-        rows = R.late(found, self.chunks.select("id", "chunk_text", "ticker", "filing_type", "fiscal_year", "section"))
+        """The found chunks with ``block``, their texts under their headers; only the found ids leave the tables that the chunks are joined from."""
+        few = self._few(found)
+        own = self.chunks.filter(F.col("id").isin([r["id"] for r in few.select("id").distinct().collect()]))
+        rows = R.late(few, own.select("id", "chunk_text", "ticker", "filing_type", "fiscal_year", "section"))
         head = R.header(F.col("ticker"), F.col("filing_type"), F.col("fiscal_year"), F.col("section"), F.col("score"))
         return rows.withColumn("block", F.concat(head, F.lit("\n"), F.col("chunk_text")))
 
@@ -121,7 +128,7 @@ class Retriever:
         if not question or not question.strip():
             raise ValueError("a question is needed")
         style = style if style in STYLES else STYLE
-        found = self.found(query, question, search_type, k, **filters)
+        found = self._few(self.found(query, question, search_type, k, **filters))
         by_rank = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "search_type"))), lambda x: x["id"])
         used = found.agg(by_rank.alias("source_chunk_ids"), F.max("search_type").alias("search_type"))
         context = self.context(found)

@@ -297,6 +297,21 @@ def test_blocks_of_trigrams_are_the_postings_without_an_exchange(spark, tmp_path
     assert R.open_trigram_blocks(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_blocks_read_the_found_ids_only(spark, tmp_path):
+    """Both tables that the chunks are joined from get the ids as a condition, so no other text moves."""
+    from lodestrata.plans.pipeline import Retriever
+
+    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "id long, embedding array<double>").write.parquet(str(tmp_path / "v"))
+    spark.createDataFrame([(i, f"text {i}", "AAA", "10-K", 2024, None) for i in range(9)], "id long, chunk_text string, ticker string, filing_type string, fiscal_year int, section string").write.parquet(str(tmp_path / "t"))
+    chunks = spark.read.parquet(str(tmp_path / "v")).join(spark.read.parquet(str(tmp_path / "t")), "id")
+    r = Retriever(chunks, 0.0)
+    blocks = r.blocks(r.found([1.0, 0.0], "text", k=2))
+    assert sorted(x["chunk_text"] for x in blocks.collect()) == ["text 0", "text 1"]
+    scans = [x for x in blocks._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    assert len(scans) >= 2 and all(" IN (0,1)" in x for x in scans)
+    assert r.blocks(r.found([1.0, 0.0], "text", ticker="none")).count() == 0
+
+
 def test_vector_cells(spark, tmp_path):
     import numpy as np
 
